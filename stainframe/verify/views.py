@@ -194,6 +194,10 @@ SELECT vec_id AS tile_id, concat('S', lpad(CAST(vec_id % 8 AS STRING), 2, '0'))
         f"SELECT vec_id AS tile_id, '{m}' AS model, CASE WHEN vec_id % {k} = 0 THEN NULL "
         f"ELSE CAST((vec_id * {p}) % 100 AS DOUBLE) / {d.num('100.0')} END AS score FROM {{embeddings}}"
         for m, k, p in (("conch", 7, 13), ("musk", 11, 29), ("uni", 5, 31), ("virchow", 13, 57))),
+    "thumbs": lambda d: f"""
+SELECT slide_id, x AS tx, y AS ty, (x * x + y * 7 + i) % 10 < 4 AND x + y > 6 AS tissue
+FROM ({d.raster("(SELECT DISTINCT s_suppkey AS i, concat('S', lpad(CAST(s_suppkey AS STRING), 6, '0')) AS slide_id FROM {supplier}) s", "i, slide_id", 62)}) t
+WHERE x < floor((3000 + (i % 3) * 500) / 64) AND y < floor((3000 + (i % 2) * 700) / 64)""",
     "items": lambda d: """
 SELECT p_partkey AS item_id, concat('S', lpad(CAST(p_partkey % 37 AS STRING), 2, '0')) AS slide_id,
        concat('tiles/S', lpad(CAST(p_partkey % 37 AS STRING), 2, '0'), '/', CAST(p_partkey * 352 AS STRING), '_',
