@@ -9,6 +9,8 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
+from stainframe.functions.stain import inverse, with_dab
+
 GIVEN = ("region nation customer supplier part orders lineitem events documents embeddings pages "
          "benchmark labels conversations").split()
 
@@ -112,6 +114,14 @@ FROM (SELECT k AS tile_id, x, y,
       FROM ({d.raster('{supplier}', 's_suppkey AS k', 64)}) t) p"""
 
 
+def _stained(d: Dialect) -> str:
+    """Pixels with `dab`; the DataFrame side uses the library's own stain separation instead."""
+    inv = inverse()
+    od = [f"-ln(greatest(1, least(255, {c})) / CAST(255 AS DOUBLE))" for c in "rgb"]
+    dab = " + ".join(f"({o}) * CAST('{float(inv[i, 1])!r}' AS DOUBLE)" for i, o in enumerate(od))
+    return f"SELECT *, greatest(CAST(0 AS DOUBLE), {dab}) AS dab FROM {{pixels}}"
+
+
 def _slides(d: Dialect) -> str:
     n = d.num
     return f"""
@@ -183,6 +193,7 @@ SELECT user_id % 300 AS tile, event_id % 3 AS rep, COUNT(*) AS n_cells, {d.num('
        {d.num('100.0')} * SUM(CASE WHEN value > 20 THEN 1 ELSE 0 END) / COUNT(*) AS pct_positive,
        {d.num('100.0')} * SUM(CASE WHEN value > 60 THEN 1 ELSE 0 END) / COUNT(*) AS pct_3plus
 FROM {{events}} GROUP BY user_id % 300, event_id % 3""",
+    "stained": _stained,
     "labels_long": lambda d: """
 SELECT slide_id, tile_id, x, y, 'A' AS model, cell_id AS inst_id FROM {pixels}
 UNION ALL SELECT slide_id, tile_id, x, y, 'B' AS model, pred_id AS inst_id FROM {pixels}
@@ -274,6 +285,8 @@ class Tables:
     def _build(self, name: str):
         if name in GIVEN:
             return self.spark.read.parquet(f"{self.path}/{name}.parquet")
+        if name == "stained":
+            return with_dab(self.pixels)
         text = VIEWS[name](SPARK)
         args = {dep: getattr(self, dep) for dep in _needs(text)}
         if name == "pixels":
