@@ -9,7 +9,7 @@ from stainframe.functions import stain
 from stainframe.operators import pixels as P
 from stainframe.operators import rasters as R
 from stainframe.verify.registry import query, rounded
-from stainframe.verify.sqltext import KEY, box, ellipse, near, otsu, uint8
+from stainframe.verify.sqltext import KEY, box, ellipse, gather, near, otsu, uint8
 from stainframe.verify.tiling_queries import md5_of
 
 EXTENT = (64, 64)
@@ -100,8 +100,7 @@ def _(t):
 
 def clamped(table: str, value: str, half: int, out: str) -> str:
     rows = ", ".join(f"({dx}, {dy})" for dx in range(-half, half + 1) for dy in range(-half, half + 1))
-    return (f"SELECT p.slide_id, p.tile_id, p.x, p.y, {value} AS {out} FROM {table} p CROSS JOIN (VALUES {rows}) o(dx, dy) "
-            f"JOIN {table} q ON q.tile_id = p.tile_id AND q.x = greatest(0, least(63, p.x + o.dx)) AND q.y = greatest(0, least(63, p.y + o.dy)) GROUP BY ALL")
+    return gather(table, f"(VALUES {rows}) o(dx, dy)", "greatest(0, least(63, p.x + dx))", "greatest(0, least(63, p.y + dy))", f"{value} AS {out}")
 
 
 def shaped(mask: str, first: str) -> str:
@@ -177,7 +176,7 @@ def _(t):
 
 
 @query("morph_ellipse", f"WITH m0 AS (SELECT {KEY}, dab > 0.5 AS m FROM stained), m1 AS ({near('m0', 'm', ellipse(5), 'bool_or', 'm')}), "
-       f"m2 AS ({near('m1', 'm', ellipse(5), 'bool_and', 'closed', 'm')}), m3 AS ({near('m0', 'm', ellipse(11), 'bool_or', 'grown')}) "
+       f"m2 AS ({near('m1', 'm', ellipse(5), 'bool_and', 'closed')}), m3 AS ({near('m0', 'm', ellipse(11), 'bool_or', 'grown')}) "
        "SELECT slide_id, tile_id, x, y, closed, grown FROM m2 JOIN m3 USING (slide_id, tile_id, x, y)")
 def _(t):
     m = P.mask_fixed(t.stained, 0.5)
@@ -189,8 +188,8 @@ KERNEL = ((0.5, -1.0, 0.25), (2.0, 3.0, -0.5), (1.0, 0.0, -2.0))
 K_ROWS = ", ".join(f"({i - 1}, {j - 1}, CAST({KERNEL[j][i]} AS DOUBLE))" for j in range(3) for i in range(3))
 
 
-@query("convolve_kernel", f"""SELECT p.slide_id, p.tile_id, p.x, p.y, round(sum(coalesce(q.dab, 0) * w), 6) AS response FROM stained p CROSS JOIN (VALUES {K_ROWS}) k(dx, dy, w)
-LEFT JOIN stained q ON q.tile_id = p.tile_id AND q.x = p.x + dx AND q.y = p.y + dy GROUP BY ALL""")
+@query("convolve_kernel", gather("stained", f"(VALUES {K_ROWS}) o(dx, dy, w)", "p.x + dx", "p.y + dy",
+                                "round(sum(coalesce(q.dab, 0) * w), 6) AS response", "LEFT JOIN"))
 def _(t):
     return rounded(R.convolve_kernel(t.stained, "dab", KERNEL, "response").select(*COLS, "response"))
 
@@ -205,9 +204,8 @@ def mirror(c: str) -> str:
     return f"(CASE WHEN {c} < 0 THEN -({c}) WHEN {c} > 63 THEN 126 - ({c}) ELSE {c} END)"
 
 
-SOBEL = f"""sb AS (SELECT p.slide_id, p.tile_id, p.x, p.y, sum(q.dab * o.dx * (2 - abs(o.dy))) AS gx, sum(q.dab * o.dy * (2 - abs(o.dx))) AS gy
-  FROM stained p CROSS JOIN (SELECT a.i - 1 AS dx, b.i - 1 AS dy FROM range(3) a(i), range(3) b(i)) o
-  JOIN stained q ON q.tile_id = p.tile_id AND q.x = {mirror('p.x + o.dx')} AND q.y = {mirror('p.y + o.dy')} GROUP BY ALL),
+GRID3 = "(SELECT a.i - 1 AS dx, b.i - 1 AS dy FROM range(3) a(i), range(3) b(i)) o"
+SOBEL = f"""sb AS ({gather('stained', GRID3, mirror('p.x + dx'), mirror('p.y + dy'), 'sum(q.dab * dx * (2 - abs(dy))) AS gx, sum(q.dab * dy * (2 - abs(dx))) AS gy')}),
 sm AS (SELECT *, sqrt(gx * gx + gy * gy) AS mag, max(sqrt(gx * gx + gy * gy)) OVER (PARTITION BY tile_id) AS top FROM sb),
 sobel AS (SELECT {KEY}, CASE WHEN top > 1e-6 THEN mag / top ELSE mag END AS sobel FROM sm)"""
 
@@ -219,8 +217,7 @@ def _(t):
 
 GRAY8 = "floor(r * CAST(0.299 AS DOUBLE) + g * CAST(0.587 AS DOUBLE) + b * CAST(0.114 AS DOUBLE) + 0.5)"
 TEXTURE = f"""g AS (SELECT {KEY}, {GRAY8} AS v FROM pixels),
-l AS (SELECT p.slide_id, p.tile_id, p.x, p.y, sum(q.v * w) AS l FROM g p CROSS JOIN (VALUES (0, 0, -4), (1, 0, 1), (-1, 0, 1), (0, 1, 1), (0, -1, 1)) o(dx, dy, w)
-  JOIN g q ON q.tile_id = p.tile_id AND q.x = {mirror('p.x + dx')} AND q.y = {mirror('p.y + dy')} GROUP BY ALL),
+l AS ({gather('g', '(VALUES (0, 0, -4), (1, 0, 1), (-1, 0, 1), (0, 1, 1), (0, -1, 1)) o(dx, dy, w)', mirror('p.x + dx'), mirror('p.y + dy'), 'sum(q.v * w) AS l')}),
 texture AS (SELECT slide_id, tile_id, least(var_pop(l) / 2000, 1.0) AS texture FROM l GROUP BY ALL)"""
 
 
@@ -236,10 +233,8 @@ def symmetric(c: str) -> str:
 G_ROWS = ", ".join(f"({i - 4}, CAST('{float(w)!r}' AS DOUBLE))" for i, w in enumerate(R.gaussian_weights(1.0)))
 
 
-@query("gaussian_smooth", f"""WITH a AS (SELECT p.slide_id, p.tile_id, p.x, p.y, sum(q.dab * w) AS v FROM stained p CROSS JOIN (VALUES {G_ROWS}) k(d, w)
-  JOIN stained q ON q.tile_id = p.tile_id AND q.x = {symmetric('p.x + d')} AND q.y = p.y GROUP BY ALL)
-SELECT p.slide_id, p.tile_id, p.x, p.y, round(sum(q.v * w), 6) AS smooth FROM a p CROSS JOIN (VALUES {G_ROWS}) k(d, w)
-  JOIN a q ON q.tile_id = p.tile_id AND q.x = p.x AND q.y = {symmetric('p.y + d')} GROUP BY ALL""")
+@query("gaussian_smooth", f"""WITH a AS ({gather('stained', f'(VALUES {G_ROWS}) o(d, w)', symmetric('p.x + d'), 'p.y', 'sum(q.dab * w) AS v')})
+{gather('a', f'(VALUES {G_ROWS}) o(d, w)', 'p.x', symmetric('p.y + d'), 'round(sum(q.v * w), 6) AS smooth')}""")
 def _(t):
     return rounded(R.gaussian_smooth(t.stained, "dab", 1.0, "smooth", EXTENT))
 

@@ -7,18 +7,23 @@ from collections.abc import Sequence
 KEY = "slide_id, tile_id, x, y"
 
 
-def near(table: str, value: str, offsets: Sequence[tuple[int, int]], agg: str, out: str, keep: str = "") -> str:
-    """`out` = agg of `value` at the given offsets around every pixel of `table`."""
+def near(table: str, value: str, offsets: Sequence[tuple[int, int]], agg: str, out: str) -> str:
+    """`out` = agg of `value` at the given offsets around every pixel of `table` (64 x 64 tiles)."""
     rows = ", ".join(f"({dx}, {dy})" for dx, dy in offsets)
-    kept = "".join(f", p.{c.strip()}" for c in keep.split(",") if c.strip())
-    return (f"SELECT p.slide_id, p.tile_id, p.x, p.y{kept}, {agg}(q.{value}) AS {out} FROM {table} p "
-            f"CROSS JOIN (VALUES {rows}) o(dx, dy) JOIN {table} q ON q.tile_id = p.tile_id AND q.x = p.x + o.dx AND q.y = p.y + o.dy GROUP BY ALL")
+    return (f"SELECT slide_id, tile_id, x, y, {agg}(v) AS {out} FROM (SELECT slide_id, tile_id, x - dx AS x, y - dy AS y, {value} AS v "
+            f"FROM {table}, (VALUES {rows}) o(dx, dy)) s WHERE x BETWEEN 0 AND 63 AND y BETWEEN 0 AND 63 GROUP BY ALL")
+
+
+def gather(table: str, offsets: str, fx: str, fy: str, out: str, join: str = "JOIN") -> str:
+    """Pixels p with offset columns o, joined to the pixel q at (fx, fy); `out` is the select list."""
+    return (f"SELECT p.slide_id, p.tile_id, p.x, p.y, {out} FROM (SELECT p.slide_id, p.tile_id, p.x, p.y, o.*, {fx} AS nx, {fy} AS ny "
+            f"FROM {table} p, {offsets}) p {join} {table} q ON q.tile_id = p.tile_id AND q.x = p.nx AND q.y = p.ny GROUP BY ALL")
 
 
 def box(table: str, value: str, agg: str, half: int, out: str, keep: str = "*") -> str:
     """`out` = agg of `value` in the square of the given half side; two window passes."""
-    return (f"SELECT {keep}, {agg}(_r) OVER (PARTITION BY tile_id, x ORDER BY y RANGE BETWEEN {half} PRECEDING AND {half} FOLLOWING) AS {out} "
-            f"FROM (SELECT *, {agg}({value}) OVER (PARTITION BY tile_id, y ORDER BY x RANGE BETWEEN {half} PRECEDING AND {half} FOLLOWING) AS _r FROM {table}) z")
+    return (f"SELECT {keep}, {agg}(_r_{out}) OVER (PARTITION BY tile_id, x ORDER BY y RANGE BETWEEN {half} PRECEDING AND {half} FOLLOWING) AS {out} "
+            f"FROM (SELECT *, {agg}({value}) OVER (PARTITION BY tile_id, y ORDER BY x RANGE BETWEEN {half} PRECEDING AND {half} FOLLOWING) AS _r_{out} FROM {table}) z")
 
 
 def square(half: int) -> list[tuple[int, int]]:
