@@ -6,7 +6,7 @@ import importlib
 
 from stainframe.verify import registry
 
-SECTIONS = ("scoring_queries", "cohort_queries", "tiling_queries", "pixel_queries")
+SECTIONS = ("scoring_queries", "cohort_queries", "tiling_queries", "pixel_queries", "instance_queries", "grid_queries", "source_queries")
 
 
 def _load() -> None:
