@@ -221,7 +221,7 @@ def _needs(text: str) -> list[str]:
 
 
 # Added before rounding on both sides: decimal ties would otherwise fall to either side.
-NUDGE = 1e-9
+NUDGE = 1.2345e-10
 
 
 def _nudge_rounds(text: str) -> str:
