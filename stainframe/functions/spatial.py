@@ -14,52 +14,36 @@ def exists_within(
 ) -> DataFrame:
     """`left` with `flag`: some row of `right` of the same keys lies within `radius`.
 
-    Both sides have `x` and `y`. The grid step is radius/3. Three tests, each exact, the cheap ones
-    first, so that a crowded place never emits its pairs:
-      1. a grid cell so close that all of it is in reach settles the point by an equi-join on
-         occupied cells (one row per cell, however many points it holds);
-      2. cells wholly out of reach are never probed;
-      3. only points still open are measured against the distinct points of the rim cells.
+    Both sides have `x` and `y`. Grid squares have a diagonal of `radius`, which makes three tests of
+    rising cost, each exact:
+      1. any right point in a point's own square is in reach: an equi-join on occupied squares, one
+         row per square however many points it holds, settles crowded places without a pair;
+      2. squares wholly out of reach are never probed;
+      3. distinct points still open are measured against distinct points of the 24 squares around.
     """
     keys = list(keys)
-    step = radius / 3.0
+    # A hair short of radius / sqrt(2), so that rounding cannot put two points of a square out of reach.
+    step = radius / 2**0.5 * (1 - 1e-9)
     own = {"_gx": F.floor(F.col("x") / step), "_gy": F.floor(F.col("y") / step)}
-    points = left.select(*keys, "x", "y").distinct().withColumns(own)
+    square = [*keys, "_gx", "_gy"]
     others = right.select(*keys, "x", "y").distinct().withColumns(own)
-    occupied = others.select(*keys, "_gx", "_gy").distinct()
-
-    # Greatest distance between two points of cells (dx, dy) apart is hypot(|dx|+1, |dy|+1) steps,
-    # least is hypot(max(|dx|-1, 0), ...). A hair is kept off the bounds for floating rounding.
-    reach = range(-4, 5)
-    far = {(a, b): ((abs(a) + 1) ** 2 + (abs(b) + 1) ** 2) ** 0.5 for a in reach for b in reach}
-    near = {(a, b): (max(abs(a) - 1, 0) ** 2 + max(abs(b) - 1, 0) ** 2) ** 0.5 for a in reach for b in reach}
-    inner = [o for o in far if far[o] <= 3 - 1e-6]
-    rim = [o for o in far if o not in inner and near[o] <= 3 + 1e-6]
-
-    def probe(frame: DataFrame, offsets: list[tuple[int, int]]) -> DataFrame:
-        cells = F.array(*[F.struct((F.col("_gx") + a).alias("_cx"), (F.col("_gy") + b).alias("_cy"))
-                          for a, b in offsets])
-        return frame.select("*", F.explode(cells).alias("_c")).select("*", "_c._cx", "_c._cy").drop("_c")
-
-    cell_key = [*keys, "_cx", "_cy"]
-    settled = (probe(points, inner).join(
-        occupied.withColumnsRenamed({"_gx": "_cx", "_gy": "_cy"}), cell_key, "left_semi")
-        .select(*keys, "x", "y").distinct())
-    still_open = points.join(settled, [*keys, "x", "y"], "left_anti")
-    target = others.select(*keys, F.col("_gx").alias("_cx"), F.col("_gy").alias("_cy"),
-                           F.col("x").alias("_ox"), F.col("y").alias("_oy"))
+    occupied = others.select(*square).distinct().withColumn("_own", F.lit(True))
+    marked = left.withColumns(own).join(occupied, square, "left")
+
+    gaps = range(-2, 3)
+    around = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in gaps for b in gaps if (a, b) != (0, 0)])
+    still_open = marked.filter(F.col("_own").isNull()).select(*square, "x", "y").distinct()
+    probe = still_open.select("*", F.explode(around).alias("_o")).select(
+        *keys, "x", "y", (F.col("_gx") + F.col("_o.a")).alias("_gx"), (F.col("_gy") + F.col("_o.b")).alias("_gy")).alias("p")
+    target = others.withColumnsRenamed({"x": "_ox", "y": "_oy"}).alias("o")
     gap = (F.col("x") - F.col("_ox")) ** 2 + (F.col("y") - F.col("_oy")) ** 2
     limit = F.lit(float(radius) ** 2)
-    rim_probe = probe(still_open, rim).alias("p")
-    same = [F.col(f"p.{k}") == F.col(f"o.{k}") for k in cell_key]
-    test = gap <= limit if inclusive else gap < limit
-    condition = test
-    for part in same:
-        condition = condition & part
-    measured = (rim_probe.join(target.alias("o"), condition, "left_semi")
-                .select(*keys, "x", "y").distinct())
-    found = settled.unionByName(measured).withColumn(flag, F.lit(True))
-    return left.join(found, [*keys, "x", "y"], "left").withColumn(flag, F.coalesce(F.col(flag), F.lit(False)))
+    condition = gap <= limit if inclusive else gap < limit
+    for k in square:
+        condition = condition & (F.col(f"p.{k}") == F.col(f"o.{k}"))
+    measured = probe.join(target, condition, "left_semi").select(*keys, "x", "y").distinct().withColumn("_rim", F.lit(True))
+    return marked.join(measured, [*keys, "x", "y"], "left").withColumn(
+        flag, F.col("_own").isNotNull() | F.col("_rim").isNotNull()).drop("_gx", "_gy", "_own", "_rim")
 
 
 def in_ring(x: Column, y: Column, ring: Column) -> Column:

@@ -59,12 +59,13 @@ def polygon_pixels(polygons: DataFrame) -> DataFrame:
     A polygon is cut into pixel rows; each row's edge crossings, sorted, bound its filled spans. The
     work is the area filled, not the bounding box times the number of edges.
     """
-    b = ring_bounds(F.col("ring"))
-    rows = polygons.withColumn("y", F.explode(F.sequence(F.ceil(b["y0"]), F.floor(b["y1"]))))
     n = F.size("ring")
     edges = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(
         F.get(F.col("ring"), i).alias("a"), F.get(F.col("ring"), (i + 1) % n).alias("b")))
-    spanning = F.filter(edges, lambda e: (e["a"]["y"] > F.col("y")) != (e["b"]["y"] > F.col("y")))
+    b = ring_bounds(F.col("ring"))
+    rows = polygons.select("slide_id", "cell_id", edges.alias("_e"), F.explode(
+        F.sequence(F.ceil(b["y0"]), F.floor(b["y1"]))).alias("y"))
+    spanning = F.filter("_e", lambda e: (e["a"]["y"] > F.col("y")) != (e["b"]["y"] > F.col("y")))
     at = F.transform(spanning, lambda e: e["a"]["x"] + (F.col("y") - e["a"]["y"]) * (
         e["b"]["x"] - e["a"]["x"]) / (e["b"]["y"] - e["a"]["y"]))
     crossings = rows.withColumn("_c", F.sort_array(at)).filter(F.size("_c") > 1)
