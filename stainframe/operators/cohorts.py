@@ -14,6 +14,13 @@ from stainframe.functions.ordering import exact_percentiles, running_totals
 COUNT_NAMES = ("negative", "weak_1plus", "moderate_2plus", "strong_3plus")
 
 
+def correlation(a: Column, b: Column) -> Column:
+    """Aggregate: Pearson r over rows that have both, null where either side is constant."""
+    both = a.isNotNull() & b.isNotNull()
+    x, y = F.when(both, a), F.when(both, b)
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
 def baseline_summary(baseline: DataFrame, region: str = PATIENT) -> DataFrame:
     """Baseline rows of one region with the share of cells graded 2 or more and eligibility."""
     strong = F.col("moderate_2plus") + F.col("strong_3plus")
@@ -66,7 +73,7 @@ def cohort_summary(comparison: DataFrame) -> DataFrame:
 
     def agreement(name: str) -> list[Column]:
         a, b = matched(f"bl_{name}"), matched(f"co_{name}")
-        return [F.when(n_both >= 3, F.corr(a, b)).alias(f"{name}_correlation"),
+        return [F.when(n_both >= 3, correlation(a, b)).alias(f"{name}_correlation"),
                 F.when(n_both >= 3, F.avg(F.abs(a - b))).alias(f"{name}_mae")]
 
     bl, co = F.count_if(F.col("in_baseline")), F.count_if(F.col("in_cohort"))
@@ -224,7 +231,7 @@ def paired_agreement(pairs: DataFrame, keys: Sequence[str] = (), a: str = "a", b
         n.alias("n_pairs"), F.avg(m).alias("a_mean"), F.stddev_pop(m).alias("a_std"), F.avg(e).alias("b_mean"),
         F.stddev_pop(e).alias("b_std"), F.avg(d).alias("mean_diff"), F.stddev_pop(d).alias("std_diff"),
         F.count_if(d > 0).alias("a_higher"), F.count_if(d < 0).alias("b_higher"), F.count_if(d == 0).alias("equal"),
-        F.corr(m, e).alias("pearson_r"), F.sum(d * d).alias("_sq"))
+        correlation(m, e).alias("pearson_r"), F.sum(d * d).alias("_sq"))
     grand = (F.col("a_mean") + F.col("b_mean")) / 2
     between = F.col("n_pairs") * ((F.col("a_mean") - grand) ** 2 + (F.col("b_mean") - grand) ** 2)
     error = F.try_divide(F.col("_sq") / 2, F.col("n_pairs") - 1)

@@ -121,19 +121,24 @@ def consensus_pixels(labels: DataFrame, models: Sequence[str], min_agreement: in
     return out.filter(F.col("consensus_id") > 0)
 
 
-def model_pairs(labels: DataFrame) -> DataFrame:
-    """IoU of overlapping instances of every two models. A pixel lists its few models once."""
+def pixel_stacks(labels: DataFrame) -> DataFrame:
+    """The sorted list of (model, instance) at every pixel that some model calls cell; a few entries each."""
     on = labels.filter(F.col("inst_id") > 0)
-    areas = on.groupBy(*TILE, "model", "inst_id").agg(F.count(F.lit(1)).alias("area"))
-    stack = on.groupBy(*TILE, "x", "y").agg(F.sort_array(F.collect_list(F.struct("model", "inst_id"))).alias("m"))
+    return on.groupBy(*TILE, "x", "y").agg(F.sort_array(F.collect_list(F.struct("model", "inst_id"))).alias("m"))
+
+
+def model_pairs(stacks: DataFrame) -> DataFrame:
+    """IoU of overlapping instances of every two models. `stacks`: tile, `m`, and `n` pixels that have it."""
+    areas = stacks.select(*TILE, "n", F.explode("m").alias("i")).groupBy(*TILE, "i").agg(F.sum("n").alias("area"))
     two = F.flatten(F.transform("m", lambda a: F.transform(
         F.filter("m", lambda b: b["model"] > a["model"]), lambda b: F.struct(a.alias("a"), b.alias("b")))))
-    pairs = stack.select(*TILE, F.explode(two).alias("t")).groupBy(
-        *TILE, F.col("t.a.model").alias("ma"), F.col("t.a.inst_id").alias("p"), F.col("t.b.model").alias("mb"),
-        F.col("t.b.inst_id").alias("g")).agg(F.count(F.lit(1)).alias("n"))
-    pairs = pairs.join(areas.withColumnsRenamed({"model": "ma", "inst_id": "p", "area": "_a"}), [*TILE, "ma", "p"])
-    pairs = pairs.join(areas.withColumnsRenamed({"model": "mb", "inst_id": "g", "area": "_b"}), [*TILE, "mb", "g"])
-    return pairs.withColumn("iou", F.col("n") / (F.col("_a") + F.col("_b") - F.col("n"))).drop("_a", "_b", "n")
+    pairs = stacks.select(*TILE, "n", F.explode(two).alias("t")).groupBy(
+        *TILE, F.col("t.a").alias("a"), F.col("t.b").alias("b")).agg(F.sum("n").alias("n"))
+    pairs = pairs.join(areas.withColumnsRenamed({"i": "a", "area": "_a"}), [*TILE, "a"])
+    pairs = pairs.join(areas.withColumnsRenamed({"i": "b", "area": "_b"}), [*TILE, "b"])
+    return pairs.select(
+        *TILE, F.col("a.model").alias("ma"), F.col("a.inst_id").alias("p"), F.col("b.model").alias("mb"),
+        F.col("b.inst_id").alias("g"), (F.col("n") / (F.col("_a") + F.col("_b") - F.col("n"))).alias("iou"))
 
 
 def connected_components(nodes: DataFrame, edges: DataFrame, keys: Sequence[str], max_rounds: int = 64) -> DataFrame:
@@ -171,19 +176,21 @@ def consensus_instances(
     cells claim a pixel the later number has it.
     """
     node = lambda m, i: F.struct(F.col(m).alias("model"), F.col(i).alias("inst_id"))
-    matches = match_instances(model_pairs(labels), threshold, [*TILE, "ma", "mb"])
+    px = pixel_stacks(labels)
+    # Pixels with the same list vote alike, so everything but the last join works on distinct lists.
+    stacks = cut_lineage(px.groupBy(*TILE, "m").agg(F.count(F.lit(1)).alias("n")))
+    matches = match_instances(model_pairs(stacks), threshold, [*TILE, "ma", "mb"])
     edges = matches.select(*TILE, node("ma", "p").alias("a"), node("mb", "g").alias("b"))
-    on = labels.filter(F.col("inst_id") > 0)
-    nodes = on.select(*TILE, node("model", "inst_id").alias("node")).distinct()
-    comp = connected_components(nodes, edges, TILE)
+    seats = stacks.select(*TILE, "m", F.explode("m").alias("node"))
+    comp = connected_components(seats.select(*TILE, "node").distinct(), edges, TILE)
     agreed = comp.groupBy(*TILE, "component").agg(
         F.count(F.lit(1)).alias("n_members"), F.count_distinct("node.model").alias("n_models")).filter(
         F.col("n_models") >= min_agreement)
     number = F.row_number().over(Window.partitionBy(*TILE).orderBy("component"))
     agreed = agreed.withColumn("consensus_id", number)
-    members = comp.join(agreed, [*TILE, "component"]).select(
-        *TILE, F.col("node.model").alias("model"), F.col("node.inst_id").alias("inst_id"), "consensus_id", "n_members")
-    votes = on.join(members, [*TILE, "model", "inst_id"]).groupBy(*TILE, "x", "y", "consensus_id").agg(
+    members = comp.join(agreed, [*TILE, "component"]).select(*TILE, "node", "consensus_id", "n_members")
+    votes = seats.join(members, [*TILE, "node"]).groupBy(*TILE, "m", "consensus_id").agg(
         F.count(F.lit(1)).alias("_v"), F.first("n_members").alias("_m"))
-    return votes.filter(F.col("_v") >= F.col("_m") / 2).groupBy(*TILE, "x", "y").agg(
+    owners = votes.filter(F.col("_v") >= F.col("_m") / 2).groupBy(*TILE, "m").agg(
         F.max("consensus_id").alias("consensus_id"))
+    return px.join(owners, [*TILE, "m"]).select(*TILE, "x", "y", "consensus_id")

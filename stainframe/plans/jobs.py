@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stainframe.constants import PATIENT
+from stainframe.functions.lineage import cut_lineage
 from stainframe.functions.stain import with_dab
 from stainframe.operators import cohorts as C
 from stainframe.operators import growth as W
@@ -32,6 +33,8 @@ def label_cells(
     closed = R.morph_ellipse(marked, "mask", "close", 5, 1, "_wall").withColumn(
         "_wall", F.col("_wall") & (F.col("nuc_id") == 0))
     grown = W.grow_regions(closed, "_wall", cap, "cell_id", extent, carry=["nuc_id", "dab"])
+    # The filter, the renumbering and the result all read the grown labels: grown once, kept.
+    grown = cut_lineage(grown)
     keep = I.filter_cells(grown).filter(F.col("reason") == "kept")
     if pad and tile_size:
         keep = keep.join(I.center_zone_filter(grown, tile_size, pad).select(*P.TILE, "id"), [*P.TILE, "id"], "left_semi")

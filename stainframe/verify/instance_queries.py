@@ -11,6 +11,7 @@ from stainframe.operators import matching as M
 from stainframe.operators import pixels as P
 from stainframe.operators import profiles as R
 from stainframe.operators import tile_filters as TF
+from stainframe.operators.rasters import gaussian_smooth
 from stainframe.verify.pixel_queries import COLS, EXTENT, GRAY8, SAT, TEXTURE
 from stainframe.verify.registry import query, rounded
 from stainframe.verify.sqltext import KEY, box, ellipse, near
@@ -242,7 +243,8 @@ def _(t):
 
 @query("thickness_radial_fwhm")
 def _(t):
-    return rounded(R.thickness_radial_fwhm(t.stained))
+    soft = gaussian_smooth(t.stained, "dab", 2.0, "dab_soft", EXTENT, carry=["cell_id"])
+    return rounded(R.thickness_radial_fwhm(soft.withColumnRenamed("dab_soft", "dab")))
 
 
 def octagons(t):
