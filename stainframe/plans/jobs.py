@@ -30,6 +30,8 @@ def label_cells(
     """
     stained = with_dab(pixels)
     marked = P.threshold_mask(stained, P.otsu_per_slide(stained), ["slide_id"]).drop("threshold")
+    # Stained nuclei are no membrane: left in, closing would bridge the cytoplasm beside them.
+    marked = marked.withColumn("mask", F.col("mask") & (F.col("nuc_id") == 0))
     closed = R.morph_ellipse(marked, "mask", "close", 5, 1, "_wall").withColumn(
         "_wall", F.col("_wall") & (F.col("nuc_id") == 0))
     grown = W.grow_regions(closed, "_wall", cap, "cell_id", extent, carry=["nuc_id", "dab"])
