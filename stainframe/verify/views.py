@@ -289,8 +289,8 @@ class Tables:
             return with_dab(self.pixels)
         text = VIEWS[name](SPARK)
         args = {dep: getattr(self, dep) for dep in _needs(text)}
-        if name == "pixels":
-            # One small shuffle of the tile list; the rasters then stay where their tile is. The number
+        if name in ("pixels", "thumbs"):
+            # One small shuffle of the tile or slide list; the rasters then stay where it put them. The number
             # is given, or Spark would merge the short list into one task before it grows to pixels.
             n = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), self.spark.sparkContext.defaultParallelism)
             args["supplier"] = args["supplier"].select("s_suppkey").repartition(n, "s_suppkey")
