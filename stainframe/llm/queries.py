@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stainframe.llm import packing, quality_rules, simhash, url_filter
+from stainframe.llm import packing, quality_rules, secrets, simhash, topk, url_filter
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -33,11 +33,21 @@ def op8_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return url_filter.judge(_table(spark, folder, "pages"), rules, keep=("page_id",))
 
 
+def op9_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    return topk.top_k(_table(spark, folder, "embeddings"))
+
+
+def op10_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    return secrets.digest(secrets.scan(_table(spark, folder, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_host_rules": op2_host_rules,
     "op6_simhash": op6_simhash,
     "op7_packing": op7_packing,
     "op8_url_filter": op8_url_filter,
+    "op9_top_k": op9_top_k,
+    "op10_secrets": op10_secrets,
 }
 
-ORACLE: dict[str, str] = {"op2_host_rules": quality_rules.SQL, "op8_url_filter": url_filter.SQL}
+ORACLE: dict[str, str] = {"op2_host_rules": quality_rules.SQL, "op8_url_filter": url_filter.SQL, "op9_top_k": topk.SQL}
