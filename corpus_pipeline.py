@@ -3,22 +3,52 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from stainframe.llm import packing, simhash
+from stainframe.llm import packing, quality_classifier, secrets, simhash, toxicity
 from stainframe.llm.common import written
 
+#: Documents at this toxicity or more go; so do those under this quality.
+CUT = 0.7
 
-def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def _columns(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    return rows.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose toxicity is 0.7 or more go."""
+    model = toxicity.train(docs, _labels(spark, sf_dir))
+    return _columns(toxicity.with_score(docs, model, name="_score").where(F.col("_score") < CUT), docs)
+
+
+def poor_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose quality is under 0.7 go."""
+    model = quality_classifier.train(docs, _labels(spark, sf_dir))
+    return _columns(quality_classifier.with_score(docs, model, name="_score").where(F.col("_score") >= CUT), docs)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate class stays: the one with the smallest id."""
-    return simhash.representatives(docs)
+    return _columns(simhash.representatives(docs), docs)
+
+
+def masked_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents stay; every secret found in a text gives way to a mark."""
+    return _columns(secrets.masked(docs), docs)
 
 
-def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def packed_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents left, as pieces placed in sequences of 1024 ids."""
     return packing.packed(docs)
 
 
-STAGES = [("simhash near-dedup", near_dedup), ("best-fit packing", best_fit_packing)]
+STAGES = [("toxicity", toxic_documents), ("quality classifier", poor_documents), ("simhash near-dedup", near_copies),
+          ("secret scans", masked_secrets), ("best-fit packing", packed_documents)]
 
 #: Trained scores, SimHash links and packing are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
