@@ -18,6 +18,8 @@ WINDOW, STRIDE = 32, 24
 WORD, CHAR, STATE = 8, 8, 8
 #: Slots of the hashed character n-grams; most words of the vocabulary, and in how many sample texts one must stand.
 GRAMS, VOCABULARY, LEAST_TEXTS = 1 << 14, 20_000, 3
+#: Contexts a word or n-gram must have for a leaning: a rare one would only repeat the labels of its own texts.
+LEAST_CONTEXTS = 8
 #: Most distinct words whose inputs a task keeps, and windows run at once.
 CACHE, BATCH = 300_000, 8192
 
@@ -78,15 +80,28 @@ def initial(words: int, seed: int) -> Params:
     return {k: v.astype(np.float32) for k, v in p.items()}
 
 
+def leanings(key: np.ndarray, toxic: np.ndarray, size: int) -> np.ndarray:
+    """For each of `size` keys, how far its count in toxic texts is from what its count alone makes likely.
+
+    log(1 + |z|) with the sign of z, z = (count - expected) / sqrt(expected + 1); 0 for keys with fewer than LEAST_CONTEXTS.
+    """
+    of_toxic = np.bincount(key[toxic], minlength=size).astype(np.float64)
+    every = np.bincount(key, minlength=size)
+    expected = every * (toxic.sum() / max(1, len(toxic)))
+    z = np.where(every >= LEAST_CONTEXTS, (of_toxic - expected) / np.sqrt(expected + 1), 0)
+    return np.sign(z) * np.log1p(np.abs(z))
+
+
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * np.tanh(0.5 * x) + 0.5
 
 
 def inputs(p: Params, known: np.ndarray, flat: np.ndarray, of: np.ndarray) -> np.ndarray:
-    """(distinct words, WORD + CHAR): the word's own vector beside the mean vector of its character n-grams."""
+    """(distinct words, WORD + CHAR): the word's own vector beside the sum of its character n-grams' vectors over
+    the root of their number."""
     n = np.bincount(of, minlength=len(known)).astype(np.float32)
     begin = np.concatenate([[0], np.cumsum(n[:-1])]).astype(np.int64)
-    chars = np.add.reduceat(p["gram"][flat], begin, axis=0) / n[:, None] if len(flat) else np.zeros((len(known), CHAR), np.float32)
+    chars = np.add.reduceat(p["gram"][flat], begin, axis=0) / np.sqrt(n)[:, None] if len(flat) else np.zeros((len(known), CHAR), np.float32)
     return np.concatenate([p["word"][known], chars], axis=1)
 
 
@@ -188,15 +203,15 @@ def gradients(p: Params, known: np.ndarray, flat: np.ndarray, of: np.ndarray, in
     g["word"][0] = 0
     g["gram"] = np.zeros_like(p["gram"])
     n = np.bincount(of, minlength=len(known)).astype(np.float32)
-    np.add.at(g["gram"], flat, (dx[:, WORD:] / np.maximum(n, 1)[:, None])[of])
+    np.add.at(g["gram"], flat, (dx[:, WORD:] / np.sqrt(np.maximum(n, 1))[:, None])[of])
     return g, logit
 
 
-def fit(texts: list[str], labels: list[int], epochs: int = 3, batch: int = 512, rate: float = 0.01, seed: int = 7) -> dict:
+def fit(texts: list[str], labels: list[int], passes: int = 3, least_steps: int = 150, batch: int = 512, rate: float = 0.03, table_rate: float = 0.3, seed: int = 7) -> dict:
     """The network and its calibration from labelled texts (the bounded sample).
 
-    A text's label says only that some window of it is toxic. Windows take their text's label at first; after each
-    pass those of toxic texts keep it only if the network finds them the likelier ones (its best window always does). In
+    A text's label says only that some window of it is toxic. Windows take their text's label at first; now and
+    then those of toxic texts keep it only if the network finds them the likelier ones (its best window always does). In
     training a third of the words stand without their own vector, so that the characters have to tell as well. A
     text's logit is the highest of its windows; a logistic curve on it gives the score. With one class only
     there is nothing to learn and the score is that class.
@@ -217,6 +232,19 @@ def fit(texts: list[str], labels: list[int], epochs: int = 3, batch: int = 512,
     doc = np.array(labels, np.float32)
     target = doc[text_of].copy()
     r, p = np.random.default_rng(seed), initial(len(vocabulary), seed)
+    # Words and n-grams start with their leaning as first coordinate. A word counts once for each word before it, so
+    # that copies of a text, which repeat its contexts, do not make all of its words lean.
+    met = np.unique(np.concatenate([np.stack([np.append(-1, c[:-1]), c, np.full(len(c), int(y))], axis=1) for c, y in zip(coded, labels) if len(c)]
+                                   or [np.zeros((0, 3), np.int64)]), axis=0)
+    toxic = met[:, 2] == 1
+    p["word"][:, 0] = leanings(known[met[:, 1]], toxic, len(vocabulary) + 1)
+    p["word"][0] = 0
+    many = (first[1:] - first[:-1])[met[:, 1]]
+    spots = np.arange(many.sum()) + np.repeat(first[met[:, 1]] - np.cumsum(many) + many, many)
+    p["gram"][:, 0] = leanings(flat_all[spots], np.repeat(toxic, many), GRAMS)
+    # A small sample is gone through more often, so that the weights get as many steps as they need.
+    batch = min(batch, max(32, len(index) // 8))
+    epochs = max(passes, -(-least_steps // max(1, len(index) // batch)))
     m, v = ({k: np.zeros_like(x) for k, x in p.items()} for _ in range(2))
     step = 0
 
@@ -240,7 +268,9 @@ def fit(texts: list[str], labels: list[int], epochs: int = 3, batch: int = 512,
             for k in p:
                 m[k] += 0.1 * (g[k] - m[k])
                 v[k] += 0.001 * (g[k] * g[k] - v[k])
-                p[k] -= (pace * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
+                p[k] -= (pace * (table_rate if k in ("word", "gram") else 1) * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
+        if epoch % max(1, epochs // passes) and epoch + 1 < epochs:
+            continue
         at = scored()
         best = np.full(len(doc), -np.inf)
         np.maximum.at(best, text_of, at)
