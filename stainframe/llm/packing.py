@@ -14,6 +14,8 @@ from stainframe.llm.common import written
 
 #: Slices of one length's pieces, so that a length that a third of the pieces have is not numbered in one task.
 SLICES = 64
+#: How many of the longest available lengths are tried as the largest part of a pair or triple: 0 (single lengths only), 1 or 4.
+REACHES = (0, 1, 4)
 
 
 def encoder(name: str = "byte_bpe_50k"):
@@ -64,51 +66,48 @@ def pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: in
 def plan(counts: np.ndarray, size: int) -> list[tuple[int, tuple[int, ...]]]:
     """(times, lengths) of sequences that use up `counts[l]` pieces of each length l in 0..size.
 
-    Works on the counts alone, so its cost does not depend on the number of pieces. From the longest length down,
-    a piece's gap is looked up in the hashed sums: a single length that is the gap, else the pair of available
-    lengths with that sum whose larger one is largest, else such a triple; as many sequences as the counts allow
-    are taken at once, each closing exactly. When nothing closes a gap any more, what is left is packed by best
-    fit, longest first, bins of equal gaps together.
+    Works on the counts alone, so its cost does not depend on the number of pieces. How freely pairs and triples
+    should be spent depends on the lengths, so the counts are planned with each of `REACHES`; the fewest sequences win.
+    """
+    return min((filled(counts, size, reach) for reach in REACHES), key=lambda p: sum(n for n, _ in p))
+
+
+def filled(counts: np.ndarray, size: int, reach: int) -> list[tuple[int, tuple[int, ...]]]:
+    """One plan: exact complements first, then best fit.
+
+    Full pieces stand alone. Then each length's gap is looked up in the hashed sums: by single lengths, after all of
+    those by pairs, after these by triples. The largest part of a pair or triple is one of the `reach` longest available
+    that fit. As many sequences as the counts allow are closed at once. What no sum closes is packed by best fit,
+    longest first, bins of equal gaps together.
     """
     have = counts.astype(np.int64).copy()
     have[0] = 0
     out: list[tuple[int, tuple[int, ...]]] = []
 
-    def enough(parts: tuple[int, ...]) -> int:
-        return min(int(have[p]) // parts.count(p) for p in set(parts))
-
-    def take(parts: tuple[int, ...]) -> None:
-        n = enough(parts)
-        out.append((n, parts))
-        for p in parts:
-            have[p] -= n
-
-    def pair(gap: int, most: int, held: tuple[int, ...]) -> tuple[int, int] | None:
-        """Two available lengths with this sum, the larger at most `most` and as large as can be."""
-        a = np.arange(min(most, gap - 1), (gap + 1) // 2 - 1, -1)
-        if not len(a):
-            return None
-        for x in a[(have[a] > 0) & (have[gap - a] > 0)].tolist():
-            if enough((*held, x, gap - x)) > 0:
-                return x, gap - x
-        return None
-
-    def fill(long: int) -> tuple[int, ...] | None:
-        gap = size - long
-        if gap == 0:
-            return ()
-        if have[gap] and enough((long, gap)) > 0:
-            return (gap,)
-        if two := pair(gap, long, (long,)):
-            return two
-        for x in range(min(long, gap - 2), (gap + 2) // 3 - 1, -1):
-            if have[x] and (two := pair(gap - x, x, (long, x))):
-                return (x, *two)
+    def enough(parts: tuple[int, ...]) -> bool:
+        return all(have[p] >= parts.count(p) for p in set(parts))
+
+    def longest(most: int, least: int) -> list[int]:
+        x = np.arange(most, least - 1, -1)
+        return x[have[x] > 0][:reach].tolist() if len(x) else []
+
+    def closed(held: tuple[int, ...], gap: int, parts: int) -> tuple[int, ...] | None:
+        """`held` with `parts` further lengths, none longer than the last held, that add up to `gap`."""
+        if parts < 2:
+            own = (*held, gap) if parts else held
+            return own if gap == 0 or (parts and gap <= held[-1] and enough(own)) else None
+        for x in longest(min(held[-1], gap - parts + 1), -(-gap // parts)):
+            if enough((*held, x)) and (own := closed((*held, x), gap - x, parts - 1)):
+                return own
         return None
 
-    for long in range(size, 0, -1):
-        while have[long] and (rest := fill(long)) is not None:
-            take((long, *rest))
+    for parts in range(4):
+        for length in range(1, size + 1):
+            while have[length] and (own := closed((length,), size - length, parts)):
+                n = min(int(have[p]) // own.count(p) for p in set(own))
+                out.append((n, own))
+                for p in own:
+                    have[p] -= n
 
     # Best fit of the rest: open[gap] lists (times, parts) of bins with that gap.
     open_: dict[int, list[tuple[int, tuple[int, ...]]]] = {}
