@@ -116,7 +116,7 @@ def novel_spans(raw: bytes, low: bytes, taken: list[tuple[int, int, str]], novel
     return out
 
 
-def spans(text: str | None, novelty: float = 0.75) -> list[tuple[int, int, str]]:
+def spans(text: str | None, novelty: float = 0.9) -> list[tuple[int, int, str]]:
     """(start, end, kind) in code points, end exclusive, by start and then kind as listed in `KINDS`."""
     raw = (text or "").encode("utf-8", "surrogatepass")
     low = raw.lower()
@@ -133,7 +133,7 @@ def joined(found: list[tuple[int, int, str]]) -> str:
     return ",".join(f"{k}:{a}:{e}" for a, e, k in found)
 
 
-def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", novelty: float = 0.75) -> DataFrame:
+def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", novelty: float = 0.9) -> DataFrame:
     """(doc_id, spans array<struct<start, end, kind>>), one row for each row of `docs`.
 
     A row needs nothing but itself. Null text is empty and has no spans; repeated rows stay; an empty table gives no
@@ -159,7 +159,7 @@ def digest(scanned: DataFrame) -> DataFrame:
     return scanned.select("doc_id", *counts, F.sha2(text(F.filter("spans", lambda s: s.kind != "novel")).cast("binary"), 256).alias("base_sha256"), text(F.col("spans")).alias("spans"))
 
 
-def masked(docs: DataFrame, text: str = "text", n_chars: str | None = "n_chars", mark: str = "[secret]", novelty: float = 0.75) -> DataFrame:
+def masked(docs: DataFrame, text: str = "text", n_chars: str | None = "n_chars", mark: str = "[secret]", novelty: float = 0.9) -> DataFrame:
     """`docs` with every span replaced by `mark` (overlapping ones by one) and `n_chars` counted anew where that changes a text."""
     @F.pandas_udf("string")
     def hidden(texts: pd.Series) -> pd.Series:
