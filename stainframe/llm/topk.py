@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from stainframe.llm.common import written
 
-#: Entries of a page.
-PAGE = 64
+#: Entries of a page: enough that measuring a page outweighs opening it.
+PAGE = 512
 #: Slack, relative to the largest distance, that makes bounds from rounded square roots safe.
 SLACK = 1e-9
 
@@ -27,6 +27,7 @@ class Node:
     radius: float
     children: list[Node] = field(default_factory=list)
     rows: np.ndarray | None = None  # of the tree's vectors
+    vectors: np.ndarray | None = None  # theirs, whole numbers, side by side
     to_parent: np.ndarray | None = None  # of each entry: its distance to `centre`
 
 
@@ -34,8 +35,8 @@ def dist(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.square(a - b).sum(axis=-1))
 
 
-def build(x: np.ndarray, rows: np.ndarray | None = None) -> Node:
-    """An M-tree over `x`: rows go to the nearest of up to 64 routing objects, chosen far apart, and so on below.
+def build(x: np.ndarray, vectors: np.ndarray, rows: np.ndarray | None = None) -> Node:
+    """An M-tree over the points `x`: rows go to the nearest of a few routing objects, chosen far apart, and so on below.
 
     Rows that cannot be told apart are cut by count, so that a crowd of equal vectors is pages too.
     """
@@ -44,7 +45,7 @@ def build(x: np.ndarray, rows: np.ndarray | None = None) -> Node:
     centre = own[np.argmin(dist(own, own.mean(axis=0)))]
     d = dist(own, centre)
     if len(rows) <= PAGE:
-        return Node(centre, float(d.max()), rows=rows, to_parent=d)
+        return Node(centre, float(d.max()), rows=rows, vectors=np.ascontiguousarray(vectors[rows]), to_parent=d)
     want = min(PAGE, -(-len(rows) // (PAGE // 2)))
     routes, near = [int(np.argmax(d))], np.full(len(rows), np.inf)
     owner = np.zeros(len(rows), np.int64)
@@ -58,20 +59,20 @@ def build(x: np.ndarray, rows: np.ndarray | None = None) -> Node:
     parts = [rows[owner == k] for k in range(len(routes))]
     if len(routes) == 1:
         parts = np.array_split(rows, want)
-    children = [build(x, p) for p in parts if len(p)]
+    children = [build(x, vectors, p) for p in parts if len(p)]
     return Node(centre, float(d.max()), children, to_parent=np.array([dist(c.centre, centre) for c in children]))
 
 
-def search(tree: Node, x: np.ndarray, score, ids: np.ndarray, q: np.ndarray, k: int, skip: int, scale: float) -> list[tuple[int, int]]:
+def search(tree: Node, ids: np.ndarray, q: np.ndarray, k: int, skip: int, scale: float) -> list[tuple[int, int]]:
     """The k best (score, id) of one query: highest score, ties to the smaller id.
 
-    `x` and `q` are points whose distance falls as the score rises, `score(rows)` the exact scores. Pages are taken
-    in order of their least possible distance; an entry is measured only if its stored parent distance does not
+    The distance from point `q` falls as the score rises; the score of a row is the exact product of its vector with q's.
+    Pages are taken in order of their least possible distance; an entry is measured only if its stored parent distance does not
     already rule it out, and a page is opened only if it can still hold one of the k best.
     """
     best: list[tuple[int, int]] = []  # a heap, worst first: (score, -id)
     worst = np.inf  # distance of the k-th best
-    slack = SLACK * scale
+    slack, v = SLACK * scale, q[:-1]
     queue, n = [(0.0, 0, tree, float(dist(tree.centre, q)))], 0
     while queue:
         least, _, node, d = heapq.heappop(queue)
@@ -90,16 +91,17 @@ def search(tree: Node, x: np.ndarray, score, ids: np.ndarray, q: np.ndarray, k:
                         n += 1
                         heapq.heappush(queue, (bound, n, child, e))
             continue
-        rows = node.rows[apart <= worst + slack]
-        if not len(rows):
+        may = apart <= worst + slack
+        if not may.any():
             continue
-        values = score(rows)
+        rows, vectors = (node.rows, node.vectors) if may.all() else (node.rows[may], node.vectors[may])
+        values = (vectors @ v).astype(np.int64)
         if len(best) == k:
             rows, values = rows[values >= best[0][0]], values[values >= best[0][0]]
-        for r, v in zip(rows.tolist(), values.tolist()):
+        for r, s in zip(rows.tolist(), values.tolist()):
             if ids[r] == skip:
                 continue
-            item = (v, -int(ids[r]))
+            item = (s, -int(ids[r]))
             if len(best) < k:
                 heapq.heappush(best, item)
             elif item > best[0]:
@@ -107,7 +109,7 @@ def search(tree: Node, x: np.ndarray, score, ids: np.ndarray, q: np.ndarray, k:
         if len(best) == k:
             # The distance that goes with the k-th score.
             worst = float(np.sqrt(max(0.0, scale * scale + float(q @ q) - 2 * best[0][0])))
-    return [(v, -i) for v, i in sorted(best, key=lambda t: (-t[0], -t[1]))]
+    return [(s, -i) for s, i in sorted(best, key=lambda t: (-t[0], -t[1]))]
 
 
 def quantized(rows: DataFrame, vec_id: str, embedding: str, factor: int) -> DataFrame:
@@ -155,10 +157,9 @@ def top_k(rows: DataFrame, k: int = 20, every: int = 20, factor: int = 64, vec_i
         if len(c):
             x[c, -1] = np.sqrt(np.maximum(0.0, most - norms[c]))
             points_, exact, own = x[c], whole[c], ids[c]
-            tree = build(points_)
+            tree = build(points_, exact)
             for i in np.flatnonzero(query):
-                v = whole[i]
-                got = search(tree, points_, lambda r: (exact[r] @ v).astype(np.int64), own, x[i], k, ids[i], float(np.sqrt(most)))
+                got = search(tree, own, x[i], k, ids[i], float(np.sqrt(most)))
                 out += [(ids[i], j, s) for s, j in got]
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
 
