@@ -26,6 +26,16 @@ def _range_split(df: DataFrame, order: Sequence[Column]) -> DataFrame:
     return cut_lineage(split)
 
 
+def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join in which a null key meets a null key; the key columns are the left side's."""
+    named = right.withColumnsRenamed({k: f"_k_{k}" for k in keys})
+    on = F.lit(True)
+    for i, k in enumerate(keys):
+        same = F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+        on = same if i == 0 else on & same
+    return left.join(named, on, how).drop(*[f"_k_{k}" for k in keys])
+
+
 def running_totals(
     df: DataFrame, order: Sequence[Column], totals: Mapping[str, Column]
 ) -> DataFrame:
@@ -63,7 +73,7 @@ def rank_within(
         return ranked.withColumn(rank, F.col("_pos") - 1).withColumn(size, F.col("_pos_total")).drop(
             "_pos", "_pos_total")
     starts = ranked.groupBy(*keys).agg(F.min("_pos").alias("_start"), F.count(F.lit(1)).alias(size))
-    return (ranked.join(starts, list(keys)).withColumn(rank, F.col("_pos") - F.col("_start"))
+    return (join_on(ranked, starts, keys).withColumn(rank, F.col("_pos") - F.col("_start"))
             .drop("_pos", "_pos_total", "_start"))
 
 
@@ -95,6 +105,7 @@ def exact_percentiles(
 
     Equal values are counted first. The counts go into logarithmic buckets, the short bucket list
     says which bucket holds each wanted rank, and only the values of those buckets are ordered.
+    Null keys are groups too.
     Groups whose values are all null give no row.
     """
     keys = list(keys)
@@ -127,7 +138,7 @@ def exact_percentiles(
     targets = targets.groupBy(*keys, "_b", "_before").agg(
         F.collect_list(F.struct("_name", "_frac", "_r")).alias("_targets"))
     inside = Window.partitionBy(*group, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    hit = counts.join(targets, [*keys, "_b"]).withColumn("_upto", F.col("_before") + F.sum("_n").over(inside))
+    hit = join_on(counts, targets, [*keys, "_b"]).withColumn("_upto", F.col("_before") + F.sum("_n").over(inside))
     hit = hit.select(*keys, "_v", "_n", "_upto", F.explode("_targets").alias("_t"))
     hit = hit.filter((F.col("_upto") > F.col("_t._r.rank"))
                      & (F.col("_upto") - F.col("_n") <= F.col("_t._r.rank")))

@@ -67,6 +67,12 @@ def deconvolve_multi(pixels: DataFrame, sets: dict[str, Vectors] = VECTOR_SETS)
             .withColumns({"vector_set": F.col("_s.name"), "dab": F.col("_s.dab")}).drop("_s"))
 
 
+def dab_votes(pixels: DataFrame, limit: float, sets: dict[str, Vectors] = VECTOR_SETS) -> DataFrame:
+    """`votes` = share of the vector sets whose DAB is above `limit`, as one expression of the pixel's own row."""
+    each = [(stains(v)[1] > limit).cast("int") for v in sets.values()]
+    return pixels.withColumn("votes", sum(each[1:], each[0]) / float(len(each)))
+
+
 def stain_matrix(vectors: DataFrame) -> DataFrame:
     """Inverse matrices of a table of vectors `h1..h3, d1..d3, r1..r3`, as columns `i11..i33`."""
     cols: dict[str, Column] = {}

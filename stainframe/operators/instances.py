@@ -271,12 +271,10 @@ def nucleus_interior_dab(pixels: DataFrame, min_px: int = 10) -> DataFrame:
         F.when(F.count_if(inner) > min_px, _mean("dab", inner)).alias("interior_dab"))
 
 
-def nucleus_ring_score(pixels: DataFrame, k: int = 11, max_nuclei: int = 50, min_px: int = 10) -> DataFrame:
-    """How ring-like the stain is: mean of ring/(ring + nucleus) over the first nuclei, times DAB presence."""
+def nucleus_ring_score(pixels: DataFrame, k: int = 11, min_px: int = 10) -> DataFrame:
+    """How ring-like the stain is: mean of ring/(ring + nucleus) over all nuclei, times DAB presence."""
     ids = pixels.filter(F.col("nuc_id") > 0).groupBy(*TILE, F.col("nuc_id").alias("id")).agg(
         F.count(F.lit(1)).alias("n_nucleus"), F.avg("dab").alias("nucleus"))
-    first = F.row_number().over(Window.partitionBy(*TILE).orderBy("id"))
-    ids = ids.withColumn("_rn", first).filter(F.col("_rn") <= max_nuclei).drop("_rn")
     rings = nucleus_rings(pixels, k).groupBy(*TILE, "id").agg(
         F.count(F.lit(1)).alias("n_ring"), F.avg("dab").alias("ring"))
     pair = ids.join(rings, [*TILE, "id"]).filter(

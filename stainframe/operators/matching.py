@@ -141,18 +141,18 @@ def model_pairs(stacks: DataFrame) -> DataFrame:
         F.col("b.inst_id").alias("g"), (F.col("n") / (F.col("_a") + F.col("_b") - F.col("n"))).alias("iou"))
 
 
-def connected_components(nodes: DataFrame, edges: DataFrame, keys: Sequence[str], max_rounds: int = 64) -> DataFrame:
+def connected_components(nodes: DataFrame, edges: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Smallest node of each node's component as `component`; `nodes`: keys, `node`; `edges`: keys, `a`, `b`.
 
     Each round a node takes the least label among its neighbours and the label its own label points
-    to, so chains shorten by more than one step. Every round ends in a checkpoint.
+    to, so chains shorten by more than one step. Labels only fall, so the rounds end; each ends in a checkpoint.
     """
     keys = list(keys)
     both = edges.select(*keys, F.col("a").alias("node"), F.col("b").alias("other")).unionByName(
         edges.select(*keys, F.col("b").alias("node"), F.col("a").alias("other"))).distinct()
     both = cut_lineage(both)
     state = cut_lineage(nodes.select(*keys, "node", F.col("node").alias("component")))
-    for _ in range(max_rounds):
+    while True:
         labels = state.select(*keys, F.col("node").alias("other"), F.col("component").alias("_c"))
         around = both.join(labels, [*keys, "other"]).groupBy(*keys, "node").agg(F.min("_c").alias("_n"))
         jump = labels.select(*keys, F.col("other").alias("component"), F.col("_c").alias("_j"))
@@ -163,7 +163,6 @@ def connected_components(nodes: DataFrame, edges: DataFrame, keys: Sequence[str]
         state = new.drop("_old")
         if not moved:
             return state
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
 def consensus_instances(

@@ -13,8 +13,7 @@ from pyspark.sql import functions as F
 
 from stainframe.constants import DAB_LEVELS, DAB_POSITIVE
 from stainframe.functions import grading as G
-from stainframe.functions.ordering import seeded_order, top_n
-from stainframe.functions.stain import deconvolve_multi
+from stainframe.functions.stain import dab_votes
 
 TILE = ("slide_id", "tile_id")
 
@@ -130,18 +129,17 @@ def otsu_gray(pixels: DataFrame, keys: Sequence[str] = TILE) -> DataFrame:
     return otsu_bin(hist, keys).select(*keys, F.coalesce(F.col("bin") + F.lit(0.5), F.lit(128.0)).alias("threshold"))
 
 
-def otsu_per_slide(
-    pixels: DataFrame, max_tiles: int = 50, max_px: int = 10_000, seed: int = 42, default: float = 0.15
-) -> DataFrame:
-    """Otsu threshold per slide on a seeded sample: some tiles, some pixels of each."""
-    tiles = pixels.select(*TILE).distinct()
-    chosen = top_n(tiles, ["slide_id"], [seeded_order(seed, "tile_id"), F.col("tile_id")], max_tiles)
-    sampled = pixels.select(*TILE, "x", "y", "dab").join(chosen, list(TILE), "left_semi")
-    sampled = top_n(sampled, TILE, [seeded_order(seed, "x", "y"), F.col("x"), F.col("y")], max_px)
-    found = otsu_uint8(sampled, ["slide_id"])
-    slides = tiles.select("slide_id").distinct()
-    return slides.join(found, "slide_id", "left").select(
-        "slide_id", F.coalesce("threshold", F.lit(default)).alias("threshold"))
+def otsu_per_slide(pixels: DataFrame, default: float = 0.15) -> DataFrame:
+    """Otsu threshold per slide over all of its pixels; `default` for a slide without a value.
+
+    Two scans and two partial aggregates: the largest value of each slide, then 256 counts of each.
+    """
+    tops = pixels.groupBy("slide_id").agg(F.max("dab").alias("_top"))
+    hist = (pixels.select("slide_id", "dab").filter(F.col("dab").isNotNull()).join(tops, "slide_id")
+            .groupBy("slide_id", _scaled_bin(F.col("dab"), F.col("_top")).alias("bin")).agg(F.count(F.lit(1)).alias("n")))
+    level = F.coalesce("bin", F.lit(0)) / F.lit(255.0) * F.greatest(F.col("_top"), F.lit(1e-6))
+    return tops.join(otsu_bin(hist, ["slide_id"]), "slide_id", "left").select(
+        "slide_id", F.when(F.col("_top").isNull(), F.lit(default)).otherwise(level).alias("threshold"))
 
 
 def tile_dab_profile(pixels: DataFrame, min_tissue_px: int = 100) -> DataFrame:
@@ -179,10 +177,7 @@ def soft_compartment_label(pixels: DataFrame, limit: float = 0.5) -> DataFrame:
     `pixels` has a `votes` column, or DAB of each vector set above `limit` is taken as its vote.
     """
     if "votes" not in pixels.columns:
-        sets = deconvolve_multi(pixels)
-        pixels = sets.groupBy(*TILE, "x", "y").agg(
-            F.first("cell_id").alias("cell_id"), F.first("nuc_id").alias("nuc_id"),
-            F.avg((F.col("dab") > limit).cast("int")).alias("votes"))
+        pixels = dab_votes(pixels, limit)
     cell, nucleus = F.col("cell_id") > 0, F.col("nuc_id") > 0
     inner = cell & ~nucleus
     w = [F.when(~cell, 1.0).otherwise(0.0), F.when(nucleus, 1.0).otherwise(0.0),
@@ -193,11 +188,10 @@ def soft_compartment_label(pixels: DataFrame, limit: float = 0.5) -> DataFrame:
     return pixels.select(*TILE, "x", "y", *[(c / total).alias(n) for c, n in zip(w, names)])
 
 
-def class_balance(pixels: DataFrame, limit: float = 0.15, max_tiles: int = 200, seed: int = 42) -> DataFrame:
-    """Negative over positive pixels on a seeded sample of tiles; 1.0 when nothing is positive."""
-    tiles = pixels.select(*TILE).distinct().orderBy(seeded_order(seed, *TILE), *TILE).limit(max_tiles)
+def class_balance(pixels: DataFrame, limit: float = 0.15) -> DataFrame:
+    """Negative over positive pixels; 1.0 when nothing is positive."""
     p = F.col("dab") > limit
-    sums = pixels.join(tiles, list(TILE), "left_semi").agg(F.count_if(p).alias("n_pos"), F.count_if(~p).alias("n_neg"))
+    sums = pixels.agg(F.count_if(p).alias("n_pos"), F.count_if(~p).alias("n_neg"))
     return sums.withColumns({
         "pos_weight": F.coalesce(F.try_divide(F.col("n_neg").cast("double"), F.col("n_pos")), F.lit(1.0)),
         "pixel_fraction": G.share(F.col("n_pos"), F.col("n_pos") + F.col("n_neg"))})
@@ -220,10 +214,11 @@ def validate_tile_labels(pixels: DataFrame, height: int, width: int) -> DataFram
                        & (F.col("n_nucleus_px") == full) & (F.col("n_cell_px") == full))
 
 
-def fuse_masks(maps: DataFrame, strategy: str, models: Sequence[str]) -> DataFrame:
-    """One mask from probability maps `model, p`: average, majority_vote, intersection, best_plus_dab.
+def fuse_masks(maps: DataFrame, strategies: str | Sequence[str], models: Sequence[str]) -> DataFrame:
+    """Masks from probability maps `model, p`: average, majority_vote, intersection, best_plus_dab.
 
-    `models` gives the order; best is the first, the DAB map the last.
+    `models` gives the order; best is the first, the DAB map the last. One strategy gives a column `mask`, several
+    one column each, all from one aggregate.
     """
     yes = F.col("p") > 0.5
     place = F.create_map(*[v for i, m in enumerate(models) for v in (F.lit(m), F.lit(i))])[F.col("model")]
@@ -233,7 +228,8 @@ def fuse_masks(maps: DataFrame, strategy: str, models: Sequence[str]) -> DataFra
         "intersection": F.bool_and(yes),
         "best_plus_dab": F.min_by(yes, place) & F.max_by(yes, place),
     }
-    return maps.groupBy(*TILE, "x", "y").agg(tests[strategy].alias("mask"))
+    wanted = {"mask": strategies} if isinstance(strategies, str) else {s: s for s in strategies}
+    return maps.groupBy(*TILE, "x", "y").agg(*[tests[s].alias(name) for name, s in wanted.items()])
 
 
 def per_class_accuracy(pixels: DataFrame, truth: str, predicted: str) -> DataFrame:

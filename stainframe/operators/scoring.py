@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from stainframe.constants import CALIBRATION_MIN, CALIBRATION_RANGES, GRADE_CUTS, MORPHOMETRIC_FILTERS, PATIENT
 from stainframe.functions import grading as G
-from stainframe.functions.ordering import exact_percentiles
+from stainframe.functions.ordering import exact_percentiles, join_on
 
 
 def with_grade(cells: DataFrame) -> DataFrame:
@@ -65,7 +65,7 @@ def slide_summary(cells: DataFrame, region: str = PATIENT, mpp: float = 0.5) ->
     chosen = (sums.groupBy("slide_id").agg(F.max_by(F.struct(*fields), "_hit").alias("s"))
               .select("slide_id", "s.*"))
     medians = exact_percentiles(graded, ["slide_id", "_hit"], measured, {"median_membrane_dab": 0.5})
-    out = chosen.join(medians, ["slide_id", "_hit"], "left").drop("_hit")
+    out = join_on(chosen, medians, ["slide_id", "_hit"], "left").drop("_hit")
     return out.withColumns({
         "median_membrane_dab": F.coalesce(F.col("median_membrane_dab"), F.lit(0.0)),
         "pct_measured": G.share(F.col("n_measured"), F.col("total_cells")) * 100,
@@ -75,21 +75,25 @@ def slide_summary(cells: DataFrame, region: str = PATIENT, mpp: float = 0.5) ->
 
 
 def thickness_summary(cells: DataFrame, mpp: float = 0.5) -> DataFrame:
-    """Thickness and grade figures per slide and per slide and region (`region` null = whole slide)."""
+    """Thickness and grade figures per slide and per slide and region; `level` is `slide` or `region`.
+
+    A region may be null by itself, so the level, not the region, tells the whole slide from a part.
+    """
     graded = with_grade(cells).select("slide_id", "region", "grade", "membrane_thickness_px")
     t = F.col("membrane_thickness_px")
+    level = F.when(F.grouping("region") == 1, "slide").otherwise("region").alias("level")
     sums = graded.groupingSets([["slide_id"], ["slide_id", "region"]], "slide_id", "region").agg(
+        level,
         F.count(F.lit(1)).alias("n_cells"), F.count(t).alias("thickness_valid"),
         F.avg(t).alias("mean_px"), F.stddev_pop(t).alias("std_px"), (F.avg(t) * mpp).alias("mean_um"),
         *G.grade_counts("grade"), G.h_score("grade").alias("h_score"),
         G.pct_at_least("grade").alias("pct_positive"))
     probs = {"p5": 0.05, "p25": 0.25, "median_px": 0.5, "p75": 0.75, "p95": 0.95}
-    whole = exact_percentiles(graded, ["slide_id"], t, probs).withColumn("region", F.lit(None).cast("string"))
-    parts = exact_percentiles(graded, ["slide_id", "region"], t, probs)
-    quantiles = parts.unionByName(whole).withColumnsRenamed({"slide_id": "_s", "region": "_r"})
-    out = sums.join(
-        quantiles, (F.col("slide_id") == F.col("_s")) & F.col("region").eqNullSafe(F.col("_r")), "left")
-    return out.drop("_s", "_r").withColumn(
+    whole = exact_percentiles(graded, ["slide_id"], t, probs).withColumns(
+        {"region": F.lit(None).cast("string"), "level": F.lit("slide")})
+    parts = exact_percentiles(graded, ["slide_id", "region"], t, probs).withColumn("level", F.lit("region"))
+    out = join_on(sums, parts.unionByName(whole), ["slide_id", "region", "level"], "left")
+    return out.withColumn(
         "coverage_pct", G.share(F.col("thickness_valid"), F.col("n_cells")) * 100)
 
 
@@ -99,12 +103,12 @@ def calibrate_thresholds(cells: DataFrame, keys: Sequence[str] = ()) -> DataFram
     value = F.col("membrane_ring_dab")
     n = cells.groupBy(*keys).agg(F.count(value).alias("n_values"))
     q = exact_percentiles(cells, keys, value, {"q1": 0.25, "q2": 0.5, "q3": 0.75})
-    joined = n.join(q, keys, "left") if keys else n.withColumn("_k", F.lit(0)).join(
-        q.withColumn("_k", F.lit(0)), "_k", "left").drop("_k")
+    joined = join_on(n.withColumn("_k", F.lit(0)), q.withColumn("_k", F.lit(0)), [*keys, "_k"], "left").drop("_k")
     cuts = {}
     for i, ((low, high), default) in enumerate(zip(CALIBRATION_RANGES, GRADE_CUTS), start=1):
         kept = F.greatest(F.lit(low), F.least(F.col(f"q{i}"), F.lit(high)))
-        cuts[f"t{i}"] = F.when(F.col("n_values") < CALIBRATION_MIN, F.lit(default)).otherwise(kept)
+        few = (F.col("n_values") < CALIBRATION_MIN) | F.col(f"q{i}").isNull()
+        cuts[f"t{i}"] = F.when(few, F.lit(default)).otherwise(kept)
     return joined.withColumns(cuts).drop("q1", "q2", "q3")
 
 

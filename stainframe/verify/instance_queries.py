@@ -221,8 +221,8 @@ def _(t):
 
 
 RSCORE = f"""{rings(11)}, rr AS (SELECT slide_id, tile_id, id, count(*) AS n, avg(dab) AS r FROM nr GROUP BY ALL),
-nn AS (SELECT *, row_number() OVER (PARTITION BY slide_id, tile_id ORDER BY id) AS rn FROM (SELECT slide_id, tile_id, nuc_id AS id, count(*) AS nn, avg(dab) AS d FROM stained WHERE nuc_id > 0 GROUP BY ALL) na),
-q AS (SELECT slide_id, tile_id, avg(r / (r + d)) AS v FROM rr JOIN nn USING (slide_id, tile_id, id) WHERE rn <= 50 AND n >= 10 AND nn >= 10 AND r + d > 0.01 GROUP BY ALL),
+nn AS (SELECT slide_id, tile_id, nuc_id AS id, count(*) AS nn, avg(dab) AS d FROM stained WHERE nuc_id > 0 GROUP BY ALL),
+q AS (SELECT slide_id, tile_id, avg(r / (r + d)) AS v FROM rr JOIN nn USING (slide_id, tile_id, id) WHERE n >= 10 AND nn >= 10 AND r + d > 0.01 GROUP BY ALL),
 td AS (SELECT slide_id, tile_id, avg(dab) AS td FROM stained GROUP BY ALL), rscore AS (SELECT slide_id, tile_id, td, coalesce(v * least(td / 0.15, 1.0), 0) AS ring_score FROM td LEFT JOIN q USING (slide_id, tile_id))"""
 
 

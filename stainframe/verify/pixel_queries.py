@@ -10,7 +10,6 @@ from stainframe.operators import pixels as P
 from stainframe.operators import rasters as R
 from stainframe.verify.registry import query, rounded
 from stainframe.verify.sqltext import KEY, box, ellipse, gather, near, otsu, uint8
-from stainframe.verify.tiling_queries import md5_of
 
 EXTENT = (64, 64)
 COLS = ("slide_id", "tile_id", "x", "y")
@@ -154,13 +153,11 @@ def _(t):
 
 
 @query("otsu_per_slide", f"""
-WITH tl AS (SELECT * FROM (SELECT slide_id, tile_id, row_number() OVER (PARTITION BY slide_id ORDER BY {md5_of('tile_id')}, tile_id) AS rn FROM (SELECT DISTINCT slide_id, tile_id FROM pixels) d) e WHERE rn <= 20),
-px AS (SELECT * FROM (SELECT s.slide_id, s.tile_id, dab, row_number() OVER (PARTITION BY s.slide_id, s.tile_id ORDER BY {md5_of('s.x', 's.y')}, s.x, s.y) AS rp FROM stained s JOIN tl USING (slide_id, tile_id)) f WHERE rp <= 2000),
-t AS (SELECT slide_id, max(dab) AS top FROM px GROUP BY ALL),
-h AS (SELECT slide_id, {uint8('dab', 'top')} AS bin, count(*) AS n FROM px JOIN t USING (slide_id) GROUP BY ALL), o AS ({otsu('h', 'slide_id')})
+WITH t AS (SELECT slide_id, max(dab) AS top FROM stained GROUP BY ALL),
+h AS (SELECT slide_id, {uint8('dab', 'top')} AS bin, count(*) AS n FROM stained JOIN t USING (slide_id) GROUP BY ALL), o AS ({otsu('h', 'slide_id')})
 SELECT slide_id, round(coalesce(bin, 0) / CAST(255 AS DOUBLE) * greatest(top, 1e-6), 6) AS threshold FROM o JOIN t USING (slide_id)""")
 def _(t):
-    return rounded(P.otsu_per_slide(t.stained, 20, 2000))
+    return rounded(P.otsu_per_slide(t.stained))
 
 
 @query("mask_fixed", f"SELECT {KEY}, dab > 0.15 AS mask FROM stained")
@@ -293,11 +290,10 @@ def _(t):
     return rounded(P.soft_compartment_label(t.pixels))
 
 
-@query("class_balance", f"""WITH tl AS (SELECT DISTINCT slide_id, tile_id FROM pixels), s AS (SELECT * FROM tl ORDER BY {md5_of('slide_id', 'tile_id')}, slide_id, tile_id LIMIT 60),
-c AS (SELECT count(*) FILTER (WHERE dab > 0.15) AS n_pos, count(*) FILTER (WHERE NOT dab > 0.15) AS n_neg FROM stained SEMI JOIN s USING (slide_id, tile_id))
+@query("class_balance", """WITH c AS (SELECT count(*) FILTER (WHERE dab > 0.15) AS n_pos, count(*) FILTER (WHERE NOT dab > 0.15) AS n_neg FROM stained)
 SELECT n_pos, n_neg, round(CASE WHEN n_pos = 0 THEN 1.0 ELSE n_neg / CAST(n_pos AS DOUBLE) END, 6) AS pos_weight, round(n_pos / CAST(n_pos + n_neg AS DOUBLE), 6) AS pixel_fraction FROM c""")
 def _(t):
-    return rounded(P.class_balance(t.stained, max_tiles=60))
+    return rounded(P.class_balance(t.stained))
 
 
 @query("membrane_fraction_index", """SELECT slide_id, tile_id, count(*) FILTER (WHERE nuc_id = 0 AND cell_id > 0 AND bar > 0) AS membrane_px, count(*) AS total_px,
@@ -326,12 +322,7 @@ MAPS = f"""mp AS (SELECT {KEY}, 1 AS o, prob AS p FROM stained UNION ALL SELECT
 @query("fuse_masks", f"""WITH {MAPS} SELECT {KEY}, avg(p) > 0.5 AS average, count(*) FILTER (WHERE p > 0.5) > 1.5 AS majority_vote, bool_and(p > 0.5) AS intersection,
 arg_min(p > 0.5, o) AND arg_max(p > 0.5, o) AS best_plus_dab FROM mp GROUP BY ALL""")
 def _(t):
-    m, names = maps(t), ["unet", "segformer", "dab"]
-    out = None
-    for s in ("average", "majority_vote", "intersection", "best_plus_dab"):
-        one = P.fuse_masks(m, s, names).withColumnRenamed("mask", s)
-        out = one if out is None else out.join(one, list(COLS))
-    return out
+    return P.fuse_masks(maps(t), ("average", "majority_vote", "intersection", "best_plus_dab"), ["unet", "segformer", "dab"])
 
 
 @query("per_class_accuracy", "SELECT least(cell_id, 1) * 2 + least(nuc_id, 1) AS label, count(*) AS n_px, round(avg(CASE WHEN least(cell_id, 1) * 2 + least(nuc_id, 1) = least(pred_id, 1) * 2 + least(nuc_id, 1) THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM pixels GROUP BY 1")

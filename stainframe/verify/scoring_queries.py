@@ -119,7 +119,7 @@ def _(t):
 
 
 @query("thickness_summary", f"""
-SELECT slide_id, region, count(*) AS n_cells, count(membrane_thickness_px) AS thickness_valid,
+SELECT slide_id, region, CASE WHEN grouping(region) = 1 THEN 'slide' ELSE 'region' END AS level, count(*) AS n_cells, count(membrane_thickness_px) AS thickness_valid,
   round(avg(membrane_thickness_px), 6) AS mean_px, round(stddev_pop(membrane_thickness_px), 6) AS std_px,
   round(avg(membrane_thickness_px) * 0.5, 6) AS mean_um, {COUNTS}, {H}, {P2} AS pct_positive,
   round(quantile_cont(membrane_thickness_px, 0.05), 6) AS p5, round(quantile_cont(membrane_thickness_px, 0.25), 6) AS p25,

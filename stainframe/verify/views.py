@@ -61,7 +61,7 @@ SELECT concat('S', lpad(CAST(sk % 20 AS STRING), 2, '0')) AS slide_id,
        CAST((pk * 37 + l_orderkey * 11) % 20000 AS DOUBLE) AS centroid_x,
        CAST((pk * 53 + l_orderkey * 29 + l_linenumber * 101) % 20000 AS DOUBLE) AS centroid_y,
        ls = 'O' AS is_center,
-       CASE rf WHEN 'A' THEN 'Patient_Tissue' WHEN 'N' THEN 'iCAP_Control' ELSE 'Unknown' END AS region,
+       CASE WHEN l_orderkey % 7 = 3 THEN NULL WHEN rf = 'A' THEN 'Patient_Tissue' WHEN rf = 'N' THEN 'iCAP_Control' ELSE 'Unknown' END AS region,
        q * {n('2.0')} AS area_um2, {n('0.85')} + tax * {n('2.5')} AS solidity,
        {n('5.0')} + l_linenumber * 2 AS max_diameter_um, {n('5.0')} + disc * {n('20.0')} AS min_diameter_um,
        CASE WHEN q = 1 THEN NULL ELSE ep * (5 + 2 * (sk % 20)) / {n('2500000.0')} END AS membrane_ring_dab,
