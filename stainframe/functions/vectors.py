@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -37,8 +37,17 @@ def l2_normalise(v: Column, floor: float = 1e-8) -> Column:
     return F.transform(v, lambda x: x / length)
 
 
-def softmax(sims: Sequence[Column], temperature: float = 1.0) -> list[Column]:
-    top = F.greatest(*sims)
-    parts = [F.exp((s - top) / F.lit(temperature)) for s in sims]
-    whole = sum(parts[1:], parts[0])
-    return [p / whole for p in parts]
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of `value`, evaluated once per row however often `body` uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def softmax(sims: Sequence[Column], temperature: float = 1.0) -> Column:
+    """The softmax of several similarities, as an array in their order."""
+    def shares(parts: Column) -> Column:
+        return _let(total(parts), lambda whole: F.transform(parts, lambda p: p / whole))
+
+    def parts(s: Column) -> Column:
+        return _let(F.array_max(s), lambda top: F.transform(s, lambda x: F.exp((x - top) / F.lit(temperature))))
+
+    return _let(F.array(*sims), lambda s: _let(parts(s), shares))

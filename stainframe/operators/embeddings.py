@@ -56,7 +56,7 @@ def zero_shot_binary(tiles: DataFrame, positive: Sequence[float], negative: Sequ
     """Probability of the positive prompt: softmax of two cosine similarities."""
     unit = l2_normalise(tiles)
     sims = [V.dot(F.col("unit"), V.l2_normalise(V.literal(p))) for p in (positive, negative)]
-    return unit.withColumn("p_positive", V.softmax(sims)[0]).drop("unit")
+    return unit.withColumn("p_positive", F.get(V.softmax(sims), F.lit(0))).drop("unit")
 
 
 def zero_shot_staining(
@@ -66,8 +66,7 @@ def zero_shot_staining(
     """Expected staining weight under a softmax over the absent, weak, moderate and strong prompts."""
     unit = l2_normalise(tiles)
     probs = V.softmax([V.dot(F.col("unit"), V.l2_normalise(V.literal(p))) for p in prompts], temperature)
-    terms = [p * F.lit(w) for p, w in zip(probs, weights)]
-    score = sum(terms[1:], terms[0])
+    score = V.total(F.zip_with(probs, V.literal(weights), lambda p, w: p * w))
     return unit.withColumn("staining", F.greatest(F.lit(0.0), F.least(F.lit(1.0), score))).drop("unit")
 
 

@@ -13,11 +13,15 @@ from stainframe.functions.ordering import exact_percentiles, join_on
 
 
 def with_grade(cells: DataFrame) -> DataFrame:
-    """`grade` taken from the table where it is there, else from membrane intensity."""
-    computed = G.grade_dab("membrane_ring_dab")
-    if "grade" in cells.columns:
-        return cells.withColumn("grade", F.coalesce(F.col("grade"), computed))
-    return cells.withColumn("grade", computed)
+    """`grade` taken from the table where it is there, else its stored `grade_dab`, else from membrane intensity."""
+    stored = [F.col(c) for c in ("grade", "grade_dab") if c in cells.columns]
+    return cells.withColumn("grade", F.coalesce(*stored, G.grade_dab("membrane_ring_dab")))
+
+
+def thickness_um(cells: DataFrame, mpp: float | Column = 0.5) -> Column:
+    """The stored thickness in micrometres where the table has one, else the pixels' at `mpp`."""
+    computed = F.col("membrane_thickness_px") * mpp
+    return F.coalesce(F.col("membrane_thickness_um"), computed) if "membrane_thickness_um" in cells.columns else computed
 
 
 def scores(grade: str = "grade") -> list[Column]:
@@ -45,9 +49,11 @@ def region_stats(cells: DataFrame) -> DataFrame:
         F.avg("membrane_thickness_px").alias("mean_thickness_px"))
 
 
-def slide_summary(cells: DataFrame, region: str = PATIENT, mpp: float = 0.5) -> DataFrame:
+def slide_summary(cells: DataFrame, region: str = PATIENT, mpp: float | Column = 0.5) -> DataFrame:
     """One row per slide over its cells of `region`, or over all its cells if it has none there.
 
+    `mpp` is a number, or a column of `cells` for slides of different scale.
+
     Cells are aggregated by (slide, in region) in one pass; the row to keep is chosen afterwards from
     at most two per slide, so the fallback costs no window over a slide's cells.
     """
@@ -59,7 +65,7 @@ def slide_summary(cells: DataFrame, region: str = PATIENT, mpp: float = 0.5) ->
         F.coalesce(F.avg(measured), F.lit(0.0)).alias("mean_membrane_dab"),
         F.count(measured).alias("n_measured"),
         F.coalesce(F.avg("membrane_completeness"), F.lit(0.0)).alias("mean_completeness"),
-        F.coalesce(F.avg(F.col("membrane_thickness_px") * mpp), F.lit(0.0)).alias("mean_thickness_um"),
+        F.coalesce(F.avg(thickness_um(cells, mpp)), F.lit(0.0)).alias("mean_thickness_um"),
         F.coalesce(F.avg("raw_membrane_dab"), F.lit(0.0)).alias("mean_raw_dab"))
     fields = [c for c in sums.columns if c != "slide_id"]
     chosen = (sums.groupBy("slide_id").agg(F.max_by(F.struct(*fields), "_hit").alias("s"))
@@ -74,18 +80,18 @@ def slide_summary(cells: DataFrame, region: str = PATIENT, mpp: float = 0.5) ->
     })
 
 
-def thickness_summary(cells: DataFrame, mpp: float = 0.5) -> DataFrame:
+def thickness_summary(cells: DataFrame, mpp: float | Column = 0.5) -> DataFrame:
     """Thickness and grade figures per slide and per slide and region; `level` is `slide` or `region`.
 
     A region may be null by itself, so the level, not the region, tells the whole slide from a part.
     """
-    graded = with_grade(cells).select("slide_id", "region", "grade", "membrane_thickness_px")
+    graded = with_grade(cells).select("slide_id", "region", "grade", "membrane_thickness_px", thickness_um(cells, mpp).alias("_um"))
     t = F.col("membrane_thickness_px")
     level = F.when(F.grouping("region") == 1, "slide").otherwise("region").alias("level")
     sums = graded.groupingSets([["slide_id"], ["slide_id", "region"]], "slide_id", "region").agg(
         level,
         F.count(F.lit(1)).alias("n_cells"), F.count(t).alias("thickness_valid"),
-        F.avg(t).alias("mean_px"), F.stddev_pop(t).alias("std_px"), (F.avg(t) * mpp).alias("mean_um"),
+        F.avg(t).alias("mean_px"), F.stddev_pop(t).alias("std_px"), F.avg("_um").alias("mean_um"),
         *G.grade_counts("grade"), G.h_score("grade").alias("h_score"),
         G.pct_at_least("grade").alias("pct_positive"))
     probs = {"p5": 0.05, "p25": 0.25, "median_px": 0.5, "p75": 0.75, "p95": 0.95}

@@ -49,10 +49,10 @@ def label_cells(
     return renumber(renumber(grown, "cell_id"), "nuc_id").select(*P.TILE, "x", "y", "nuc_id", "cell_id", "dab")
 
 
-def pending_pixels(pixels: DataFrame, manifest: DataFrame, config_hash: str) -> DataFrame:
-    """Pixels of the tiles still to do under this configuration."""
+def pending_pixels(pixels: DataFrame, manifest: DataFrame, config_hash: str, step: str | None = None) -> DataFrame:
+    """Pixels of the tiles still to do in a step under this configuration."""
     keyed = pixels.withColumn("tile_key", F.concat_ws("/", "slide_id", F.col("tile_id").cast("string")))
-    return manifest_pending(keyed, manifest, config_hash)
+    return manifest_pending(keyed, manifest, config_hash, step=step)
 
 
 def measure_cells(pixels: DataFrame, mpp: float = 0.5, extent: tuple[int, int] | None = None) -> DataFrame:

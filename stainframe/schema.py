@@ -26,6 +26,7 @@ CELLS = T.StructType([
     T.StructField("membrane_completeness", T.DoubleType()),
     T.StructField("membrane_thickness_px", T.DoubleType()),
     T.StructField("membrane_thickness_um", T.DoubleType()),
+    T.StructField("grade", T.ByteType()),
     T.StructField("grade_dab", T.ByteType()),
     T.StructField("grade_composite", T.ByteType()),
     T.StructField("thresholds_calibrated", T.BooleanType()),

@@ -12,6 +12,10 @@ from stainframe.operators.cohorts import baseline_summary
 from stainframe.schema import BASELINE, CELLS, GEOJSON, nan_to_null
 
 
+#: The place of a line in its files.
+LINE = "_line"
+
+
 def scan_cells(spark: SparkSession, folder: str, region: str | None = None, columns: Sequence[str] | None = None) -> DataFrame:
     """Cells of a cohort: files `<slide>_cells.parquet`, or a table partitioned by `slide_id`.
 
@@ -30,19 +34,32 @@ def scan_cells(spark: SparkSession, folder: str, region: str | None = None, colu
 
 
 def clean_region_summary(raw: DataFrame, region: str = PATIENT) -> DataFrame:
-    """Typed baseline rows of one region: repeated headers and rows that do not parse are dropped."""
+    """Typed baseline rows of one region: repeated headers and rows that do not parse are dropped.
+
+    With a column `_line` that orders the rows, the last row of each slide stays.
+    """
     ints = ("total_cells", "negative", "weak_1plus", "moderate_2plus", "strong_3plus")
     floats = ("pct_positive", "h_score", "mean_dab_od")
-    text = raw.select(*[F.trim(F.col(c)).alias(c) for c in raw.columns]).filter(F.col("slide_name") != "slide_name")
+    text = raw.select(*[F.trim(F.col(c)).alias(c) if c != LINE else F.col(c) for c in raw.columns]).filter(F.col("slide_name") != "slide_name")
     typed = text.withColumns({
         **{c: F.expr(f"try_cast({c} AS bigint)") for c in ints}, **{c: F.expr(f"try_cast({c} AS double)") for c in floats}})
-    return baseline_summary(typed.dropna(subset=[*ints, *floats]), region)
+    found = baseline_summary(typed.dropna(subset=[*ints, *floats]), region)
+    if LINE not in raw.columns:
+        return found
+    # A slide given on several lines has its last one.
+    names = [F.col(c) for c in found.columns if c != LINE]
+    return found.groupBy("slide_name").agg(F.max_by(F.struct(*names), LINE).alias("_s")).select("_s.*")
 
 
 def scan_region_summary(spark: SparkSession, path: str, region: str = PATIENT) -> DataFrame:
+    """Baseline rows of one region; further fields of a line are cut off, and the last line of a slide counts.
+
+    Lines follow one another by file, block and place in the block.
+    """
     raw = (spark.read.schema(BASELINE).option("header", True).option("comment", "#").option("enforceSchema", True)
-           .option("mode", "DROPMALFORMED").csv(path))
-    return clean_region_summary(raw, region)
+           .option("mode", "PERMISSIVE").csv(path))
+    line = F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id().alias("at"))
+    return clean_region_summary(raw.select("*", line.alias(LINE)), region)
 
 
 def scan_region_polygons(spark: SparkSession, path: str) -> DataFrame:
@@ -123,21 +140,36 @@ def processing_status_summary(results: DataFrame) -> DataFrame:
 # ---- manifest ---------------------------------------------------------------------------------------
 
 
-def manifest_pending(tiles: DataFrame, manifest: DataFrame, config_hash: str, key: str = "tile_key") -> DataFrame:
-    """Tiles with no record under this configuration; another configuration's records do not count."""
-    done = manifest.filter(F.col("config_hash") == config_hash).select(key)
-    return tiles.join(done, key, "left_anti")
+def _of(manifest: DataFrame, config_hash: str, step: str | None) -> DataFrame:
+    """Records of one configuration and, if it is named, one step."""
+    own = manifest.filter(F.col("config_hash") == config_hash)
+    return own if step is None else own.filter(F.col("step") == step)
 
 
-def manifest_stats(manifest: DataFrame, config_hash: str) -> DataFrame:
+def manifest_pending(
+    tiles: DataFrame, manifest: DataFrame, config_hash: str, key: str = "tile_key", step: str | None = None
+) -> DataFrame:
+    """Tiles with no record of `step` under this configuration; another configuration's records do not count.
+
+    Without a step, for a manifest of one step only, a record of any step counts.
+    """
+    return tiles.join(_of(manifest, config_hash, step).select(key), key, "left_anti")
+
+
+def manifest_stats(manifest: DataFrame, config_hash: str, step: str | None = None) -> DataFrame:
     """Recorded figures of finished tiles, one row per tile and name."""
-    return manifest.filter((F.col("config_hash") == config_hash) & F.col("stats").isNotNull()).select(
+    return _of(manifest, config_hash, step).filter(F.col("stats").isNotNull()).select(
         "tile_key", F.explode("stats").alias("name", "value"))
 
 
 def latest_records(manifest: DataFrame) -> DataFrame:
-    """The last record of each tile and configuration; appends may repeat a tile after a lost write."""
-    last = Window.partitionBy("config_hash", "tile_key").orderBy(F.desc("completed_at"))
+    """The last record of each tile, step and configuration; appends may repeat a tile after a lost write.
+
+    Of records of the same time the one whose figures come last as text stays.
+    """
+    keys = [k for k in ("step", "config_hash", "tile_key") if k in manifest.columns]
+    ties = [F.desc(F.to_json("stats"))] if "stats" in manifest.columns else []
+    last = Window.partitionBy(*keys).orderBy(F.desc("completed_at"), *ties)
     return manifest.withColumn("_rn", F.row_number().over(last)).filter(F.col("_rn") == 1).drop("_rn")
 
 

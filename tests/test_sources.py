@@ -4,11 +4,14 @@ import json
 
 import pyarrow as pa
 import pyarrow.parquet as pq
+import pytest
+from pyspark.sql import functions as F
 
-from stainframe.operators.scoring import slide_summary
+from stainframe.functions.ordering import exact_percentiles, rank_within
+from stainframe.operators.scoring import calibrate_thresholds, score_by, slide_summary, thickness_summary
 from stainframe.sources import readers as R
 from stainframe.sources import sinks as K
-from stainframe.streaming.incremental import append_slide_scores, follow_cells
+from stainframe.streaming.incremental import append_slide_scores, follow_cells, read_slide_scores
 
 
 def test_cells_by_file_name_with_missing_columns_and_a_broken_file(spark, tmp_path):
@@ -85,3 +88,57 @@ def test_stream_picks_up_each_slide_once(spark, tmp_path):
         append_slide_scores(follow_cells(spark, src), out, state).awaitTermination()
     got = {r["slide_id"]: (r["n_cells"], r["h_score"]) for r in spark.read.parquet(out).collect()}
     assert got == {"S01": (2, 300.0), "S02": (1, 0.0)} and spark.read.parquet(out).count() == 2
+
+
+def test_baseline_keeps_long_lines_and_the_last_of_a_slide(spark, tmp_path):
+    head = "slide_name,region,total_cells,negative,weak_1plus,moderate_2plus,strong_3plus,pct_positive,h_score,mean_dab_od"
+    (tmp_path / "b.csv").write_text("\n".join([
+        head, "S01,Patient_Tissue,100,10,10,40,40,80,210,0.3", "S02,Patient_Tissue,10,1,1,4,4,80,210,0.3,note,again", "S01,Patient_Tissue,50,50,0,0,0,0,0,0.1"]))
+    got = {r["slide_name"]: (r["total_cells"], r["pct_2plus"]) for r in R.scan_region_summary(spark, str(tmp_path / "b.csv")).collect()}
+    assert got == {"S01": (50, 0.0), "S02": (10, 80.0)}
+
+
+def test_manifest_steps_are_apart(spark, tmp_path):
+    path = str(tmp_path / "manifest")
+    tiles = spark.createDataFrame([("S01/0_0", 3), ("S01/0_1", 5)], "tile_key string, num_cells int")
+    K.manifest_append(K.manifest_records(tiles, "labels", "h1", ["num_cells"]), path)
+    K.manifest_append(K.manifest_records(tiles.filter("num_cells = 3"), "cells", "h1", ["num_cells"]), path)
+    m = spark.read.parquet(path)
+    assert [r["tile_key"] for r in R.manifest_pending(tiles, m, "h1", step="cells").collect()] == ["S01/0_1"]
+    assert R.manifest_pending(tiles, m, "h1", step="labels").count() == 0
+    assert R.latest_records(m).count() == 3 and R.manifest_stats(m, "h1", "cells").count() == 1
+    twice = m.filter("step = 'cells'").unionByName(m.filter("step = 'cells'").withColumn("stats", F.create_map(F.lit("num_cells"), F.lit(9.0))))
+    assert [r["stats"] for r in R.latest_records(twice).collect()] == [{"num_cells": 9.0}]
+
+
+def test_stream_adds_up_a_slide_of_several_batches(spark, tmp_path):
+    src, out, state = (str(tmp_path / n) for n in ("cells", "out", "state"))
+    folder = tmp_path / "cells" / "slide_id=S01"
+    folder.mkdir(parents=True)
+    for i, values in enumerate(([0.5], [0.01], [0.5, 0.01, 0.25])):
+        pq.write_table(pa.table({"cell_id": list(range(len(values))), "membrane_ring_dab": values}), folder / f"part{i}.parquet")
+        append_slide_scores(follow_cells(spark, src), out, state).awaitTermination()
+    assert spark.read.parquet(out).count() == 3
+    whole = score_by(R.scan_cells(spark, src), ["slide_id"]).first()
+    merged = read_slide_scores(spark, out).first()
+    assert merged["n_cells"] == 5 and {k: whole[k] for k in merged.asDict()} == merged.asDict()
+
+
+def test_stored_grade_and_thickness_count(spark):
+    rows = [("A", None, 0.5, 1, None, 2.0, None), ("A", None, 0.5, None, 0, 2.0, 3.0), ("A", None, 0.5, None, None, 2.0, None)]
+    cells = spark.createDataFrame(rows, "slide_id string, region string, membrane_ring_dab double, grade byte, grade_dab byte, membrane_thickness_px double, membrane_thickness_um double")
+    for c in ("membrane_completeness", "raw_membrane_dab"):
+        cells = cells.withColumn(c, cells["membrane_ring_dab"])
+    got = slide_summary(cells).first()
+    assert (got["negative"], got["weak_1plus"], got["strong_3plus"]) == (1, 1, 1) and got["mean_thickness_um"] == pytest.approx((1 + 3 + 1) / 3)
+    both = {r["level"]: r for r in thickness_summary(cells).collect()}
+    assert set(both) == {"slide", "region"} and both["slide"]["median_px"] == both["region"]["median_px"] == 2.0
+
+
+def test_null_keys_are_groups(spark):
+    df = spark.createDataFrame([(None, float(i)) for i in range(100)] + [("a", float(i)) for i in range(100)], "k string, v double")
+    assert {r["m"] for r in exact_percentiles(df, ["k"], "v", {"m": 0.5}).collect()} == {49.5}
+    ranked = rank_within(df, ["k"], [F.col("v")])
+    assert ranked.count() == 200 and ranked.filter("k IS NULL AND rank = v AND group_size = 100").count() == 100
+    low = spark.createDataFrame([(None, 0.12)] * 100, "region string, membrane_ring_dab double")
+    assert [tuple(r)[2:] for r in calibrate_thresholds(low, ["region"]).collect()] == [(0.12, 0.12, 0.2)]
