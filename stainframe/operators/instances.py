@@ -17,7 +17,7 @@ from stainframe.constants import (
 )
 from stainframe.functions import grading as G
 from stainframe.operators.pixels import TILE
-from stainframe.operators.rasters import ellipse_offsets, erode_labels
+from stainframe.operators.rasters import col_window, ellipse_offsets, erode_labels, row_window
 
 CELL = (*TILE, "cell_id")
 
@@ -222,11 +222,42 @@ def measure_cells(pixels: DataFrame, mpp: float, scope: str = "cell", min_px: in
 
 
 def thickness_ratio(pixels: DataFrame, scope: str = "union", min_edge: int = 3) -> DataFrame:
-    """Ring pixels per edge pixel, null for cells with hardly an edge; and the disc of the ring's area."""
+    """Ring pixels per edge pixel, null for cells with hardly an edge."""
     sums = with_compartments(pixels, scope).filter(F.col("cell_id") > 0).groupBy(*CELL).agg(
         F.count_if("ring").alias("n_ring"), F.count_if("edge").alias("n_edge"))
-    return sums.withColumns({
-        "thickness_ratio": F.when(F.col("n_edge") > min_edge, F.try_divide(F.col("n_ring"), F.col("n_edge"))),
+    return sums.withColumn(
+        "thickness_ratio", F.when(F.col("n_edge") > min_edge, F.try_divide(F.col("n_ring"), F.col("n_edge"))))
+
+
+def repeat_ring(pixels: DataFrame, steps: int = 2) -> DataFrame:
+    """Pixels of the ring that repeat runs measure, as `id` with the pixel's own columns.
+
+    A cell grown `steps` times by the 3 x 3 cross, without the cell eroded once by it; the outside of the raster never
+    counts. The ring reaches outside the cell, and a pixel may be in several. Only pixels an erosion
+    takes are spread: they and their surroundings are all of the ring.
+    """
+    own = F.col("cell_id")
+    stays = [agg(own).over(w.rangeBetween(-1, 1)) == own for w in (row_window(), col_window()) for agg in (F.min, F.max)]
+    df = pixels.withColumn("_stays", stays[0] & stays[1] & stays[2] & stays[3])
+    offsets = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx in range(-steps, steps + 1)
+                        for dy in range(-steps, steps + 1) if abs(dx) + abs(dy) <= steps])
+    spread = df.filter((own > 0) & ~F.col("_stays")).select(
+        *TILE, own.alias("id"), "x", "y", F.explode(offsets).alias("o")).select(
+        *TILE, "id", (F.col("x") + F.col("o.dx")).alias("x"), (F.col("y") + F.col("o.dy")).alias("y")).distinct()
+    return spread.join(df, [*TILE, "x", "y"]).filter((own != F.col("id")) | ~F.col("_stays")).drop("_stays")
+
+
+def repeat_run_cells(pixels: DataFrame, min_px: int = 5, min_ring: int = 3) -> DataFrame:
+    """Per cell of a repeat run: mean bar response of its ring, completeness, their grade, and the disc of the ring's area.
+
+    Cells or rings of fewer pixels are left out.
+    """
+    ring = repeat_ring(pixels).groupBy(*TILE, F.col("id").alias("cell_id")).agg(
+        F.count(F.lit(1)).alias("n_ring"), F.avg("bar").alias("ring_bar"),
+        F.avg((F.col("dab") > DAB_POSITIVE).cast("int")).alias("completeness"))
+    sizes = pixels.filter(F.col("cell_id") > 0).groupBy(*CELL).agg(F.count(F.lit(1)).alias("n_px"))
+    return ring.join(sizes, list(CELL)).filter((F.col("n_px") >= min_px) & (F.col("n_ring") >= min_ring)).withColumns({
+        "grade": G.grade_bar_completeness("ring_bar", "completeness"),
         "thickness_disc": 2.0 * F.sqrt(F.col("n_ring") / (math.pi + 1e-8))})
 
 

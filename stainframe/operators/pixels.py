@@ -19,6 +19,11 @@ TILE = ("slide_id", "tile_id")
 
 
 def by_tile(pixels: DataFrame) -> DataFrame:
+    """Pixels placed by tile, which serves every window, aggregate and join by tile that follows.
+
+    The operators do not place by themselves, as a chain of them would then move pixels at every step; the jobs
+    do it, and so should a caller who hands an operator a table that is not placed. Block filters undo it.
+    """
     return pixels.repartition(*TILE)
 
 

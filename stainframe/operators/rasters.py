@@ -355,15 +355,18 @@ def tissue_mask_he(
 
 def energy_blend(
     pixels: DataFrame, mask: str, weight: float = 0.3, cap: int = 60, sparse: float = 0.005,
-    extent: tuple[int, int] | None = None, keys: Sequence[str] = TILE,
+    extent: tuple[int, int] | None = None, keys: Sequence[str] = TILE, sigma: float = 1.0, radius: int = 60,
 ) -> DataFrame:
-    """Growth landscape: low at membranes. Distance to the membrane blended with the Sobel edge.
+    """Growth landscape: low at membranes. Distance to the membrane, smoothed, blended with the Sobel edge.
 
     A tile without usable DAB takes the edge alone; one with hardly any membrane weighs it half or
-    more. `pixels`: `dab`, `nuc_id` and the membrane `mask`.
+    more. Pixels further than `radius` from a nucleus are 0. `pixels`: `dab`, `nuc_id` and the membrane `mask`.
     """
     df = sobel_energy(pixels, "dab", "sobel", keys)
-    df = distance_to_mask(df, mask, cap, "distance", extent, keys, carry=["sobel", "dab", "nuc_id", mask])
+    kept = ["sobel", "dab", "nuc_id", mask]
+    df = distance_to_mask(df, mask, cap, "_steep", extent, keys, carry=kept)
+    df = gaussian_smooth(df, "_steep", sigma, "distance", extent, keys, carry=kept) if sigma > 0 else df.withColumnRenamed("_steep", "distance")
+    df = distance_to_mask(df.withColumn("_nucleus", F.col("nuc_id") > 0), "_nucleus", radius + 1, "_reach", extent, keys, carry=[*kept, "distance"])
     sums = df.groupBy(*keys).agg(
         (F.max("dab") < 1e-4).alias("_weak"), F.max("distance").alias("_dmax"),
         (F.count_if(F.col(mask)) / F.greatest(F.count_if(F.col("nuc_id") == 0), F.lit(1))).alias("_share"))
@@ -373,4 +376,4 @@ def energy_blend(
     blended = 1.0 - ((1.0 - w) * near + w * F.col("sobel"))
     plain = (F.col("_share") >= sparse) & F.lit(weight <= 0)
     energy = F.when(F.col("_weak"), F.col("sobel")).when(plain, F.col("distance")).otherwise(blended)
-    return df.withColumn("energy", energy).drop("_weak", "_dmax", "_share")
+    return df.withColumn("energy", F.when(F.col("_reach") > radius, F.lit(0.0)).otherwise(energy)).drop("_weak", "_dmax", "_share", "_reach")

@@ -26,17 +26,18 @@ def label_cells(
     """Pixels with nuclei in, pixels with filtered cells out.
 
     Stain separation, a threshold per slide, a closed membrane mask, growth from the nuclei, the cell
-    filter and, with `pad`, the centre-zone rule. All work stays inside tiles.
+    filter and, with `pad`, the centre-zone rule. All work stays inside tiles: pixels are placed by tile before the
+    closing and again after the growth, whose blocks are dealt out on their own.
     """
     stained = with_dab(pixels)
-    marked = P.threshold_mask(stained, P.otsu_per_slide(stained), ["slide_id"]).drop("threshold")
+    marked = P.by_tile(P.threshold_mask(stained, P.otsu_per_slide(stained), ["slide_id"]))
     # Stained nuclei are no membrane: left in, closing would bridge the cytoplasm beside them.
     marked = marked.withColumn("mask", F.col("mask") & (F.col("nuc_id") == 0))
     closed = R.morph_ellipse(marked, "mask", "close", 5, 1, "_wall").withColumn(
         "_wall", F.col("_wall") & (F.col("nuc_id") == 0))
     grown = W.grow_regions(closed, "_wall", cap, "cell_id", extent, carry=["nuc_id", "dab"])
     # The filter, the renumbering and the result all read the grown labels: grown once, kept.
-    grown = cut_lineage(grown)
+    grown = cut_lineage(P.by_tile(grown))
     keep = I.filter_cells(grown).filter(F.col("reason") == "kept")
     if pad and tile_size:
         keep = keep.join(I.center_zone_filter(grown, tile_size, pad).select(*P.TILE, "id"), [*P.TILE, "id"], "left_semi")
@@ -56,10 +57,13 @@ def pending_pixels(pixels: DataFrame, manifest: DataFrame, config_hash: str, ste
 
 
 def measure_cells(pixels: DataFrame, mpp: float = 0.5, extent: tuple[int, int] | None = None) -> DataFrame:
-    """Labelled pixels in, measured and graded cells out: bar filter, compartments, one aggregate."""
+    """Labelled pixels in, measured and graded cells out: bar filter, compartments, one aggregate.
+
+    Pixels move twice: to the blocks of the bar filter, then to their tile for all that follows.
+    """
     stained = pixels if "dab" in pixels.columns else with_dab(pixels)
     barred = R.bar_filter_max(stained, "dab", "bar", "zero", extent, carry=["nuc_id", "cell_id", "dab"])
-    return I.measure_cells(barred, mpp)
+    return I.measure_cells(P.by_tile(barred), mpp)
 
 
 def eligibility(cells: DataFrame, baseline: DataFrame, region: str = PATIENT) -> DataFrame:

@@ -170,20 +170,28 @@ THICK = f"""WITH {UNION}, s AS (SELECT slide_id, tile_id, cell_id, count(*) FILT
 
 @query("thickness_ratio", THICK + " SELECT slide_id, tile_id, cell_id, n_ring, n_edge, CASE WHEN n_edge > 3 THEN round(n_ring / CAST(n_edge AS DOUBLE), 6) END AS thickness_ratio FROM s")
 def _(t):
-    return rounded(I.thickness_ratio(t.pixels).drop("thickness_disc"))
+    return rounded(I.thickness_ratio(t.pixels))
 
 
-@query("thickness_disc", THICK + " SELECT slide_id, tile_id, cell_id, round(2 * sqrt(n_ring / (pi() + 1e-8)), 6) AS thickness_disc FROM s")
+CROSS = "(VALUES (1, 0), (-1, 0), (0, 1), (0, -1)) o(dx, dy)"
+DIAMOND = ", ".join(f"({dx}, {dy})" for dx in range(-2, 3) for dy in range(-2, 3) if abs(dx) + abs(dy) <= 2)
+REPEAT = f"""WITH b AS (SELECT DISTINCT s.slide_id, s.tile_id, s.cell_id AS id, s.x, s.y FROM (SELECT slide_id, tile_id, cell_id, x, y, x + dx AS nx, y + dy AS ny FROM stained, {CROSS} WHERE cell_id > 0) s
+  JOIN stained q ON q.tile_id = s.tile_id AND q.x = s.nx AND q.y = s.ny WHERE q.cell_id <> s.cell_id),
+r AS (SELECT DISTINCT slide_id, tile_id, id, x + dx AS x, y + dy AS y FROM b, (VALUES {DIAMOND}) o(dx, dy)),
+rr AS (SELECT r.slide_id, r.tile_id, r.id, q.dab, q.bar FROM r JOIN stained q ON q.tile_id = r.tile_id AND q.x = r.x AND q.y = r.y
+  LEFT JOIN b ON b.tile_id = r.tile_id AND b.id = r.id AND b.x = r.x AND b.y = r.y WHERE q.cell_id <> r.id OR b.id IS NOT NULL),
+s AS (SELECT slide_id, tile_id, id AS cell_id, count(*) AS n, avg(bar) * avg(CASE WHEN dab > 0.1 THEN 1.0 ELSE 0.0 END) AS v FROM rr GROUP BY ALL
+  HAVING count(*) >= 3), z AS (SELECT tile_id, cell_id, count(*) AS px FROM stained WHERE cell_id > 0 GROUP BY ALL HAVING count(*) >= 5)"""
+
+
+@query("thickness_disc", REPEAT + " SELECT slide_id, tile_id, cell_id, round(2 * sqrt(n / (pi() + 1e-8)), 6) AS thickness_disc FROM s JOIN z USING (tile_id, cell_id)")
 def _(t):
-    return rounded(I.thickness_ratio(t.pixels).select("slide_id", "tile_id", "cell_id", "thickness_disc"))
+    return rounded(I.repeat_run_cells(t.stained).select("slide_id", "tile_id", "cell_id", "thickness_disc"))
 
 
-@query("grade_bar_completeness", f"""WITH {COMP}, s AS (SELECT slide_id, tile_id, cell_id, avg(bar) FILTER (WHERE {RING}) * avg(CASE WHEN dab > 0.1 THEN 1.0 ELSE 0.0 END) FILTER (WHERE {RING}) AS v FROM cp WHERE cell_id > 0 GROUP BY ALL)
-SELECT slide_id, tile_id, cell_id, CASE WHEN v < 0.10 THEN 0 WHEN v < 0.20 THEN 1 WHEN v < 0.35 THEN 2 ELSE 3 END AS grade FROM s""")
+@query("grade_bar_completeness", REPEAT + """ SELECT slide_id, tile_id, cell_id, CASE WHEN v < 0.10 THEN 0 WHEN v < 0.20 THEN 1 WHEN v < 0.35 THEN 2 ELSE 3 END AS grade FROM s JOIN z USING (tile_id, cell_id)""")
 def _(t):
-    ring = I.with_compartments(t.stained).filter("ring").groupBy("slide_id", "tile_id", "cell_id").agg(
-        F.avg("bar").alias("b"), F.avg((F.col("dab") > 0.1).cast("int")).alias("c"))
-    return ring.select("slide_id", "tile_id", "cell_id", G.grade_bar_completeness("b", "c").alias("grade"))
+    return I.repeat_run_cells(t.stained).select("slide_id", "tile_id", "cell_id", "grade")
 
 
 def rings(k: int) -> str:

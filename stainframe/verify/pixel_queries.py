@@ -262,13 +262,27 @@ def _(t):
     return rounded(P.weak_signal_flag(t.stained))
 
 
-@query("energy_blend", f"""WITH {SOBEL}, {DIST},
-j AS (SELECT s.slide_id, s.tile_id, s.x, s.y, dab, nuc_id, sobel, distance FROM stained s JOIN sobel USING (slide_id, tile_id, x, y) JOIN dist USING (slide_id, tile_id, x, y)),
+def mirrored(axis: str) -> str:
+    """A coordinate beyond the 64 pixels of a side, mirrored with the edge pixel repeated."""
+    return f"CASE WHEN {axis} + i < 0 THEN -({axis} + i) - 1 WHEN {axis} + i > 63 THEN 127 - ({axis} + i) ELSE {axis} + i END"
+
+
+WEIGHTS = ", ".join(f"({i - 4}, CAST({w!r} AS DOUBLE))" for i, w in enumerate(R.gaussian_weights(1.0).tolist()))
+SMOOTH = f"""gx AS (SELECT p.tile_id, p.x, p.y, sum(p.w * q.distance) AS d FROM (SELECT tile_id, x, y, w, {mirrored('x')} AS nx FROM dist, (VALUES {WEIGHTS}) k(i, w)) p
+  JOIN dist q ON q.tile_id = p.tile_id AND q.x = p.nx AND q.y = p.y GROUP BY ALL),
+soft AS (SELECT p.tile_id, p.x, p.y, sum(p.w * q.d) AS distance FROM (SELECT tile_id, x, y, w, {mirrored('y')} AS ny FROM dist, (VALUES {WEIGHTS}) k(i, w)) p
+  JOIN gx q ON q.tile_id = p.tile_id AND q.x = p.x AND q.y = p.ny GROUP BY ALL),
+reach AS (SELECT DISTINCT tile_id, x + dx AS x, y + dy AS y FROM stained, range(-10, 11) a(dx), range(-10, 11) b(dy) WHERE nuc_id > 0 AND dx * dx + dy * dy <= 100)"""
+
+
+@query("energy_blend", f"""WITH {SOBEL}, {DIST}, {SMOOTH},
+j AS (SELECT s.slide_id, s.tile_id, s.x, s.y, dab, nuc_id, sobel, distance, n.x IS NOT NULL AS near FROM stained s JOIN sobel USING (slide_id, tile_id, x, y) JOIN soft USING (tile_id, x, y)
+  LEFT JOIN reach n ON n.tile_id = s.tile_id AND n.x = s.x AND n.y = s.y),
 t AS (SELECT tile_id, max(dab) < 1e-4 AS weak, max(distance) AS dmax, count(*) FILTER (WHERE dab > 1.2) / CAST(greatest(count(*) FILTER (WHERE nuc_id = 0), 1) AS DOUBLE) AS share FROM j GROUP BY tile_id),
 w AS (SELECT *, CASE WHEN share >= 0.005 THEN CAST(0.3 AS DOUBLE) ELSE CAST(0.5 AS DOUBLE) END AS w FROM t)
-SELECT {KEY}, round(CASE WHEN weak THEN sobel ELSE 1 - ((1 - w) * (CASE WHEN dmax > 1e-6 THEN 1 - distance / dmax ELSE 1 END) + w * sobel) END, 6) AS energy FROM j JOIN w USING (tile_id)""")
+SELECT {KEY}, round(CASE WHEN NOT near THEN 0 WHEN weak THEN sobel ELSE 1 - ((1 - w) * (CASE WHEN dmax > 1e-6 THEN 1 - distance / dmax ELSE 1 END) + w * sobel) END, 6) AS energy FROM j JOIN w USING (tile_id)""")
 def _(t):
-    return rounded(R.energy_blend(P.mask_fixed(t.stained, 1.2), "mask", 0.3, 12, extent=EXTENT).select(*COLS, "energy"))
+    return rounded(R.energy_blend(P.mask_fixed(t.stained, 1.2), "mask", 0.3, 12, extent=EXTENT, radius=10).select(*COLS, "energy"))
 
 
 @query("expand_nuclei", f"WITH n AS (SELECT {KEY}, nuc_id FROM pixels), e AS ({near('n', 'nuc_id', ellipse(11), 'max', 'expanded')}) SELECT {KEY}, expanded FROM e")

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from conftest import tile_rows
 from stainframe.operators import instances as I
 from stainframe.operators import matching as M
+from stainframe.operators import pixels as X
 from stainframe.operators import profiles as P
+from stainframe.plans import jobs
 
 
 def radial(dab, mask):
@@ -144,3 +146,17 @@ def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(1, i, i + 1) for i in range(39) if i != 20], "k int, a int, b int")
     got = {r["node"]: r["component"] for r in M.connected_components(nodes, edges, ["k"]).collect()}
     assert all(got[i] == (0 if i <= 20 else 21) for i in range(40))
+
+
+def test_jobs_move_pixels_few_times(spark, tile, tmp_path):
+    """On a stored pixel table the measuring job has two shuffles of pixels, the ring operator on placed pixels one."""
+    path = str(tmp_path / "pixels")
+    tile.write.parquet(path)
+    pixels = spark.read.parquet(path)
+
+    def shuffles(df):
+        plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+        return sum("Exchange hashpartitioning" in line for line in plan.splitlines())
+
+    assert shuffles(jobs.measure_cells(pixels)) <= 2
+    assert shuffles(I.ring_fixed(X.by_tile(pixels))) <= 1
