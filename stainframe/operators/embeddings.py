@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
@@ -14,6 +15,7 @@ from stainframe.functions.ordering import exact_percentiles
 
 STAINING_WEIGHTS = (0.0, 0.33, 0.67, 1.0)
 TEMPERATURE = 0.07
+SPLITS = ("Train", "Validation", "Test")
 
 
 def l2_normalise(tiles: DataFrame, column: str = "embedding", out: str = "unit") -> DataFrame:
@@ -26,15 +28,15 @@ def soft_cluster_score(unit: Column, epithelial: Column, other: Column) -> Colum
     return far / (near + far + F.lit(1e-8))
 
 
-def kmeans_epithelial(tiles: DataFrame, seed: int = 42, iterations: int = 300) -> DataFrame:
+def kmeans_epithelial(tiles: DataFrame, seed: int = 42, iterations: int = 300, min_tiles: int = 4) -> DataFrame:
     """Two clusters of unit embeddings; `epithelial` is the one with the higher mean DAB.
 
     Only positive, finite DAB counts; without any in one cluster the smaller cluster is taken. Fewer
-    than four tiles score 0.5. The clusters are fitted by Spark; two centres and two counts are all
+    than `min_tiles` tiles are not clustered and score 0.5: that is the measure's definition, at any size. The clusters are fitted by Spark; two centres and two counts are all
     that reaches the driver.
     """
     unit = l2_normalise(tiles).withColumn("_f", array_to_vector("unit"))
-    if unit.limit(4).count() < 4:
+    if unit.limit(min_tiles).count() < min_tiles:
         return tiles.withColumns({"epithelial": F.lit(None).cast("boolean"), "score": F.lit(0.5)})
     model = KMeans(k=2, seed=seed, maxIter=iterations, featuresCol="_f", predictionCol="_c", initSteps=5).fit(unit)
     marked = model.transform(unit)
@@ -52,6 +54,15 @@ def kmeans_epithelial(tiles: DataFrame, seed: int = 42, iterations: int = 300) -
     return marked.withColumns({"epithelial": F.col("_c") == chosen, "score": score}).drop("_f", "_c", "unit")
 
 
+def kmeans_epithelial_by_split(tiles: DataFrame, splits: Sequence[str] = SPLITS, **options) -> DataFrame:
+    """`kmeans_epithelial` of each split's tiles by themselves (`split` column); tiles of other splits are left out.
+
+    One clustering for each named split, three as a rule.
+    """
+    parts = [kmeans_epithelial(tiles.filter(F.col("split") == name), **options) for name in splits]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def zero_shot_binary(tiles: DataFrame, positive: Sequence[float], negative: Sequence[float]) -> DataFrame:
     """Probability of the positive prompt: softmax of two cosine similarities."""
     unit = l2_normalise(tiles)

@@ -160,12 +160,16 @@ def _(t):
 @query("sink_tile_scores", """SELECT tile_id, round(max(score) FILTER (WHERE model = 'conch'), 6) AS conch, round(max(score) FILTER (WHERE model = 'musk'), 6) AS musk, round(max(score) FILTER (WHERE model = 'uni'), 6) AS uni,
 round(max(score) FILTER (WHERE model = 'virchow'), 6) AS virchow, round(max(score) FILTER (WHERE model = 'phikon'), 6) AS phikon, round(avg(score), 6) AS consensus_score FROM tile_scores GROUP BY tile_id""")
 def _(t):
-    from stainframe.sources.sinks import tile_score_rows
-    return rounded(tile_score_rows(t.tile_scores, KNOWN))
+    from stainframe.sources.sinks import tile_score_rows, write_tile_scores
+    from stainframe.verify.source_queries import scratch
+    rows, path = rounded(tile_score_rows(t.tile_scores, KNOWN)), scratch(t.spark, "scores")
+    write_tile_scores(rows, path)
+    return t.spark.read.schema(rows.schema).option("header", True).csv(path)
 
 
 @query("filter_epithelial_cluster")
 def _(t):
-    clusters = E.kmeans_epithelial(t.tile_embeddings).select("tile_id", "epithelial")
+    part = F.element_at(F.array(*[F.lit(s) for s in E.SPLITS]), F.pmod("tile_id", F.lit(3)).cast("int") + 1)
+    clusters = E.kmeans_epithelial_by_split(t.tile_embeddings.withColumn("split", part)).select("tile_id", "epithelial")
     tiles = t.pixels.select("slide_id", "tile_id").distinct()
     return rounded(TF.filter_epithelial_cluster(t.stained, tiles.join(clusters, "tile_id"))[1])
