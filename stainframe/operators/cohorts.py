@@ -153,8 +153,7 @@ def detections_by_level(tiles: DataFrame) -> DataFrame:
                            .otherwise(F.lit(float("inf"))))
     levels = tiles.sparkSession.createDataFrame([(n,) for n, _ in DAB_LEVELS], "dab_level string")
     numbers = [c for c in sums.columns if c != "dab_level"]
-    # Four fixed names: the one side here whose size is known beforehand.
-    return F.broadcast(levels).join(sums, "dab_level", "left").fillna(0, numbers)
+    return levels.join(sums, "dab_level", "left").fillna(0, numbers)
 
 
 def selectivity_verdict(negative_ratio: str | Column, overall_ratio: str | Column) -> list[Column]:

@@ -93,7 +93,7 @@ def model_score_summary(scores: DataFrame, known: Sequence[str]) -> DataFrame:
     sums = sums.join(exact_percentiles(scores, ["model"], "score", {"median": 0.5}), "model", "left")
     # The list of known models is a handful of names.
     names = scores.sparkSession.createDataFrame([(m,) for m in known], "model string")
-    return F.broadcast(names).join(sums, "model", "left").withColumns({
+    return names.join(sums, "model", "left").withColumns({
         "n": F.coalesce("n", F.lit(0)), "skipped": F.coalesce(F.col("n") == 0, F.lit(True))})
 
 

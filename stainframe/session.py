@@ -12,7 +12,8 @@ def local_session(cores: str | None = None) -> SparkSession:
     spark = (
         SparkSession.builder.master(f"local[{cores}]").appName("stainframe")
         .config("spark.sql.shuffle.partitions", cores if cores.isdigit() else "8")
-        .config("spark.driver.memory", "16g")
+        .config("spark.driver.memory", "8g")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")

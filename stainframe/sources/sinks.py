@@ -24,14 +24,18 @@ def cells_with_columns(cells: DataFrame, measured: DataFrame, keys: Sequence[str
     return out.withColumns(missing).select("slide_id", *[F.col(f.name).cast(f.dataType) for f in CELLS.fields])
 
 
-def write_cells(cells: DataFrame, path: str, files_per_slide: int = 1) -> None:
+def write_cells(cells: DataFrame, path: str, files_per_slide: int | None = None) -> None:
     """Zstd Parquet partitioned by slide.
 
-    Rows are spread by slide and a hash slice of the cell, so a giant slide is written by several
-    tasks and a slide is not scattered over one file per task.
+    Rows are gathered by slide and partitions evened out to the advisory size, so a giant slide is written by
+    several tasks and a slide is not scattered over one file per task. With `files_per_slide` every slide is
+    spread by a hash slice of the cell over that many files instead.
     """
-    slice_ = F.pmod(F.xxhash64("cell_id"), F.lit(files_per_slide))
-    (cells.repartition("slide_id", slice_).write.partitionBy("slide_id").option("compression", "zstd")
+    if files_per_slide is None:
+        placed = cells.hint("rebalance", F.col("slide_id"))
+    else:
+        placed = cells.repartition("slide_id", F.pmod(F.xxhash64("cell_id"), F.lit(files_per_slide)))
+    (placed.write.partitionBy("slide_id").option("compression", "zstd")
      .mode("errorifexists").parquet(path))
 
 

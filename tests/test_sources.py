@@ -142,3 +142,16 @@ def test_null_keys_are_groups(spark):
     assert ranked.count() == 200 and ranked.filter("k IS NULL AND rank = v AND group_size = 100").count() == 100
     low = spark.createDataFrame([(None, 0.12)] * 100, "region string, membrane_ring_dab double")
     assert [tuple(r)[2:] for r in calibrate_thresholds(low, ["region"]).collect()] == [(0.12, 0.12, 0.2)]
+
+
+def test_giant_slide_is_written_by_several_tasks(spark, tmp_path):
+    cells = spark.range(200_000).selectExpr("CASE WHEN id % 10 = 0 THEN concat('S', id % 7) ELSE 'GIANT' END AS slide_id", "id AS cell_id", "rand() AS area_um2")
+    before = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "128k")
+    try:
+        K.write_cells(cells, str(tmp_path / "cells"))
+    finally:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", before)
+    files = [len(list(d.glob("*.parquet"))) for d in (tmp_path / "cells").glob("slide_id=*")]
+    assert len(list((tmp_path / "cells" / "slide_id=GIANT").glob("*.parquet"))) > 1 and len(files) == 8
+    assert spark.read.parquet(str(tmp_path / "cells")).count() == 200_000
