@@ -77,4 +77,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_toxicity, op2_host_rules, op3_page_text, op4_quality, op5_pieces, op6_simhash, op7_packing,
                             op8_url_filter, op9_top_k, op10_secrets)}
 
-ORACLE: dict[str, str] = {"op2_host_rules": quality_rules.SQL, "op8_url_filter": url_filter.SQL, "op9_top_k": topk.SQL}
+ORACLE: dict[str, str] = {"op2_host_rules": quality_rules.SQL, "op3_page_text": html_extraction.SQL, "op8_url_filter": url_filter.SQL, "op9_top_k": topk.SQL}

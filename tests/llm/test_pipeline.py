@@ -57,7 +57,7 @@ def test_stages_on_nothing(spark):
         assert out.count() == 0
 
 
-@pytest.mark.parametrize("key", ["op2_host_rules", "op8_url_filter", "op9_top_k"])
+@pytest.mark.parametrize("key", ["op2_host_rules", "op3_page_text", "op8_url_filter", "op9_top_k"])
 def test_twins(spark, key):
     con = duckdb.connect()
     for name in GIVEN:
