@@ -2,6 +2,9 @@
 
 A grid is sparse: only touched squares have a row, a missing square reads zero. Cells that share a
 grid square are summed before they are spread, so a crowded spot costs one row, not its cells.
+
+Scale, width and height are numbers, or names of columns where slides differ: columns of the cells, joined from the
+slides, which the grid then carries along.
 """
 
 from __future__ import annotations
@@ -21,24 +24,35 @@ def _disc(r: int) -> Column:
         for dx in range(-r, r + 1) for dy in range(-r, r + 1) if dx * dx + dy * dy <= r * r]))
 
 
-def _placed(cells: DataFrame, scale: float) -> DataFrame:
-    return cells.withColumns({"gx": F.floor(F.col("centroid_x") * F.lit(scale)), "gy": F.floor(F.col("centroid_y") * F.lit(scale))})
+def _size(value: float | str) -> Column:
+    return F.col(value) if isinstance(value, str) else F.lit(value)
+
+
+def _keys(*sizes: float | str) -> list[str]:
+    """The grid's keys with the columns that give a slide's size."""
+    return [*GRID, *dict.fromkeys(s for s in sizes if isinstance(s, str))]
+
+
+def _placed(cells: DataFrame, scale: float | str) -> DataFrame:
+    return cells.withColumns({"gx": F.floor(F.col("centroid_x") * _size(scale)), "gy": F.floor(F.col("centroid_y") * _size(scale))})
 
 
-def _inside(width: int, height: int, margin: int = 0) -> Column:
-    return F.col("gx").between(margin, width - margin - 1) & F.col("gy").between(margin, height - margin - 1)
+def _inside(width: int | str, height: int | str, margin: int = 0) -> Column:
+    fits = lambda axis, size: F.col(axis).between(F.lit(margin), _size(size) - margin - 1)
+    return fits("gx", width) & fits("gy", height)
 
 
 def scatter_to_grid(
-    cells: DataFrame, value: str, scale: float, width: int, height: int, radius: int = 4
+    cells: DataFrame, value: str, scale: float | str, width: int | str, height: int | str, radius: int = 4
 ) -> DataFrame:
     """Mean (`v`) and count (`n`) of non-null values of the cells whose disc covers each grid square."""
-    sums = _placed(cells, scale).filter(_inside(width, height, radius)).groupBy(*GRID).agg(
+    keys = _keys(width, height)
+    sums = _placed(cells, scale).filter(_inside(width, height, radius)).groupBy(*keys).agg(
         F.sum(value).alias("_s"), F.count(value).alias("_n"))
     spread = sums.select("*", _disc(radius).alias("o")).select(
-        "slide_id", (F.col("gx") + F.col("o.dx")).alias("gx"), (F.col("gy") + F.col("o.dy")).alias("gy"), "_s", "_n")
-    out = spread.groupBy(*GRID).agg(F.sum("_s").alias("_s"), F.sum("_n").alias("n"))
-    return out.select(*GRID, F.when(F.col("n") > 0, F.col("_s") / F.col("n")).otherwise(F.lit(0.0)).alias("v"), "n")
+        "slide_id", (F.col("gx") + F.col("o.dx")).alias("gx"), (F.col("gy") + F.col("o.dy")).alias("gy"), *keys[3:], "_s", "_n")
+    out = spread.groupBy(*keys).agg(F.sum("_s").alias("_s"), F.sum("_n").alias("n"))
+    return out.select(*keys, F.when(F.col("n") > 0, F.col("_s") / F.col("n")).otherwise(F.lit(0.0)).alias("v"), "n")
 
 
 def _stretch(df: DataFrame, value: str, low: Column, high: Column, out: str) -> DataFrame:
@@ -61,37 +75,38 @@ def cell_value_normalise(cells: DataFrame, value: str, low: float = 0.02, high:
     return _stretch(df, value, F.col("_lo"), top, "normalised").drop("_lo", "_hi")
 
 
-def _spread_max(grid: DataFrame, axis: str, before: int, after: int, size: int, values: list[str]) -> DataFrame:
-    moved = grid.select(*GRID, *values, F.explode(F.sequence(F.lit(-after), F.lit(before))).alias("_d"))
-    moved = moved.withColumn(axis, F.col(axis) + F.col("_d")).filter(F.col(axis).between(0, size - 1))
-    return moved.groupBy(*GRID).agg(*[F.max(v).alias(v) for v in values])
+def _spread_max(grid: DataFrame, axis: str, before: int, after: int, size: int | str, values: list[str], keys: list[str]) -> DataFrame:
+    moved = grid.select(*keys, *values, F.explode(F.sequence(F.lit(-after), F.lit(before))).alias("_d"))
+    moved = moved.withColumn(axis, F.col(axis) + F.col("_d")).filter(F.col(axis).between(F.lit(0), _size(size) - 1))
+    return moved.groupBy(*keys).agg(*[F.max(v).alias(v) for v in values])
 
 
-def fill_gaps(grid: DataFrame, width: int, height: int, size: int = 12, values: tuple[str, ...] = ("v",)) -> DataFrame:
+def fill_gaps(grid: DataFrame, width: int | str, height: int | str, size: int = 12, values: tuple[str, ...] = ("v",)) -> DataFrame:
     """Local maximum over `size` squares each way, one further back than forward if size is even."""
     back, front = size // 2, size - size // 2 - 1
-    grid = _spread_max(grid, "gx", back, front, width, list(values))
-    return _spread_max(grid, "gy", back, front, height, list(values))
+    keys = _keys(width, height)
+    grid = _spread_max(grid, "gx", back, front, width, list(values), keys)
+    return _spread_max(grid, "gy", back, front, height, list(values), keys)
 
 
-def smooth(grid: DataFrame, width: int, height: int, sigma: float = 3.0) -> DataFrame:
+def smooth(grid: DataFrame, width: int | str, height: int | str, sigma: float = 3.0) -> DataFrame:
     """Gaussian blur of `v`, by axis; what falls past an edge is mirrored back, edge square repeated."""
     w = gaussian_weights(sigma)
-    r = len(w) // 2
+    r, keys = len(w) // 2, _keys(width, height)
     kernel = F.array(*[F.struct(F.lit(i - r).alias("d"), F.lit(float(x)).alias("w")) for i, x in enumerate(w)])
 
-    def along(g: DataFrame, axis: str, size: int) -> DataFrame:
-        moved = g.select(*GRID, "v", F.explode(kernel).alias("k"))
-        at = F.col(axis) + F.col("k.d")
-        at = F.when(at < 0, -1 - at).when(at >= size, 2 * size - 1 - at).otherwise(at)
-        return (moved.select(*[c for c in GRID if c != axis], at.alias(axis), (F.col("v") * F.col("k.w")).alias("v"))
-                .groupBy(*GRID).agg(F.sum("v").alias("v")))
+    def along(g: DataFrame, axis: str, size: int | str) -> DataFrame:
+        moved = g.select(*keys, "v", F.explode(kernel).alias("k"))
+        at, end = F.col(axis) + F.col("k.d"), _size(size)
+        at = F.when(at < 0, -1 - at).when(at >= end, 2 * end - 1 - at).otherwise(at)
+        return (moved.select(*[c for c in keys if c != axis], at.alias(axis), (F.col("v") * F.col("k.w")).alias("v"))
+                .groupBy(*keys).agg(F.sum("v").alias("v")))
 
     return along(along(grid, "gx", width), "gy", height)
 
 
 def grid_gap_fill_smooth(
-    grid: DataFrame, tissue: DataFrame, width: int, height: int, size: int = 12, sigma: float = 3.0
+    grid: DataFrame, tissue: DataFrame, width: int | str, height: int | str, size: int = 12, sigma: float = 3.0
 ) -> DataFrame:
     """Gaps filled, then smoothed, then cut to tissue squares (`tissue`: slide and grid square)."""
     out = smooth(fill_gaps(grid, width, height, size), width, height, sigma)
@@ -99,7 +114,7 @@ def grid_gap_fill_smooth(
 
 
 def grid_grade(
-    cells: DataFrame, tissue: DataFrame, scale: float, width: int, height: int, radius: int = 4, size: int = 12,
+    cells: DataFrame, tissue: DataFrame, scale: float | str, width: int | str, height: int | str, radius: int = 4, size: int = 12,
     sigma: float = 3.0,
 ) -> DataFrame:
     """Mean grade per square, filled and smoothed, rounded half to even and kept in 0..3."""
@@ -113,11 +128,12 @@ def grid_grade(
 
 
 def grid_last_writer(
-    cells: DataFrame, value: str, order: str, scale: float, width: int, height: int, radius: int = 3
+    cells: DataFrame, value: str, order: str, scale: float | str, width: int | str, height: int | str, radius: int = 3
 ) -> DataFrame:
     """Value of the last cell, in `order`, whose disc covers the square."""
-    last = _placed(cells, scale).filter(_inside(width, height)).groupBy(*GRID).agg(
+    keys = _keys(width, height)
+    last = _placed(cells, scale).filter(_inside(width, height)).groupBy(*keys).agg(
         F.max(F.struct(F.col(order).alias("o"), F.col(value).alias("v"))).alias("_w"))
     spread = last.select("*", _disc(radius).alias("o")).select(
-        "slide_id", (F.col("gx") + F.col("o.dx")).alias("gx"), (F.col("gy") + F.col("o.dy")).alias("gy"), "_w")
-    return spread.filter(_inside(width, height)).groupBy(*GRID).agg(F.max("_w")["v"].alias("v"))
+        "slide_id", (F.col("gx") + F.col("o.dx")).alias("gx"), (F.col("gy") + F.col("o.dy")).alias("gy"), *keys[3:], "_w")
+    return spread.filter(_inside(width, height)).groupBy(*keys).agg(F.max("_w")["v"].alias("v"))

@@ -75,8 +75,11 @@ def tile_tissue_overlap(tiles: DataFrame, mask: DataFrame, tile: int = TILE_PX,
         F.when(F.first("_area") > 0, on / F.first("_area")).otherwise(F.lit(0.0)).alias("tissue"))
 
 
-def tile_bins(cells: DataFrame, downsample: float = 2.0, tile: int = TILE_PX, pad: int = TILE_PAD) -> DataFrame:
-    """Tile of each cell's centroid, so that a tile's pixels meet its cells by an equi-join."""
+def tile_bins(cells: DataFrame, downsample: float | Column = 2.0, tile: int = TILE_PX, pad: int = TILE_PAD) -> DataFrame:
+    """Tile of each cell's centroid, so that a tile's pixels meet its cells by an equi-join.
+
+    `downsample` is a number, or a column of `cells` for slides read at different levels.
+    """
     step = (tile - 2 * pad) * downsample
     return cells.withColumns({
         "tile_x": F.floor(F.col("centroid_x") / step), "tile_y": F.floor(F.col("centroid_y") / step)})

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from stainframe.functions.ordering import exact_percentiles, rank_within, running_totals, seeded_order, top_n
 from stainframe.functions.spatial import exists_within
+from stainframe.operators import grids as D
+from stainframe.operators import tiling as T
 from stainframe.operators.cohorts import paired_agreement, t_test_p
 from stainframe.operators.placement import dedup_hybrid
 
@@ -90,3 +92,22 @@ def test_t_statistic_and_p(spark):
     assert 112.4265 / (71.3943 / 123**0.5) == pytest.approx(17.4646, abs=1e-3)
     few = spark.createDataFrame([(1.0, 2.0)] * 4, "a double, b double")
     assert paired_agreement(few).collect()[0]["paired_t"] is None
+
+
+def test_slides_of_different_size_and_scale_have_their_own_grid(spark):
+    cells = spark.range(4000).selectExpr(
+        "if(id % 2 = 0, 'A', 'B') AS slide_id", "id AS cell_id", "CAST((id * 37) % 900 AS double) AS centroid_x", "CAST((id * 91) % 700 AS double) AS centroid_y",
+        "CAST(id % 4 AS int) AS grade", "if(id % 2 = 0, 0.05D, 0.1D) AS scale", "if(id % 2 = 0, 40, 85) AS width", "if(id % 2 = 0, 30, 66) AS height",
+        "if(id % 2 = 0, 2.0D, 4.0D) AS downsample")
+    squares = D.scatter_to_grid(cells, "grade", "scale", "width", "height")
+    tissue = squares.select("slide_id", "gx", "gy")
+    last = D.grid_last_writer(cells, "grade", "cell_id", "scale", "width", "height")
+    grades = D.grid_grade(cells, tissue, "scale", "width", "height")
+    bins = T.tile_bins(cells, F.col("downsample"))
+    for slide, scale, w, h, step in (("A", 0.05, 40, 30, 2.0), ("B", 0.1, 85, 66, 4.0)):
+        one, own = cells.filter(F.col("slide_id") == slide), lambda df: df.filter(F.col("slide_id") == slide)  # noqa: E731, B023
+        same = lambda a, b: sorted(map(tuple, a.select(b.columns).collect())) == sorted(map(tuple, b.collect()))
+        assert same(own(squares), D.scatter_to_grid(one, "grade", scale, w, h))
+        assert same(own(last), D.grid_last_writer(one, "grade", "cell_id", scale, w, h))
+        assert same(own(grades), D.grid_grade(one, tissue, scale, w, h))
+        assert same(own(bins), T.tile_bins(one, step))
