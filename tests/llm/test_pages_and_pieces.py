@@ -34,6 +34,15 @@ def test_difference_without_article():
     assert text(frame.format("a", "b"), frame.format("a", "b")) == ["Site name", "a", "b", "All rights"]
 
 
+def test_places():
+    assert text("<div class='layout with-sidebar'><article><header><h1>T</h1></header><p>a</p></article><div class=sideNav>n</div></div>") == ["T", "a"]
+    assert text("<main><div class=breadcrumbs>x</div><p>lead</p><article><div class='article-header'><h2>T</h2></div><p>a</p></article></main>") == ["T", "a"]
+    assert text("<article><p>a</p></article><section class=comments><article class='comment odd'><p>c</p></article></section>") == ["a"]
+    assert text("<article><p>a</p><section id='userComments'><article><p>c</p></article></section><footer>f</footer></article>") == ["a"]
+    assert text("<aside><article><p>a</p></article></aside><main><p>b</p><div class='ad box'>x</div></main>") == ["b"]
+    assert text("<p>a</p><div class=shadow>b</div><div class='cookie-notice'>c</div>") == ["a", "b"]
+
+
 def test_odd_markup():
     assert text(None) == text("") == text("<p>") == text("<nav>x</nav>") == []
     assert text("plain < text & more") == ["plain < text & more"]
