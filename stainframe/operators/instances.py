@@ -17,7 +17,7 @@ from stainframe.constants import (
 )
 from stainframe.functions import grading as G
 from stainframe.operators.pixels import TILE
-from stainframe.operators.rasters import col_window, ellipse_offsets, erode_labels, row_window
+from stainframe.operators.rasters import col_window, ellipse_widths, erode_labels, row_window
 
 CELL = (*TILE, "cell_id")
 
@@ -265,12 +265,17 @@ def nucleus_rings(pixels: DataFrame, k: int) -> DataFrame:
     """Pixels inside the k x k elliptic dilation of each nucleus but outside that nucleus.
 
     A pixel may be in the ring of several nuclei. Only boundary pixels of a nucleus are spread: the
-    kernel's rows are centred, so the dilation of the boundary and the nucleus itself cover all of it.
+    kernel's rows are centred, so the dilation of the boundary and the nucleus itself cover all of it. A
+    boundary pixel gives one span for each row of the kernel; the spans of a nucleus on one raster row, bounded by
+    its size, are laid over each other before they become pixels.
     """
     edge = erode_labels(pixels, "nuc_id", 3, 1, "_in").filter((F.col("nuc_id") > 0) & ~F.col("_in"))
-    offsets = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in ellipse_offsets(k)])
-    spread = edge.select(*TILE, F.col("nuc_id").alias("id"), "x", "y", F.explode(offsets).alias("o")).select(
-        *TILE, "id", (F.col("x") + F.col("o.dx")).alias("x"), (F.col("y") + F.col("o.dy")).alias("y")).distinct()
+    rows = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(w).alias("w")) for dy, w in ellipse_widths(k).items()])
+    spans = edge.select(*TILE, F.col("nuc_id").alias("id"), "x", "y", F.explode(rows).alias("o")).groupBy(
+        *TILE, "id", (F.col("y") + F.col("o.dy")).alias("y")).agg(F.collect_set(F.struct(
+            (F.col("x") - F.col("o.w")).alias("lo"), (F.col("x") + F.col("o.w")).alias("hi"))).alias("_s"))
+    spread = spans.select(*TILE, "id", "y", F.explode(F.array_distinct(F.flatten(
+        F.transform("_s", lambda s: F.sequence(s.lo, s.hi))))).alias("x"))
     return spread.join(pixels, [*TILE, "x", "y"]).filter(F.col("nuc_id") != F.col("id"))
 
 
