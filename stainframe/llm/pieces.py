@@ -18,8 +18,8 @@ MARK = "▁"
 UNIT, PENALTY = 1_000_000, 10_000_000
 #: A segment: blanks and what follows them up to the next blank, or a line end, which no piece holds.
 SEGMENT = re.compile(rf"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
-#: Most distinct segments whose ids a task keeps.
-CACHE = 300_000
+#: Most distinct segments whose ids a task keeps, and bytes of new ones encoded at once (a longer segment stands alone).
+CACHE, SLICE = 200_000, 1 << 17
 
 
 @dataclass
@@ -187,6 +187,14 @@ class Encoder:
         self.number: dict[str, int] = {}
         self.flat, self.first, self.many = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
+    def learn(self, new: list[bytes]) -> None:
+        """Encodes new segments, SLICE bytes of them at a time: a byte has a handful of matching pieces, each some numbers."""
+        cuts = np.flatnonzero(np.diff(np.cumsum([len(x) for x in new]) // SLICE, prepend=0))
+        flat, many = zip(*(viterbi(self.model, new[a:b]) for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(new)]) if a < b))
+        count = np.concatenate(many)
+        self.first = np.append(self.first, len(self.flat) + np.cumsum(count) - count)
+        self.many, self.flat = np.append(self.many, count), np.append(self.flat, np.concatenate(flat))
+
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.number) > CACHE:
             self.clear()
@@ -194,9 +202,7 @@ class Encoder:
         for t in texts:
             coded.append(np.array([known.setdefault(x, len(known)) for x in segments(t)], np.int64))
         if len(known) > len(self.first):
-            ids, many = viterbi(self.model, [x.encode("utf-8", "surrogatepass") for x in islice(known, len(self.first), None)])
-            self.first = np.append(self.first, len(self.flat) + np.cumsum(many) - many)
-            self.many, self.flat = np.append(self.many, many), np.append(self.flat, ids)
+            self.learn([x.encode("utf-8", "surrogatepass") for x in islice(known, len(self.first), None)])
         out = []
         for k in coded:
             n = self.many[k]
