@@ -80,7 +80,8 @@ def judge(urls: DataFrame, rules: DataFrame, url: str = "url", keep: tuple[str,
             flat = [k for keys in batch["keys"] for k in keys]
             hit = np.flatnonzero(maybe_listed(bits.value, np.array([xxhash.xxh64_intdigest(k.encode(), 42) for k in flat], np.uint64)))
             of = np.repeat(np.arange(len(batch)), sizes)[hit]
-            yield batch[["host", "path"]].iloc[of].assign(key=[flat[i] for i in hit])
+            # Typed as objects, since a batch without a hit would otherwise be a column of numbers.
+            yield batch[["host", "path"]].iloc[of].assign(key=np.array([flat[i] for i in hit], object))
 
     rows = canonical(urls.select(*dict.fromkeys((*keep, url))), url)
     labels = F.split("host", r"\.")

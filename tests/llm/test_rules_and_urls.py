@@ -82,6 +82,13 @@ def test_urls(spark, blocks):
         [(i, *expected(u)) for i, u in enumerate(URLS)])
 
 
+def test_batches_without_a_hit(spark):
+    pages = spark.createDataFrame([(i, f"http://nowhere.net/{i}") for i in range(50)], "page_id int, url string")
+    rules = spark.createDataFrame(list(url_filter.RULES), "rule string, verdict string")
+    got = url_filter.judge(pages, rules, keep=("page_id",)).collect()
+    assert len(got) == 50 and all(r["rule"] is None and r["verdict"] == "allow" for r in got)
+
+
 def test_urls_of_empty_tables(spark):
     none, rules = spark.createDataFrame([], "page_id int, url string"), spark.createDataFrame([], "rule string, verdict string")
     assert url_filter.judge(none, rules, keep=("page_id",)).count() == 0
