@@ -34,6 +34,11 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def as_text(key: str) -> Column:
+    """A key on its way through pandas, where whole numbers beside nulls would become floats; cast it back behind."""
+    return F.col(key).cast("string")
+
+
 def words(text: Column) -> Column:
     """Maximal runs of characters that are not blank; none for a null text."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), f"[{BLANK}]+"), lambda w: w != "")

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stainframe.llm.common import written
+from stainframe.llm.common import as_text, written
 
 #: Slices of one length's pieces, so that a length that a third of the pieces have is not numbered in one task.
 SLICES = 64
@@ -47,7 +47,7 @@ def pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: in
 
     A null text is the empty text, one piece of the one id `end`.
     """
-    kinds = f"doc_id {dict(docs.dtypes)[doc_id]}, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids array<int>" * with_ids
+    kinds = "doc_id string, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids array<int>" * with_ids
 
     def encoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode = encoder(tokenizer)
@@ -60,7 +60,8 @@ def pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: in
                     rows.append((k, i, a, n, zlib.crc32(own.tobytes()), *([own.astype(np.int32)] * with_ids)))
             yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids])
 
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInPandas(encoded, kinds)
+    return (docs.select(as_text(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInPandas(encoded, kinds)
+            .withColumn("doc_id", F.col("doc_id").cast(dict(docs.dtypes)[doc_id])))
 
 
 def plan(counts: np.ndarray, size: int) -> list[tuple[int, tuple[int, ...]]]:

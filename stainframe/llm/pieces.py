@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stainframe.llm.common import as_text
+
 MARK = "▁"
 #: Log scores are whole millionths, so that sums are exact; an unknown character costs this much more than the worst piece.
 UNIT, PENALTY = 1_000_000, 10_000_000
@@ -256,9 +258,9 @@ def encode(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "t
                 yield rows(keys, texts)
 
     kind = dict(docs.dtypes)[doc_id]
-    return (docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-            .mapInPandas(encoded, f"doc_id {kind}, ids array<int>, n_bytes bigint, restored boolean")
-            .select("doc_id", "ids", F.size("ids").cast("long").alias("n_ids"), "n_bytes", "restored"))
+    return (docs.select(as_text(doc_id).alias("doc_id"), F.col(text).alias("text"))
+            .mapInPandas(encoded, "doc_id string, ids array<int>, n_bytes bigint, restored boolean")
+            .select(F.col("doc_id").cast(kind).alias("doc_id"), "ids", F.size("ids").cast("long").alias("n_ids"), "n_bytes", "restored"))
 
 
 def decode(rows: DataFrame, model: Model, ids: str = "ids", name: str = "text") -> DataFrame:

@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stainframe.llm.common import as_text
+
 KINDS = ("assign", "access", "hex", "novel")
 #: The base patterns' fixed values.
 WORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
@@ -143,11 +145,11 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", novelty: f
 
     def scanned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "spans": [
-                [{"start": a, "end": e, "kind": k} for a, e, k in spans(t, novelty)] for t in batch["text"]]})
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "spans": pd.Series([
+                [{"start": a, "end": e, "kind": k} for a, e, k in spans(t, novelty)] for t in batch["text"]], dtype=object)})
 
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInPandas(
-        scanned, f"doc_id {kind}, spans array<struct<start:bigint,end:bigint,kind:string>>")
+    return docs.select(as_text(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInPandas(
+        scanned, "doc_id string, spans array<struct<start:bigint,end:bigint,kind:string>>").withColumn("doc_id", F.col("doc_id").cast(kind))
 
 
 def digest(scanned: DataFrame) -> DataFrame:
