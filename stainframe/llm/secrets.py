@@ -23,10 +23,10 @@ ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 #: Words that make a context sensitive, wherever they stand in an identifier.
 CONTEXT = (b"auth", b"bearer", b"cookie", b"credential", b"key", b"login", b"passphrase", b"passwd", b"password", b"private",
            b"pwd", b"secret", b"session", b"signature", b"token")
-#: How far a candidate may stand behind such a word, and the candidate itself: bytes.
-REACH = 48
+#: The candidate itself, and what may stand between the lines of one wrapped value.
 VALUE = re.compile(rb"[A-Za-z0-9+/_.=~-]{16,}")
-#: Bytes of text on either side that prime the compressors.
+WRAP = re.compile(rb"""[\s\\"',]*""")
+#: Bytes of text on either side that are a candidate's context and prime the compressors.
 AROUND = 512
 #: Longest context of the character model, and the share of a random string's bits that a novel string has under it at
 #: least: a random one has more, since the model expects words.
@@ -170,9 +170,19 @@ def novel_spans(raw: bytes, low: bytes, taken: list[tuple[int, int, str]], novel
     """Candidates near a sensitive word that are novel, and every other place of the same string.
 
     Base spans must leave 16 bytes of one: an upper-case hex key may hold a run of digits that is a hex span itself.
-    A candidate is a run of 16 or more characters of keys, with letters and digits both, that starts at most 48 bytes
-    behind a sensitive word and on the same line.
+    A candidate is a run of 16 or more characters of keys with a sensitive word in the 512 bytes before or behind it, on
+    whatever line. Runs with only line ends, quotes, commas or backslashes between them are one wrapped value and share
+    their context, so that a key block is sensitive throughout.
     """
+    at = positions(low, CONTEXT)
+    if not at:
+        return []
+    groups: list[list[re.Match]] = []
+    for m in VALUE.finditer(raw):
+        if groups and WRAP.fullmatch(raw, groups[-1][-1].end(), m.start()):
+            groups[-1].append(m)
+        else:
+            groups.append([m])
     base: list[list[int]] = []  # the base spans, those that overlap as one
     for a, e, _ in sorted(taken):
         if base and a <= base[-1][1]:
@@ -189,18 +199,17 @@ def novel_spans(raw: bytes, low: bytes, taken: list[tuple[int, int, str]], novel
         return left >= 16
 
     out, found = set(), set()
-    for at in positions(low, CONTEXT):
-        line = raw.find(b"\n", at)
-        end = min(len(raw) if line < 0 else line, at + REACH)
-        for m in VALUE.finditer(raw, at):
-            if m.start() >= end:
-                break
+    for group in groups:
+        k = bisect_left(at, group[0].start() - AROUND)
+        if k == len(at) or at[k] >= group[-1].end() + AROUND:
+            continue
+        for m in group:
             a, e = m.span()
             value = m[0]
             # `key=value` is one run: the value begins behind the last sign that a name precedes.
             if (cut := re.match(rb"[A-Za-z_.-]{2,32}=(?=[^=])", value)) is not None:
                 a, value = a + cut.end(), value[cut.end():]
-            if len(value) < 16 or value in found or not clear(a, e) or not (re.search(rb"[A-Za-z]", value) and re.search(rb"[0-9]", value)):
+            if len(value) < 16 or value in found or not clear(a, e):
                 continue
             if is_novel(value, raw[max(0, a - AROUND):a], raw[e:e + AROUND], novelty):
                 found.add(value)

@@ -59,6 +59,21 @@ def test_every_place_of_a_secret():
     assert [text[a:e] for a, e, k in secrets.spans(text) if k == "novel"] == [key] * 3
 
 
+def test_context_on_any_side_and_line():
+    r = random.Random(9)
+    key, plain = "Zq8vN3xLw7Tb5KdR2mYc9HsPfJ4g", "ZqTvNbxLwKTbKdRmYcHsPfJg"
+    filler = "a few plain words stand in between here, as many as it takes. "
+    for text in (f"session:\n  {key}\n", f"the token, {filler}{key}", f"{key} is the passphrase", f"bearer {key}", f"auth: {plain} end"):
+        assert [s[2] for s in secrets.spans(text)] == ["novel"], text
+    body = ["".join(r.choice(ALNUM + "+/") for _ in range(64)) for _ in range(26)]
+    for end in ("\n", "\\n"):
+        text = f"-----BEGIN RSA PRIVATE KEY-----{end}" + end.join(body) + f"{end}-----END RSA PRIVATE KEY-----"
+        hidden = "".join(text[a:e] for a, e, _ in secrets.spans(text))
+        assert all(line in hidden for line in body)
+    for word in ("counterrevolutionaries", "//www.example.com/documentation/authentication.html", "getAuthenticationTokenFromRequest"):
+        assert secrets.spans(f"a key and {word} beside it") == [], word
+
+
 def test_scan_and_mask(spark):
     df = documents(spark, TEXTS, extra=True)
     got = {r["doc_id"]: r for r in secrets.digest(secrets.scan(df)).collect()}
