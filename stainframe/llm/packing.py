@@ -14,8 +14,8 @@ from stainframe.llm.common import as_text, written
 
 #: Slices of one length's pieces, so that a length that a third of the pieces have is not numbered in one task.
 SLICES = 64
-#: How many of the longest available lengths are tried as the largest part of a pair or triple: 0 (single lengths only), 1 or 4.
-REACHES = (0, 1, 4)
+#: How many of the longest available lengths are tried as the largest part of a pair or triple: all, 4, 1 or 0 (single lengths only).
+REACHES = (None, 4, 1, 0)
 
 
 def encoder(name: str = "byte_bpe_50k"):
@@ -68,18 +68,21 @@ def plan(counts: np.ndarray, size: int) -> list[tuple[int, tuple[int, ...]]]:
     """(times, lengths) of sequences that use up `counts[l]` pieces of each length l in 0..size.
 
     Works on the counts alone, so its cost does not depend on the number of pieces. How freely pairs and triples
-    should be spent depends on the lengths, so the counts are planned with each of `REACHES`; the fewest sequences win.
+    should be spent depends on the lengths, so the counts are planned with each of `REACHES`; the fewest sequences win,
+    and of equals the plan with all sums.
     """
     return min((filled(counts, size, reach) for reach in REACHES), key=lambda p: sum(n for n, _ in p))
 
 
-def filled(counts: np.ndarray, size: int, reach: int) -> list[tuple[int, tuple[int, ...]]]:
+def filled(counts: np.ndarray, size: int, reach: int | None) -> list[tuple[int, tuple[int, ...]]]:
     """One plan: exact complements first, then best fit.
 
     Full pieces stand alone. Then each length's gap is looked up in the hashed sums: by single lengths, after all of
-    those by pairs, after these by triples. The largest part of a pair or triple is one of the `reach` longest available
-    that fit. As many sequences as the counts allow are closed at once. What no sum closes is packed by best fit,
-    longest first, bins of equal gaps together.
+    those by pairs, after these by triples (one length and the pair sums of what is left). The parts of a sum are no longer
+    than the length whose gap it fills. With `reach` None every sum is tried and no exact fill of up to four pieces is left;
+    else the largest part of a pair or triple is one of the `reach` longest available that fit. As many sequences
+    as the counts allow are closed at once. What no sum closes is packed by best fit, longest first, bins of equal
+    gaps together.
     """
     have = counts.astype(np.int64).copy()
     have[0] = 0
@@ -102,13 +105,39 @@ def filled(counts: np.ndarray, size: int, reach: int) -> list[tuple[int, tuple[i
                 return own
         return None
 
+    def pairs(most: int, total: int) -> list[tuple[int, int]]:
+        """The entry of a sum in the index: its pairs of lengths still there, the larger no longer than `most`, largest first."""
+        low, most = -(-total // 2), min(most, total - 1)
+        if most < low:
+            return []
+        ok = (have[low:most + 1] > 0) & (have[total - most:total - low + 1] > 0)[::-1]
+        return [(x, total - x) for x in (low + np.flatnonzero(ok)[::-1]).tolist()]
+
+    def sums(length: int, parts: int) -> Iterator[tuple[int, ...]]:
+        """Every fill of `length` by `parts` further ones. One passed over is not possible later either, for counts only fall."""
+        gap = size - length
+        if parts == 2:
+            yield from pairs(length, gap)
+            return
+        for x in range(min(length, gap - 2), -(-gap // 3) - 1, -1):
+            if have[x] and have[length]:
+                yield from ((x, *two) for two in pairs(x, gap - x))
+
+    def close(own: tuple[int, ...]) -> None:
+        n = min(int(have[p]) // own.count(p) for p in set(own))
+        out.append((n, own))
+        for p in own:
+            have[p] -= n
+
     for parts in range(4):
-        for length in range(1, size + 1):
+        for length in np.flatnonzero(have).tolist():
+            if reach is None and parts >= 2:
+                for rest in sums(length, parts):
+                    if enough((length, *rest)):
+                        close((length, *rest))
+                continue
             while have[length] and (own := closed((length,), size - length, parts)):
-                n = min(int(have[p]) // own.count(p) for p in set(own))
-                out.append((n, own))
-                for p in own:
-                    have[p] -= n
+                close(own)
 
     # Best fit of the rest: open[gap] lists (times, parts) of bins with that gap.
     open_: dict[int, list[tuple[int, tuple[int, ...]]]] = {}

@@ -1,5 +1,6 @@
 """Packing: ids as the tokenizer gives them, every piece placed once, no sequence over its size."""
 
+import itertools
 import random
 import zlib
 
@@ -59,6 +60,31 @@ def test_exact_complements():
     assert sum(n for n, _ in plan) == 5 and {(7, 3), (6, 4), (5, 5)} <= {p for _, p in plan}
 
 
+def test_every_exact_fill():
+    """600 is closed only by 212 + 212, which none of the four longest lengths that fit leads to."""
+    n, counts = 120, np.zeros(1025, np.int64)
+    counts[[600, 212, 301, 302, 303, 304]] = [n, 2 * n, *[n // 4] * 4]
+    assert sum(k for k, _ in packing.plan(counts, 1024)) == n + n // 3
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_no_exact_fill_is_left(seed):
+    r = np.random.default_rng(seed)
+    size = int(r.choice([30, 64, 100]))
+    counts = np.where(r.random(size + 1) < 0.4, r.integers(0, 40, size + 1), 0)
+    counts[0] = 0
+    plan = packing.filled(counts, size, None)
+    left = np.zeros(size + 1, np.int64)
+    for times, parts in plan:
+        if sum(parts) < size or len(parts) > 4:
+            for p in parts:
+                left[p] += times
+    here = [x for x in range(1, size + 1) if left[x]]
+    for k in range(1, 5):
+        for parts in itertools.combinations_with_replacement(here, k):
+            assert sum(parts) != size or any(left[p] < parts.count(p) for p in parts), parts
+
+
 def test_packed(spark):
     r = random.Random(2)
     texts = [None, "", "word " * 3000] + [" ".join(r.choice(["alpha", "beta", "gamma"]) for _ in range(r.randrange(1, 400))) for _ in range(120)] + ["same"] * 40
