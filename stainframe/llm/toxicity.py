@@ -23,11 +23,18 @@ LEAST_CONTEXTS = 8
 #: Most distinct words whose inputs a task keeps, and windows run at once.
 CACHE, BATCH = 300_000, 8192
 
+#: Most characters of a token, and how many of them the next one of a longer run repeats, so that no n-gram is lost.
+LONGEST, AGAIN = 64, 3
+
 Params = dict[str, np.ndarray]
 
 
 def tokens(text: str | None) -> list[str]:
-    return (text or "").lower().split()
+    """The words of a text, lower-cased; a longer run without white space is several tokens that overlap."""
+    words = (text or "").lower().split()
+    if max(map(len, words), default=0) <= LONGEST:
+        return words
+    return [w[k:k + LONGEST] for w in words for k in range(0, max(1, len(w) - AGAIN), LONGEST - AGAIN)]
 
 
 def bare(word: str) -> str:
@@ -36,9 +43,9 @@ def bare(word: str) -> str:
 
 def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(slot, word number) of every 3- and 4-gram of the words' UTF-8 bytes between boundary marks, by word."""
-    raw = np.frombuffer("".join(f"<{bare(w)[:64]}>" for w in words).encode("utf-8", "surrogatepass"), np.uint8)
+    raw = np.frombuffer("".join(f"<{bare(w)}>" for w in words).encode("utf-8", "surrogatepass"), np.uint8)
     # Boundary marks inside a word would look like its end; the lengths say where words begin.
-    sizes = np.array([len(bare(w)[:64].encode("utf-8", "surrogatepass")) + 2 for w in words], np.int64)
+    sizes = np.array([len(bare(w).encode("utf-8", "surrogatepass")) + 2 for w in words], np.int64)
     word = np.repeat(np.arange(len(words)), sizes)
     h, slots, owners = np.zeros(len(raw), np.uint32), [], []
     for n in range(4):

@@ -24,6 +24,16 @@ def test_windows_overlap_and_cover():
         assert n <= toxicity.WINDOW or starts[-1] < n
 
 
+def test_runs_without_blanks_are_read_whole():
+    run = "".join(random.Random(2).choice("aeioulmnrst_.") for _ in range(1000)) + "omega"
+    parts = toxicity.tokens(f"one {run} two")
+    assert parts[0] == "one" and parts[-1] == "two" and max(map(len, parts)) <= 64
+    assert parts[1] + "".join(p[3:] for p in parts[2:-1]) == run
+    assert toxicity.tokens("x" * 64) == ["x" * 64] and toxicity.tokens("x" * 65) == ["x" * 64, "x" * 4]
+    ends = [set(toxicity.grams(toxicity.tokens(run[:-5] + end))[0].tolist()) for end in ("omega", "sigma")]
+    assert ends[0] != ends[1]
+
+
 def test_gradients():
     r = np.random.default_rng(1)
     p = {k: v.astype(np.float64) * 3 for k, v in toxicity.initial(6, 2).items()}
