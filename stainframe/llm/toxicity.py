@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from stainframe.llm.common import labelled_sample
 
 #: Words in a window, and from one window's start to the next; neighbours overlap by the difference.
-WINDOW, STRIDE = 32, 24
+WINDOW, STRIDE = 32, 16
 #: Widths of the word input, the character input and the recurrent state of each direction.
 WORD, CHAR, STATE = 8, 8, 8
 #: Slots of the hashed character n-grams; most words of the vocabulary, and in how many sample texts one must stand.

@@ -24,6 +24,11 @@ def test_windows_overlap_and_cover():
         assert n <= toxicity.WINDOW or starts[-1] < n
 
 
+def test_short_passages_are_whole_in_a_window():
+    starts = toxicity.windows(500)
+    assert all(((starts <= a) & (a + 17 <= starts + toxicity.WINDOW)).any() for a in range(500 - 17 + 1))
+
+
 def test_runs_without_blanks_are_read_whole():
     run = "".join(random.Random(2).choice("aeioulmnrst_.") for _ in range(1000)) + "omega"
     parts = toxicity.tokens(f"one {run} two")
