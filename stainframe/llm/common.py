@@ -51,10 +51,11 @@ def held_out(doc_id: Column, modulus: int, remainder: int) -> Column:
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, modulus: int, remainder: int, bound: int,
                     doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(text, y) of at most `bound` labelled documents that are not held out, half of each class if there are as many.
+    """(_id, text, y) of at most `bound` labelled documents that are not held out, half of each class if there are as many.
 
     The sample takes the smallest hashes of the id, so it is the same at every run. Rows without an id, a label or
-    a text do not count; a label given twice counts once. `bound` ids are the most that is ever broadcast.
+    a text do not count; a label given twice counts once. Of an id that stands over several texts the one that hashes
+    lowest counts. `bound` ids are the most that is ever broadcast, and `bound` rows the most that is given.
     """
     y = F.col(target).cast("int")
     known = (labels.select(F.col(doc_id).alias("_id"), y.alias("y")).where("_id is not null and y in (0, 1)")
@@ -63,7 +64,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, modulus: in
     half = bound // 2
     chosen = known.where("y = 1").orderBy(*order).limit(half).union(known.where("y = 0").orderBy(*order).limit(half))
     return (docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("text")).where(F.col("text").isNotNull())
-            .join(F.broadcast(chosen), "_id").select("_id", "text", "y"))
+            .join(F.broadcast(chosen), "_id").groupBy("_id", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+            .select("_id", "text", "y"))
 
 
 def components(edges: DataFrame) -> DataFrame:

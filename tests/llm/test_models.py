@@ -123,6 +123,16 @@ def test_sample_leaves_the_held_out_alone(spark):
     assert [r["x"] for r in marks] == [zlib.crc32(b"7") % 3 == 1, False]
 
 
+def test_sample_has_one_text_for_an_id(spark):
+    docs = documents(spark, [f"text {i}" for i in range(40)])
+    docs = docs.union(spark.range(900).selectExpr("7L", "concat('again ', id)", "'en'", "'s'", "0"))
+    labels = spark.range(40).selectExpr("id AS doc_id", "CAST(id % 2 AS INT) AS toxic")
+    rows = labelled_sample(docs, labels, "toxic", 3, 1, 400).collect()
+    assert zlib.crc32(b"7") % 3 != 1 and [r["_id"] for r in rows].count(7) == 1
+    assert len(rows) == len({r["_id"] for r in rows}) == sum(zlib.crc32(str(i).encode()) % 3 != 1 for i in range(40))
+    assert rows and sorted(rows) == sorted(labelled_sample(docs.repartition(7), labels, "toxic", 3, 1, 400).collect())
+
+
 def test_scores_in_spark(spark):
     docs = documents(spark, ["", None, "a b c", "a b c", "word " * 20_000], extra=True)
     texts, y = sample()
