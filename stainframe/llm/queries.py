@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stainframe.llm import html_extraction, packing, pieces, quality_classifier, quality_rules, secrets, simhash, topk, toxicity, url_filter
+from stainframe.llm import html_extraction, packing, passages, pieces, quality_classifier, quality_rules, secrets, simhash, topk, toxicity, url_filter
 from stainframe.llm.common import held_out
 
 #: The score from which a document counts as label 1.
@@ -73,8 +73,12 @@ def op10_secrets(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.digest(secrets.scan(_table(spark, folder, "documents")))
 
 
+def op11_repeated_passages(spark: SparkSession, folder: str) -> DataFrame:
+    return passages.without_repeats(_table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_toxicity, op2_host_rules, op3_page_text, op4_quality, op5_pieces, op6_simhash, op7_packing,
-                            op8_url_filter, op9_top_k, op10_secrets)}
+                            op8_url_filter, op9_top_k, op10_secrets, op11_repeated_passages)}
 
 ORACLE: dict[str, str] = {"op2_host_rules": quality_rules.SQL, "op3_page_text": html_extraction.SQL, "op8_url_filter": url_filter.SQL, "op9_top_k": topk.SQL}
