@@ -22,11 +22,11 @@ from stainframe.llm.common import written
 #: Bytes of text in a block; a longer document is a block of its own.
 BLOCK = 4 << 20
 #: Bytes of a gram that files a string, and positions handled at a time.
-GRAM, STEP = 16, 1 << 17
+GRAM, STEP = 16, 1 << 15
 #: Strings of one stretch at most; a longer run under one gram is several stretches.
 RUN = 64
 #: Bytes of text for each group of buckets, and bytes of stretches in one transform.
-GROUP, TRANSFORM = 64 << 20, 1 << 21
+GROUP, TRANSFORM = 64 << 20, 1 << 17
 #: Documents from which a bucket is dealt out anew, by whole strings.
 CROWD = 20_000
 #: Stands between stretches: no byte of UTF-8.
@@ -167,24 +167,26 @@ def parted(text: np.ndarray, order: np.ndarray, length: int) -> np.ndarray:
     is the interval kept for the next level, so every boundary is settled once.
     """
     n = len(text)
-    place = np.empty(n, np.int64)
-    place[order] = np.arange(n)
-    last_to_first, first = place[order - 1], text[order]
+    kind = np.int32 if n < 1 << 22 else np.int64
+    place = np.empty(n, kind)
+    place[order] = np.arange(n, dtype=kind)
+    last_to_first = place[order - 1]
+    # Places count from 1, so that both neighbours of each exist; their first bytes part them as other intervals do.
+    first = np.concatenate([[-1], text[order], [-1]]).astype(kind)
     known = np.zeros(n + 1, bool)
     known[[0, n]] = True
-    owner, named = np.full(n + 1, -1, np.int64), 0
-    low, high = np.array([0]), np.array([n])
+    owner, named = np.full(n + 2, -1, kind), 0
+    low, high = np.array([0], kind), np.array([n], kind)
     for _ in range(length):
         size = high - low
-        within = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-        to = last_to_first[np.repeat(low, size) + within]
-        who = np.repeat(np.arange(named, named + len(low)), size)
+        nth = np.repeat(np.arange(len(low), dtype=kind), size)
+        shift = low - np.cumsum(size, dtype=kind) + size
+        to = last_to_first[np.arange(len(nth), dtype=kind) + shift[nth]] + kind(1)
+        # An interval and a first byte name the interval that they extend to.
+        mark = ((nth + kind(named)) << kind(8)) | first[to]
         named += len(low)
-        owner[to] = who
-        after = np.minimum(to + 1, n - 1)
-        ends = (to + 1 == n) | (owner[to + 1] != who) | (first[after] != first[to])
-        begins = (to == 0) | (owner[to - 1] != who) | (first[to - 1] != first[to])
-        low, high = np.sort(to[begins]), np.sort(to[ends]) + 1
+        owner[to] = mark
+        low, high = np.sort(to[owner[to - 1] != mark]) - 1, np.sort(to[owner[to + 1] != mark])
         new = ~known[high]
         low, high = low[new], high[new]
         known[high] = True
