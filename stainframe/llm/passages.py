@@ -26,7 +26,7 @@ GRAM, STEP = 16, 1 << 15
 #: Strings of one stretch at most; a longer run under one gram is several stretches.
 RUN = 64
 #: Bytes of text for each group of buckets, and bytes of stretches in one transform.
-GROUP, TRANSFORM = 64 << 20, 1 << 17
+GROUP, TRANSFORM = 16 << 20, 1 << 17
 #: Documents from which a bucket is dealt out anew, by whole strings.
 CROWD = 20_000
 #: Stands between stretches: no byte of UTF-8.
@@ -42,7 +42,7 @@ def _packed(values: np.ndarray, kind: str) -> bytes:
 def _pressed(body: bytes) -> bytes:
     import zstandard
 
-    return zstandard.ZstdCompressor(level=1).compress(body)
+    return zstandard.ZstdCompressor(level=3).compress(body)
 
 
 def _released(body: bytes) -> bytes:
@@ -51,6 +51,15 @@ def _released(body: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(body)
 
 
+def _steps(values: np.ndarray) -> bytes:
+    """Whole numbers as pressed differences, which are small where values repeat or rise."""
+    return _pressed(_packed(np.diff(values, prepend=0), "<i8"))
+
+
+def _summed(body: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(_released(body), "<i8"))
+
+
 def _joined(blobs, kind: str) -> np.ndarray:
     return np.frombuffer(b"".join(blobs), kind)
 
@@ -220,7 +229,7 @@ def _transforms(keys: np.ndarray, sizes: np.ndarray, most: int) -> Iterator[np.n
     """Stretches in lots of about `most` bytes, all of one key in the same lot."""
     order = np.argsort(keys, kind="stable")
     ends = np.cumsum(sizes[order] + 1)
-    fresh = np.flatnonzero(np.diff(keys[order], prepend=keys[order[0]] ^ np.uint64(1)) != 0)
+    fresh = np.flatnonzero(np.diff(keys[order], prepend=~keys[order[:1]]) != 0)
     fresh = np.append(fresh, len(order))
     k = 0
     while k < len(fresh) - 1:
@@ -235,7 +244,7 @@ def _deduplicated(got: pd.DataFrame, length: int, most: int) -> Iterator[tuple[i
     number: dict[bytes, int] = {}
     named, keys = [], []
     for body, lengths, own in zip(got["body"], got["lengths"], got["keys"]):
-        text, ends = _released(body), np.cumsum(np.frombuffer(lengths, "<u4"), dtype=np.int64)
+        text, ends = _released(body), np.cumsum(_summed(lengths))
         begin, ids = 0, []
         for end in ends.tolist():
             ids.append(number.setdefault(text[begin:end], len(number)))
@@ -244,11 +253,11 @@ def _deduplicated(got: pd.DataFrame, length: int, most: int) -> Iterator[tuple[i
         if len(number) > sum(map(len, keys)):
             fresh = np.unique(ids, return_index=True)
             new = fresh[0] >= sum(map(len, keys))
-            keys.append(np.frombuffer(own, "<u8")[fresh[1][new]])
+            keys.append(np.frombuffer(own, "<u4")[fresh[1][new]])
         named.append(ids)
     parts, keys = list(number), np.concatenate(keys)
-    which = [ids[np.frombuffer(c, "<u4")] for ids, c in zip(named, got["of"])]
-    who = [np.frombuffer(w, "<i8") for w in got["who"]]
+    which = [ids[_summed(c)] for ids, c in zip(named, got["of"])]
+    who = [_summed(w) for w in got["who"]]
     least = np.full(len(parts), LAST)
     np.minimum.at(least, np.concatenate(which), np.concatenate(who))
     sizes = np.array([len(p) for p in parts], np.int64)
@@ -267,7 +276,7 @@ def _deduplicated(got: pd.DataFrame, length: int, most: int) -> Iterator[tuple[i
         n = begin[ids + 1] - begin[ids]
         run = runs[np.repeat(begin[ids] - np.cumsum(n) + n, n) + np.arange(n.sum())]
         gone = run[:, 3] < np.repeat(w, n)
-        first = (np.repeat(np.frombuffer(starts, "<u4").astype(np.int64), n) + run[:, 1])[gone]
+        first = (np.repeat(_summed(starts), n) + run[:, 1])[gone]
         if len(first):
             yield block, np.stack([first, first + run[gone, 2] + length - 1], axis=1)
 
@@ -290,7 +299,9 @@ def without_repeats(docs: DataFrame, length: int = 50, doc_id: str = "doc_id", t
         raise ValueError(f"strings of {GRAM} bytes at least")
     kind = dict(docs.dtypes)[doc_id]
     stored = written(blocks(docs, doc_id, text, block), "blocks")
-    groups = max(48, -(-(stored.agg(F.sum("n_bytes")).first()[0] or 0) // group))
+    # A few groups for each task, so that tasks are even, but no more than the text needs from some size on.
+    few = min(256, 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    groups = max(few, -(-(stored.agg(F.sum("n_bytes")).first()[0] or 0) // group))
 
     def filed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -345,8 +356,9 @@ def without_repeats(docs: DataFrame, length: int = 50, doc_id: str = "doc_id", t
             of = [number.setdefault(body[a:b], len(number)) for a, b in zip(start[own].tolist(), (start[own] + count[own] + length - 1).tolist())]
             of = np.array(of)
             first = own[np.unique(of, return_index=True)[1]]
-            out.append((p, row["block"], _packed(key[first], "<u8"), _packed([len(x) for x in number], "<u4"), _pressed(b"".join(number)),
-                        _packed(of, "<u4"), _packed(who[own], "<i8"), _packed(start[own], "<u4")))
+            # Of a key four bytes are enough to bring its stretches together.
+            out.append((p, row["block"], _packed(key[first] >> np.uint64(32), "<u4"), _steps([len(x) for x in number]), _pressed(b"".join(number)),
+                        _steps(of), _steps(who[own]), _steps(start[own])))
         return pd.DataFrame(out, columns=names)
 
     def deduplicated(got: pd.DataFrame) -> pd.DataFrame:
