@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,6 +45,39 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), f"[{BLANK}]+"), lambda w: w != "")
 
 
+def quantized(rows: DataFrame, keep: list[Column], embedding: str, factor: int) -> DataFrame:
+    """`keep` and `v`, each component as floor(factor * x); rows with a null vector or a component that is null or not finite go.
+
+    A value beyond the range of long is the nearest long.
+    """
+    fine = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
+    return (rows.select(*keep, F.col(embedding).cast("array<double>").alias("v"))
+            .where(F.col("v").isNotNull() & F.forall("v", lambda x: F.coalesce(fine(x), F.lit(False))))
+            .withColumn("v", F.transform("v", lambda x: F.floor(x * factor))))
+
+
+def lengths(x: np.ndarray) -> np.ndarray:
+    """Euclidean lengths of the rows of `x`, as doubles."""
+    return np.sqrt(np.square(x.astype(float)).sum(axis=-1))
+
+
+def products(x: np.ndarray, length: np.ndarray, whole: np.ndarray, q: np.ndarray, q_whole: np.ndarray) -> np.ndarray:
+    """Inner products of the rows of whole numbers `whole` with `q_whole`, exact; `x`, `q` are the same as doubles, `length` the rows'.
+
+    No partial sum is over the product of the lengths, so doubles are exact below 2**53; above it, Python's whole
+    numbers count. A product beyond the range of long is the nearest long.
+    """
+    large = length * float(lengths(q)) >= 2.0**52
+    if not large.any():
+        return (x @ q).astype(np.int64)
+    out = np.zeros(len(x), np.int64)
+    out[~large] = (x[~large] @ q).astype(np.int64)
+    own = [int(b) for b in q_whole]
+    for i in np.flatnonzero(large).tolist():
+        out[i] = min(max(sum(int(a) * b for a, b in zip(whole[i], own)), -2**63), 2**63 - 1)
+    return out
+
+
 def held_out(doc_id: Column, modulus: int, remainder: int) -> Column:
     """True where crc32 of the id as text leaves `remainder`; a null id is not held out."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % modulus == remainder, F.lit(False))

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stainframe.llm import html_extraction, packing, passages, pieces, quality_classifier, quality_rules, secrets, simhash, topk, toxicity, url_filter
+from stainframe.llm import (html_extraction, negatives, packing, passages, pieces, quality_classifier, quality_rules, secrets, simhash, topk, toxicity,
+                            url_filter, whitening)
 from stainframe.llm.common import held_out
 
 #: The score from which a document counts as label 1.
@@ -77,8 +78,19 @@ def op11_repeated_passages(spark: SparkSession, folder: str) -> DataFrame:
     return passages.without_repeats(_table(spark, folder, "documents"))
 
 
+def op12_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whiten(_table(spark, folder, "embeddings"))
+
+
+def op13_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(_table(spark, folder, "embeddings").withColumn("label", label))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_toxicity, op2_host_rules, op3_page_text, op4_quality, op5_pieces, op6_simhash, op7_packing,
-                            op8_url_filter, op9_top_k, op10_secrets, op11_repeated_passages)}
+                            op8_url_filter, op9_top_k, op10_secrets, op11_repeated_passages,
+                            op12_whitening, op13_hard_negatives)}
 
-ORACLE: dict[str, str] = {"op2_host_rules": quality_rules.SQL, "op3_page_text": html_extraction.SQL, "op8_url_filter": url_filter.SQL, "op9_top_k": topk.SQL}
+ORACLE: dict[str, str] = {"op2_host_rules": quality_rules.SQL, "op3_page_text": html_extraction.SQL, "op8_url_filter": url_filter.SQL, "op9_top_k": topk.SQL,
+                          "op13_hard_negatives": negatives.SQL}
