@@ -36,6 +36,18 @@ def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "
     return left.join(named, on, how).drop(*[f"_k_{k}" for k in keys])
 
 
+def full_join_on(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Full outer equi-join in which a null key meets a null key; one column a key, from whichever side has the row."""
+    a, b = left.withColumn("_left", F.lit(True)), right.withColumn("_right", F.lit(True)).withColumnsRenamed({k: f"_k_{k}" for k in keys})
+    on = F.lit(True)
+    for i, k in enumerate(keys):
+        same = F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+        on = same if i == 0 else on & same
+    own = [F.when(F.col("_left"), F.col(k)).otherwise(F.col(f"_k_{k}")).alias(k) for k in keys]
+    rest = [c for side in (left, right) for c in side.columns if c not in keys]
+    return a.join(b, on, "full").select(*own, *rest)
+
+
 def running_totals(
     df: DataFrame, order: Sequence[Column], totals: Mapping[str, Column]
 ) -> DataFrame:
@@ -98,36 +110,50 @@ def seeded_order(seed: int | str, *keys: str) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys]))
 
 
-def exact_percentiles(
-    df: DataFrame, keys: Sequence[str], value: str | Column, probs: Mapping[str, float]
+def percentile_batch(
+    df: DataFrame, sets: Sequence[Sequence[str]], wanted: Mapping[str, tuple[str, float]]
 ) -> DataFrame:
-    """Linearly interpolated percentiles per group, exact, with no group held in one task.
+    """Linearly interpolated percentiles of several columns over several groupings, exact, from one pass over `df`.
+
+    `wanted` gives each output its column and probability. One row for each grouping set and group: `_set`, the
+    number of the set in `sets`, the keys (null where the set does not group by one) and the outputs, null for a column
+    without values in the group; a group without any value gives no row. Null keys are groups too.
 
-    Equal values are counted first. The counts go into logarithmic buckets, the short bucket list
-    says which bucket holds each wanted rank, and only the values of those buckets are ordered.
-    Null keys are groups too.
-    Groups whose values are all null give no row.
+    Equal values are counted first, by the finest keys; coarser sets add up counts, not rows. The counts go into
+    logarithmic buckets, the short bucket list says which bucket holds each wanted rank, and only the values of those
+    buckets are ordered. No group is held in one task.
     """
-    keys = list(keys)
-    v = F.col(value) if isinstance(value, str) else value
+    keys = list(dict.fromkeys(k for s in sets for k in s))
+    measures = list(dict.fromkeys(v for v, _ in wanted.values()))
+    number = lambda v: F.col(v).cast("double") + F.lit(0.0)
+    if len(measures) == 1:
+        long = df.select(*keys, F.lit(0).alias("_m"), number(measures[0]).alias("_v"))
+    else:
+        each = F.array(*[F.struct(F.lit(i).alias("_m"), number(v).alias("_v")) for i, v in enumerate(measures)])
+        long = df.select(*keys, F.inline(each))
+    counts = long.filter(F.col("_v").isNotNull()).groupBy(*keys, "_m", "_v").agg(F.count(F.lit(1)).alias("_n"))
+    if len(sets) == 1:
+        counts = counts.withColumn("_set", F.lit(0))
+    else:
+        kinds = dict(df.select(*keys).dtypes)
+        each = F.array(*[F.struct(F.lit(i).alias("_set"), *[(F.col(k) if k in s else F.lit(None).cast(kinds[k])).alias(f"_k_{k}") for k in keys])
+                         for i, s in enumerate(sets)])
+        counts = (counts.select("_m", "_v", "_n", F.inline(each)).withColumnsRenamed({f"_k_{k}": k for k in keys})
+                  .groupBy("_set", *keys, "_m", "_v").agg(F.sum("_n").alias("_n")))
     log = F.floor(F.log(F.abs(F.col("_v"))) * BUCKETS_PER_E) + F.lit(4_000_000)
     bucket = F.when(F.col("_v") == 0, F.lit(0)).otherwise(F.signum("_v") * log).cast("bigint")
-    counts = (df.select(*keys, (v.cast("double") + F.lit(0.0)).alias("_v")).filter(F.col("_v").isNotNull())
-              .groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_n")).withColumn("_b", bucket))
+    counts = counts.withColumn("_b", bucket)
 
-    group = [F.col(k) for k in keys] or [F.lit(0)]
+    group = ["_set", *keys, "_m"]
     upto = Window.partitionBy(*group).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(*group)
-    hist = counts.groupBy(*keys, "_b").agg(F.sum("_n").alias("_nb"))
-    hist = hist.withColumns({
-        "_cum": F.sum("_nb").over(upto), "_total": F.sum("_nb").over(whole)})
-    wanted = F.array(*[
-        F.struct(F.lit(name).alias("name"), (F.lit(float(p)) * (F.col("_total") - 1)).alias("pos"))
-        for name, p in probs.items()])
-    targets = hist.select(*keys, "_b", (F.col("_cum") - F.col("_nb")).alias("_before"), "_cum",
-                          F.explode(wanted).alias("_w"))
-    targets = targets.select(
-        *keys, "_b", "_before", "_cum", F.col("_w.name").alias("_name"),
+    hist = counts.groupBy(*group, "_b").agg(F.sum("_n").alias("_nb"))
+    hist = hist.withColumns({"_cum": F.sum("_nb").over(upto), "_total": F.sum("_nb").over(Window.partitionBy(*group))})
+    each = F.array(*[
+        F.struct(F.lit(measures.index(v)).alias("m"), F.lit(name).alias("name"), (F.lit(float(p)) * (F.col("_total") - 1)).alias("pos"))
+        for name, (v, p) in wanted.items()])
+    targets = hist.select(*group, "_b", (F.col("_cum") - F.col("_nb")).alias("_before"), "_cum", F.explode(each).alias("_w"))
+    targets = targets.filter(F.col("_w.m") == F.col("_m")).select(
+        *group, "_b", "_before", "_cum", F.col("_w.name").alias("_name"),
         (F.col("_w.pos") - F.floor("_w.pos")).alias("_frac"),
         F.explode(F.array(
             F.struct(F.lit(0).alias("hi"), F.floor("_w.pos").alias("rank")),
@@ -135,20 +161,24 @@ def exact_percentiles(
     targets = targets.filter((F.col("_r.rank") >= F.col("_before")) & (F.col("_r.rank") < F.col("_cum")))
 
     # Ranks inside the wanted buckets. Two targets in one bucket share its rows through the array.
-    targets = targets.groupBy(*keys, "_b", "_before").agg(
+    targets = targets.groupBy(*group, "_b", "_before").agg(
         F.collect_list(F.struct("_name", "_frac", "_r")).alias("_targets"))
     inside = Window.partitionBy(*group, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    hit = join_on(counts, targets, [*keys, "_b"]).withColumn("_upto", F.col("_before") + F.sum("_n").over(inside))
-    hit = hit.select(*keys, "_v", "_n", "_upto", F.explode("_targets").alias("_t"))
+    hit = join_on(counts, targets, [*group, "_b"]).withColumn("_upto", F.col("_before") + F.sum("_n").over(inside))
+    hit = hit.select("_set", *keys, "_v", "_n", "_upto", F.explode("_targets").alias("_t"))
     hit = hit.filter((F.col("_upto") > F.col("_t._r.rank"))
                      & (F.col("_upto") - F.col("_n") <= F.col("_t._r.rank")))
-    ends = {}
-    for name in probs:
-        for end in (0, 1):
-            here = (F.col("_t._name") == name) & (F.col("_t._r.hi") == end)
-            ends[name, end] = F.max(F.when(here, F.col("_v")))
     aggs = []
-    for name in probs:
+    for name in wanted:
+        end = [F.max(F.when((F.col("_t._name") == name) & (F.col("_t._r.hi") == i), F.col("_v"))) for i in (0, 1)]
         frac = F.max(F.when(F.col("_t._name") == name, F.col("_t._frac")))
-        aggs.append((ends[name, 0] + (ends[name, 1] - ends[name, 0]) * frac).alias(name))
-    return hit.groupBy(*keys).agg(*aggs)
+        aggs.append((end[0] + (end[1] - end[0]) * frac).alias(name))
+    return hit.groupBy("_set", *keys).agg(*aggs)
+
+
+def exact_percentiles(
+    df: DataFrame, keys: Sequence[str], value: str | Column, probs: Mapping[str, float]
+) -> DataFrame:
+    """Percentiles of one value per group; see `percentile_batch`. Groups whose values are all null give no row."""
+    own = df.select(*keys, (F.col(value) if isinstance(value, str) else value).alias("_value"))
+    return percentile_batch(own, [list(keys)], {name: ("_value", p) for name, p in probs.items()}).drop("_set")

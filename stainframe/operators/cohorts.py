@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from stainframe.constants import CONTROL, DAB_LEVELS, FLIPS, PATIENT
 from stainframe.functions import grading as G
-from stainframe.functions.ordering import exact_percentiles, running_totals
+from stainframe.functions.lineage import cut_lineage
+from stainframe.functions.ordering import exact_percentiles, full_join_on, percentile_batch, running_totals
 
 COUNT_NAMES = ("negative", "weak_1plus", "moderate_2plus", "strong_3plus")
 
@@ -38,7 +39,7 @@ def compare_cohorts(baseline: DataFrame, cohort: DataFrame) -> DataFrame:
     b = baseline.select(F.col("slide_name").alias("slide_id"), F.lit(True).alias("_b"),
                         *[F.col(c).alias(f"bl_{rename.get(c, c)}") for c in bl_fields])
     c = cohort.select("slide_id", F.lit(True).alias("_c"), *[F.col(c).alias(f"co_{c}") for c in co_fields])
-    out = b.join(c, "slide_id", "full")
+    out = full_join_on(b, c, ["slide_id"])
     both = F.col("_b").isNotNull() & F.col("_c").isNotNull()
     was, now = F.col("bl_eligible"), F.col("co_eligible")
     return out.withColumns({
@@ -62,7 +63,11 @@ def flip_distribution(comparison: DataFrame) -> DataFrame:
 
 
 def cohort_summary(comparison: DataFrame) -> DataFrame:
-    """One row: counts, rates, concordance, cell counts, correlation and mean absolute error."""
+    """One row: counts, rates, concordance, cell counts, correlation and mean absolute error.
+
+    The comparison is a row a slide; it is computed once and kept, since means and medians both need it.
+    """
+    comparison = cut_lineage(comparison)
     flip = F.col("eligibility_flip")
     both = F.col("in_baseline") & F.col("in_cohort")
     n_both = F.count_if(both)
@@ -91,11 +96,9 @@ def cohort_summary(comparison: DataFrame) -> DataFrame:
         F.coalesce(F.avg(matched("bl_total_cells")), F.lit(0.0)).alias("bl_mean_cells"),
         F.coalesce(F.avg(matched("co_total_cells")), F.lit(0.0)).alias("co_mean_cells"),
         *agreement("pct_2plus"), *agreement("h_score"))
-    medians = exact_percentiles(comparison.filter(both), [], "bl_total_cells", {"bl_median_cells": 0.5}).select(
-        F.lit(0).alias("_k"), "bl_median_cells")
-    medians2 = exact_percentiles(comparison.filter(both), [], "co_total_cells", {"co_median_cells": 0.5}).select(
-        F.lit(0).alias("_k"), "co_median_cells")
-    return (out.withColumn("_k", F.lit(0)).join(medians, "_k", "left").join(medians2, "_k", "left").drop("_k")
+    medians = percentile_batch(comparison.filter(both), [[]], {
+        "bl_median_cells": ("bl_total_cells", 0.5), "co_median_cells": ("co_total_cells", 0.5)})
+    return (out.withColumn("_set", F.lit(0)).join(medians, "_set", "left").drop("_set")
             .fillna(0.0, ["bl_median_cells", "co_median_cells"]))
 
 
@@ -133,8 +136,9 @@ def compare_pipelines(first: DataFrame, second: DataFrame) -> DataFrame:
         (F.lit(100.0) * F.avg((g >= 2).cast("int"))).alias("pct_positive"),
         pct(0).alias("pct_negative"), pct(1).alias("pct_1plus"), pct(2).alias("pct_2plus"), pct(3).alias("pct_3plus"),
         F.avg("dab_mean").alias("whole_cell_dab"))
-    out = a.join(b, keys, "full").fillna(0, ["v1_cells", "v2_cells", "n_measured"])
-    return out.withColumn("cell_ratio", F.try_divide(F.col("v2_cells").cast("double"), F.col("v1_cells")))
+    # The ratio is that of two runs that both have the region; a run without it counts zero cells, not a ratio of zero.
+    out = full_join_on(a, b, keys).withColumn("cell_ratio", F.try_divide(F.col("v2_cells").cast("double"), F.col("v1_cells")))
+    return out.fillna(0, ["v1_cells", "v2_cells", "n_measured"])
 
 
 def detections_by_level(tiles: DataFrame) -> DataFrame:
@@ -147,8 +151,8 @@ def detections_by_level(tiles: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("tiles"), F.avg("ours").alias("ours_mean"), F.avg("base").alias("base_mean"),
         F.sum("ours").alias("ours_total"), F.sum("base").alias("base_total"),
         (F.lit(100.0) * F.avg("dab_positive_fraction")).alias("mean_dab_positive_pct"))
-    for c in ("ours", "base", "ratio"):
-        sums = sums.join(exact_percentiles(t, ["dab_level"], c, {f"{c}_median": 0.5}), "dab_level", "left")
+    medians = percentile_batch(t, [["dab_level"]], {f"{c}_median": (c, 0.5) for c in ("ours", "base", "ratio")})
+    sums = sums.join(medians.drop("_set"), "dab_level", "left")
     sums = sums.withColumn("ratio_mean", F.when(F.col("base_mean") > 0, F.col("ours_mean") / F.col("base_mean"))
                            .otherwise(F.lit(float("inf"))))
     levels = tiles.sparkSession.createDataFrame([(n,) for n, _ in DAB_LEVELS], "dab_level string")

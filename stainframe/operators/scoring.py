@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from stainframe.constants import CALIBRATION_MIN, CALIBRATION_RANGES, GRADE_CUTS, MORPHOMETRIC_FILTERS, PATIENT
 from stainframe.functions import grading as G
-from stainframe.functions.ordering import exact_percentiles, join_on
+from stainframe.functions.ordering import exact_percentiles, join_on, percentile_batch
 
 
 def with_grade(cells: DataFrame) -> DataFrame:
@@ -95,10 +95,9 @@ def thickness_summary(cells: DataFrame, mpp: float | Column = 0.5) -> DataFrame:
         *G.grade_counts("grade"), G.h_score("grade").alias("h_score"),
         G.pct_at_least("grade").alias("pct_positive"))
     probs = {"p5": 0.05, "p25": 0.25, "median_px": 0.5, "p75": 0.75, "p95": 0.95}
-    whole = exact_percentiles(graded, ["slide_id"], t, probs).withColumns(
-        {"region": F.lit(None).cast("string"), "level": F.lit("slide")})
-    parts = exact_percentiles(graded, ["slide_id", "region"], t, probs).withColumn("level", F.lit("region"))
-    out = join_on(sums, parts.unionByName(whole), ["slide_id", "region", "level"], "left")
+    cuts = percentile_batch(graded, [["slide_id"], ["slide_id", "region"]], {k: ("membrane_thickness_px", p) for k, p in probs.items()})
+    cuts = cuts.withColumn("level", F.when(F.col("_set") == 0, "slide").otherwise("region")).drop("_set")
+    out = join_on(sums, cuts, ["slide_id", "region", "level"], "left")
     return out.withColumn(
         "coverage_pct", G.share(F.col("thickness_valid"), F.col("n_cells")) * 100)
 
@@ -171,13 +170,10 @@ def morphometric_summary(cells: DataFrame) -> DataFrame:
         F.avg("_sol").alias("solidity_mean"), pct(F.col("_sol") < 0.9).alias("solidity_below_09_pct"),
         pct(F.col("solidity") > 1.0).alias("solidity_above_1_pct"), F.avg("_asp").alias("aspect_mean"),
         pct(F.col("_asp") > 2.0).alias("aspect_above_2_pct"), pct(F.col("_asp") > 2.5).alias("aspect_above_25_pct"))
-    area = exact_percentiles(c, ["slide_id"], "area_um2", {
-        "area_p5": 0.05, "area_p25": 0.25, "area_median": 0.5, "area_p75": 0.75, "area_p95": 0.95})
-    sol = exact_percentiles(c, ["slide_id"], "_sol", {"solidity_median": 0.5})
-    asp = exact_percentiles(c, ["slide_id"], "_asp", {"aspect_median": 0.5, "aspect_p95": 0.95})
-    for q in (area, sol, asp):
-        sums = sums.join(q, "slide_id", "left")
-    return sums
+    cuts = {"area_p5": 0.05, "area_p25": 0.25, "area_median": 0.5, "area_p75": 0.75, "area_p95": 0.95}
+    cuts = percentile_batch(c, [["slide_id"]], {
+        **{k: ("area_um2", p) for k, p in cuts.items()}, "solidity_median": ("_sol", 0.5), "aspect_median": ("_asp", 0.5), "aspect_p95": ("_asp", 0.95)})
+    return sums.join(cuts.drop("_set"), "slide_id", "left")
 
 
 def feature_histogram(cells: DataFrame, bins: int = 50) -> DataFrame:

@@ -30,7 +30,7 @@ cmp AS (
     round(s.h_score - b.h_score, 6) AS delta_h_score,
     CASE WHEN b.slide_name IS NULL OR s.slide_id IS NULL THEN 'MISSING_DATA' WHEN b.eligible AND NOT s.eligible THEN 'LOST'
       WHEN NOT b.eligible AND s.eligible THEN 'GAINED' WHEN b.eligible THEN 'BOTH_ELIGIBLE' ELSE 'BOTH_NOT_ELIGIBLE' END AS eligibility_flip
-  FROM summary s FULL JOIN base b ON s.slide_id = b.slide_name)"""
+  FROM summary s FULL JOIN base b ON s.slide_id IS NOT DISTINCT FROM b.slide_name)"""
 
 
 def comparison(t):
@@ -118,7 +118,7 @@ SELECT coalesce(v1.slide_id, v2.slide_id) AS slide_id, coalesce(v1.region, v2.re
   round(mu, 6) AS ring_mean, round(sd, 6) AS ring_std, round(h, 6) AS h_score, round(p, 6) AS pct_positive,
   round(p0, 6) AS pct_negative, round(p1, 6) AS pct_1plus, round(p2, 6) AS pct_2plus, round(p3, 6) AS pct_3plus,
   round(w, 6) AS whole_cell_dab, round(CAST(v2.n AS DOUBLE) / nullif(v1.n, 0), 6) AS cell_ratio
-FROM v1 FULL JOIN v2 ON v1.slide_id = v2.slide_id AND v1.region = v2.region""")
+FROM v1 FULL JOIN v2 ON v1.slide_id IS NOT DISTINCT FROM v2.slide_id AND v1.region IS NOT DISTINCT FROM v2.region""")
 def _(t):
     return rounded(C.compare_pipelines(
         t.cells.filter("is_center"), t.cells.withColumn("dab_mean", F.col("raw_membrane_dab"))))

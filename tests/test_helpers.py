@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from stainframe.functions.ordering import exact_percentiles, rank_within, running_totals, seeded_order, top_n
+from stainframe.functions.ordering import full_join_on, percentile_batch, exact_percentiles, rank_within, running_totals, seeded_order, top_n
 from stainframe.functions.spatial import exists_within
 from stainframe.operators import grids as D
 from stainframe.operators import tiling as T
@@ -111,3 +111,30 @@ def test_slides_of_different_size_and_scale_have_their_own_grid(spark):
         assert same(own(last), D.grid_last_writer(one, "grade", "cell_id", scale, w, h))
         assert same(own(grades), D.grid_grade(one, tissue, scale, w, h))
         assert same(own(bins), T.tile_bins(one, step))
+
+
+def test_percentiles_of_many_columns_and_groupings_at_once(spark):
+    r = np.random.default_rng(8)
+    rows = [(None if i % 11 == 0 else f"S{i % 3}", ["a", "b", None][i % 5 % 3], float(r.normal()) if i % 7 else None, float(r.integers(0, 4)), None)
+            for i in range(500)]
+    df = spark.createDataFrame(rows, "slide string, region string, u double, v double, w double")
+    wanted = {"u10": ("u", 0.1), "u50": ("u", 0.5), "v50": ("v", 0.5), "v99": ("v", 0.99), "w50": ("w", 0.5)}
+    got = {(g["_set"], g["slide"], g["region"]): g for g in percentile_batch(df, [["slide"], ["slide", "region"], []], wanted).collect()}
+    groups = {}
+    for slide, region, u, v, _ in rows:
+        for key in ((0, slide, None), (1, slide, region), (2, None, None)):
+            groups.setdefault(key, []).append((u, v))
+    assert set(got) == set(groups)
+    for key, own in groups.items():
+        u, v = [x for x, _ in own if x is not None], [x for _, x in own]
+        want = [np.quantile(u, 0.1), np.quantile(u, 0.5), np.quantile(v, 0.5), np.quantile(v, 0.99)]
+        assert np.allclose([got[key][k] for k in ("u10", "u50", "v50", "v99")], want) and got[key]["w50"] is None
+
+
+def test_full_join_meets_nulls(spark):
+    a = spark.createDataFrame([("x", None, 1), ("x", "p", 2), (None, None, 3)], "s string, r string, a int")
+    b = spark.createDataFrame([("x", None, 4), (None, None, 5), ("y", None, 6)], "s string, r string, b int")
+    df = full_join_on(a, b, ["s", "r"])
+    assert {tuple(g) for g in df.collect()} == {("x", None, 1, 4), ("x", "p", 2, None), (None, None, 3, 5), ("y", None, None, 6)}
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
