@@ -22,17 +22,29 @@ def encoder(name: str = "byte_bpe_50k"):
     """text -> ids as `tokenizers` gives them for `name`.json with add_special_tokens=False.
 
     The same vocabulary is read as ranks, which encodes four times as fast; a test holds the two against each other.
+    That reader gives up on a run of white space of about a million characters, so such a text goes to `tokenizers` itself.
     The special token's string is one token, as the library has it by default.
     """
     import base64
 
     import public_tokenizers
     import tiktoken
+    from tokenizers import Tokenizer
 
     with open(public_tokenizers.path(f"{name}.tiktoken"), "rb") as file:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
     coder = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={"<|endoftext|>": len(ranks)})
-    return lambda text: coder.encode(text, allowed_special="all")
+    slow: list[Tokenizer] = []
+
+    def encode(text: str) -> list[int]:
+        try:
+            return coder.encode(text, allowed_special="all")
+        except ValueError:
+            if not slow:
+                slow.append(Tokenizer.from_file(public_tokenizers.path(f"{name}.json")))
+            return slow[0].encode(text, add_special_tokens=False).ids
+
+    return encode
 
 
 def cut(n: int, size: int) -> list[tuple[int, int]]:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
+import pickle
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -11,12 +11,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stainframe.llm.common import written
+from stainframe.llm.common import lengths, products, quantized, written
 
 #: Entries of a page: enough that measuring a page outweighs opening it.
 PAGE = 512
 #: Slack, relative to the largest distance, that makes bounds from rounded square roots safe.
 SLACK = 1e-9
+#: The same where squares are rounded: the root of what two of them leave has half of a double's digits.
+ROUGH = 1e-6
 
 
 @dataclass
@@ -27,25 +29,29 @@ class Node:
     radius: float
     children: list[Node] = field(default_factory=list)
     rows: np.ndarray | None = None  # of the tree's vectors
-    vectors: np.ndarray | None = None  # theirs, whole numbers, side by side
+    vectors: np.ndarray | None = None  # theirs, side by side, as doubles
     to_parent: np.ndarray | None = None  # of each entry: its distance to `centre`
+    whole: np.ndarray | None = None  # the vectors as whole numbers, where doubles may not be exact
+    sizes: np.ndarray | None = None  # and their lengths
 
 
 def dist(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.square(a - b).sum(axis=-1))
 
 
-def build(x: np.ndarray, vectors: np.ndarray, rows: np.ndarray | None = None) -> Node:
+def build(x: np.ndarray, vectors: np.ndarray, rows: np.ndarray | None = None, whole: np.ndarray | None = None) -> Node:
     """An M-tree over the points `x`: rows go to the nearest of a few routing objects, chosen far apart, and so on below.
 
-    Rows that cannot be told apart are cut by count, so that a crowd of equal vectors is pages too.
+    Rows that cannot be told apart are cut by count, so that a crowd of equal vectors is pages too. `whole` holds the
+    vectors as whole numbers where products of doubles may not be exact.
     """
     rows = np.arange(len(x)) if rows is None else rows
     own = x[rows]
     centre = own[np.argmin(dist(own, own.mean(axis=0)))]
     d = dist(own, centre)
     if len(rows) <= PAGE:
-        return Node(centre, float(d.max()), rows=rows, vectors=np.ascontiguousarray(vectors[rows]), to_parent=d)
+        exact = {} if whole is None else {"whole": whole[rows], "sizes": lengths(vectors[rows])}
+        return Node(centre, float(d.max()), rows=rows, vectors=np.ascontiguousarray(vectors[rows]), to_parent=d, **exact)
     want = min(PAGE, -(-len(rows) // (PAGE // 2)))
     routes, near = [int(np.argmax(d))], np.full(len(rows), np.inf)
     owner = np.zeros(len(rows), np.int64)
@@ -59,20 +65,27 @@ def build(x: np.ndarray, vectors: np.ndarray, rows: np.ndarray | None = None) ->
     parts = [rows[owner == k] for k in range(len(routes))]
     if len(routes) == 1:
         parts = np.array_split(rows, want)
-    children = [build(x, vectors, p) for p in parts if len(p)]
+    children = [build(x, vectors, p, whole) for p in parts if len(p)]
     return Node(centre, float(d.max()), children, to_parent=np.array([dist(c.centre, centre) for c in children]))
 
 
-def search(tree: Node, ids: np.ndarray, q: np.ndarray, k: int, skip: int, scale: float) -> list[tuple[int, int]]:
-    """The k best (score, id) of one query: highest score, ties to the smaller id.
+def search(tree: Node, ids: np.ndarray, q: np.ndarray, k: int, skip: int, scale: float, q_whole: np.ndarray | None = None,
+           known: int | None = None) -> list[tuple[int, int]]:
+    """The k best (score, id) of one query: highest score, ties to the smaller id; none under `known`, a score that k rows elsewhere have.
 
     The distance from point `q` falls as the score rises; the score of a row is the exact product of its vector with q's.
     Pages are taken in order of their least possible distance; an entry is measured only if its stored parent distance does not
     already rule it out, and a page is opened only if it can still hold one of the k best.
     """
     best: list[tuple[int, int]] = []  # a heap, worst first: (score, -id)
-    worst = np.inf  # distance of the k-th best
-    slack, v = SLACK * scale, q[:-1]
+    v = q[:-1]
+    slack = (SLACK if scale * scale < 2.0**53 else ROUGH) * scale
+
+    def distance(score: int) -> float:
+        """The distance that goes with a score; a score at the end of long may be any below."""
+        return np.inf if score == -2**63 else float(np.sqrt(max(0.0, scale * scale + float(q @ q) - 2 * score)))
+
+    worst = np.inf if known is None else distance(known)  # distance of the k-th best
     queue, n = [(0.0, 0, tree, float(dist(tree.centre, q)))], 0
     while queue:
         least, _, node, d = heapq.heappop(queue)
@@ -95,9 +108,13 @@ def search(tree: Node, ids: np.ndarray, q: np.ndarray, k: int, skip: int, scale:
         if not may.any():
             continue
         rows, vectors = (node.rows, node.vectors) if may.all() else (node.rows[may], node.vectors[may])
-        values = (vectors @ v).astype(np.int64)
-        if len(best) == k:
-            rows, values = rows[values >= best[0][0]], values[values >= best[0][0]]
+        if node.whole is None:
+            values = (vectors @ v).astype(np.int64)
+        else:
+            values = products(vectors, node.sizes if may.all() else node.sizes[may], node.whole if may.all() else node.whole[may], v, q_whole)
+        floor = best[0][0] if len(best) == k and (known is None or best[0][0] > known) else known
+        if floor is not None:
+            rows, values = rows[values >= floor], values[values >= floor]
         for r, s in zip(rows.tolist(), values.tolist()):
             if ids[r] == skip:
                 continue
@@ -107,67 +124,74 @@ def search(tree: Node, ids: np.ndarray, q: np.ndarray, k: int, skip: int, scale:
             elif item > best[0]:
                 heapq.heapreplace(best, item)
         if len(best) == k:
-            # The distance that goes with the k-th score.
-            worst = float(np.sqrt(max(0.0, scale * scale + float(q @ q) - 2 * best[0][0])))
+            worst = min(worst, distance(best[0][0]))
     return [(s, -i) for s, i in sorted(best, key=lambda t: (-t[0], -t[1]))]
 
 
-def quantized(rows: DataFrame, vec_id: str, embedding: str, factor: int) -> DataFrame:
-    """(vec_id, v): each component as floor(factor * x); no rows for null ids, null or empty vectors or ones with a
-    component that is null or not finite."""
-    fine = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
-    return (rows.select(F.col(vec_id).alias("vec_id"), F.col(embedding).cast("array<double>").alias("e"))
-            .where(F.col("vec_id").isNotNull() & F.col("e").isNotNull() & (F.size("e") > 0) & F.forall("e", lambda x: F.coalesce(fine(x), F.lit(False))))
-            .select("vec_id", F.transform("e", lambda x: F.floor(x * factor)).alias("v")))
-
-
 def top_k(rows: DataFrame, k: int = 20, every: int = 20, factor: int = 64, vec_id: str = "vec_id", embedding: str = "embedding",
           block: int = 4096, query_block: int = 8192) -> DataFrame:
     """(query_id, rank, vec_id, score): the k highest inner products of each query with the other rows, all if fewer.
 
     Queries are the rows whose id is divisible by `every`; candidates all rows but those with the query's own id.
-    Scores are integers, exact below 2**53. An inner product is turned into a metric by one more coordinate:
-    with (v, sqrt(M - |v|^2)) for candidates and (q, 0) for queries the squared distance is M + |q|^2 - 2 q.v.
-
-    Candidates are dealt by hash into blocks of about `block` rows, each one M-tree in one task; queries into blocks
-    of about `query_block`, and each block of queries visits each tree. A block's k best meet in a window by query,
-    k rows from each tree. Rows repeated with one id are candidates each. Vectors of other lengths meet as if
-    the shorter ended in zeros. Null ids, vectors, components or non-finite ones take no part; ties go to the smaller
-    id; an empty table gives no rows; other columns are not looked at.
+    Scores are whole numbers and exact at any size; a component or a score beyond the range of long is the nearest long. An inner
+    product is turned into a metric by one more coordinate: with (v, sqrt(M - |v|^2)) for candidates and (q, 0) for queries the
+    squared distance is M + |q|^2 - 2 q.v. Distances are doubles; from 2**53 on their bounds get more slack.
+
+    Candidates are dealt by hash into blocks of about `block` rows, each one M-tree, built once in one task and stored. A query
+    first searches the tree of its own block; with the k-th score found there, it visits the other trees, in blocks of
+    about `query_block` queries. The k best of each tree meet in a window by query. Rows repeated with one
+    id are candidates each. Vectors of other lengths meet as if the shorter ended in zeros. Null ids, null or empty vectors and null or
+    non-finite components take no part; ties go to the smaller id; an empty table gives no rows; other columns are not looked at.
     """
-    points = written(quantized(rows, vec_id, embedding, factor), "vectors")
-    size, most, width = points.agg(F.count("*"), F.max(F.aggregate("v", F.lit(0).cast("bigint"), lambda a, x: a + x * x)), F.max(F.size("v"))).first()
+    kind = dict(rows.dtypes)[vec_id]
+    own = quantized(rows, [F.col(vec_id).alias("vec_id")], embedding, factor).where("vec_id is not null and size(v) > 0")
+    square = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
+    points = written(own.withColumn("row", F.monotonically_increasing_id()), "vectors")
+    size, most, width = points.agg(F.count("*"), F.max(square), F.max(F.size("v"))).first()
+    if not size:
+        return rows.sparkSession.createDataFrame([], f"query_id {kind}, rank int, vec_id {kind}, score bigint")
+    blocks, scale, exact = max(1, -(-size // block)), float(np.sqrt(most)), most < 2.0**52
+    points = points.withColumn("c", F.pmod(F.xxhash64("vec_id", "v"), blocks).cast("int"))
     asked = points.where(F.col("vec_id") % every == 0)
-    blocks = max(1, -(-size // block))
     query_blocks = max(1, -(-asked.count() // query_block))
 
-    def dealt(df, n, other, name, role):
-        """Rows with their own block, once for each block of the other side."""
-        own = df.select(F.lit(role).alias("is_query"), "vec_id", "v", F.pmod(F.xxhash64("vec_id", "v"), n).cast("int").alias(name))
-        return own.withColumn("q" if name == "c" else "c", F.explode(F.sequence(F.lit(0), F.lit(other - 1))))
-
-    def searched(pair: pd.DataFrame) -> pd.DataFrame:
-        query = pair["is_query"].to_numpy()
-        x = np.zeros((len(pair), (width or 0) + 1))
-        for i, v in enumerate(pair["v"]):
-            x[i, : len(v)] = v
-        ids, whole = pair["vec_id"].to_numpy(), x[:, :-1].copy()
-        norms = np.square(whole).sum(axis=1)
-        c, out = np.flatnonzero(~query), []
-        if len(c):
-            x[c, -1] = np.sqrt(np.maximum(0.0, most - norms[c]))
-            points_, exact, own = x[c], whole[c], ids[c]
-            tree = build(points_, exact)
-            for i in np.flatnonzero(query):
-                got = search(tree, own, x[i], k, ids[i], float(np.sqrt(most)))
-                out += [(ids[i], j, s) for s, j in got]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
-
-    pairs = dealt(points, blocks, query_blocks, "c", False).unionByName(dealt(asked, query_blocks, blocks, "q", True))
-    kind = dict(points.dtypes)["vec_id"]
-    found = pairs.groupBy("c", "q").applyInPandas(searched, f"query_id {kind}, vec_id {kind}, score bigint")
+    def matrix(vectors) -> np.ndarray:
+        out = np.zeros((len(vectors), width), np.int64)
+        for i, v in enumerate(vectors):
+            out[i, : len(v)] = v
+        return out
+
+    def planted(own: pd.DataFrame) -> pd.DataFrame:
+        whole = matrix(own["v"])
+        x = np.c_[whole.astype(float), np.zeros(len(whole))]
+        x[:, -1] = np.sqrt(np.maximum(0.0, most - np.square(x).sum(axis=1)))
+        tree = build(x, x[:, :-1], whole=None if exact else whole)
+        return pd.DataFrame({"c": own["c"].iloc[:1], "tree": [pickle.dumps((tree, own["vec_id"].to_numpy()))]})
+
+    trees = written(points.groupBy("c").applyInPandas(planted, "c int, tree binary"), "trees")
+
+    def searched(held: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(held) and len(queries):
+            tree, ids = pickle.loads(held["tree"].iloc[0])
+            whole = matrix(queries["v"])
+            x = np.c_[whole.astype(float), np.zeros(len(whole))]
+            for i, q in enumerate(queries.itertuples(index=False)):
+                least = None if pd.isna(q.least) else int(q.least)
+                out += [(q.row, q.vec_id, j, s) for s, j in search(tree, ids, x[i], k, q.vec_id, scale, whole[i], least)]
+        return pd.DataFrame(out, columns=["row", "query_id", "vec_id", "score"])
+
+    # The k-th score goes as text, for a missing one would turn the others into floats.
+    shape, none = f"row bigint, query_id {kind}, vec_id {kind}, score bigint", F.lit(None).cast("string").alias("least")
+    first = written(trees.groupBy("c").cogroup(asked.select("row", "vec_id", "v", "c", none).groupBy("c")).applyInPandas(searched, shape), "found")
+    floor = first.groupBy("row").agg(F.when(F.count("*") >= k, F.min("score")).cast("string").alias("least"))
+    others = asked.join(floor, "row", "left").withColumn("q", F.pmod(F.xxhash64("row"), query_blocks).cast("int")).withColumn(
+        "b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).where("b != c").select("row", "vec_id", "v", "q", F.col("b").alias("c"), "least")
+    there = trees.withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
+    rest = there.groupBy("c", "q").cogroup(others.groupBy("c", "q")).applyInPandas(searched, shape)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return (first.unionByName(rest).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+            .select("query_id", "rank", "vec_id", "score"))
 
 
 #: DuckDB twin over `embeddings`.

@@ -106,3 +106,18 @@ def test_packed(spark):
 
 def test_no_documents(spark):
     assert packing.packed(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+@pytest.mark.parametrize("n, run", [(1_000_000, " "), (5_000_000, " "), (1_500_000, "\n"), (1_200_000, " \t")])
+def test_long_white_space(n, run):
+    own, theirs = packing.encoder(), Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    text = "a" + run * (n // len(run)) + "b c"
+    assert own(text) == theirs.encode(text, add_special_tokens=False).ids
+    assert own("a b") == theirs.encode("a b", add_special_tokens=False).ids
+
+
+def test_long_white_space_is_packed(spark):
+    rows = packing.packed(documents(spark, [" " * 1_100_000, "x", "y " + "\n" * 1_100_000])).toPandas()
+    encode = packing.encoder()
+    assert rows.groupby("doc_id")["length"].sum().to_dict() == {0: len(encode(" " * 1_100_000)) + 1, 1: 2, 2: len(encode("y " + "\n" * 1_100_000)) + 1}
+    assert rows.groupby("sequence_id")["length"].sum().max() <= 1024

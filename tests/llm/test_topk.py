@@ -58,3 +58,21 @@ def test_few_and_none(spark):
     rows = [(0, [1.0]), (1, [2.0]), (20, [0.5]), (20, [0.25])]
     got = [tuple(r) for r in topk.top_k(spark.createDataFrame(rows, SCHEMA)).select("query_id", "rank", "vec_id", "score").collect()]
     assert sorted(got)[:3] == [(0, 1, 1, 8192), (0, 2, 20, 2048), (0, 3, 20, 1024)]
+
+
+def test_large_values(spark):
+    """Finite components of any size: exact whole scores, and the ends of long beyond them."""
+    r = random.Random(6)
+    rows = [(i, [r.choice([-1, 1]) * 10.0 ** r.choice([0, 1, 9, 9, 9, 10, 18, 300]) * r.random(), r.gauss(0, 1), 10.0 ** (i % 12)]) for i in range(300)]
+    long = lambda x: min(max(x, -2**63), 2**63 - 1)
+    whole = {i: [long(int(np.floor(64 * c))) for c in v] for i, v in rows}
+    want = []
+    for q in range(0, 300, 20):
+        best = sorted((-long(sum(a * b for a, b in zip(whole[q], whole[i]))), i) for i in whole if i != q)[:20]
+        want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    for block in (50, 4096):
+        got = [tuple(r) for r in topk.top_k(df, block=block, query_block=5).select("query_id", "rank", "vec_id", "score").collect()]
+        assert sorted(got) == want
+    few = topk.top_k(spark.createDataFrame([(0, [1e9, 1.0]), (1, [1e9, 2.0]), (2, [-1e300, 0.0])], "vec_id bigint, embedding array<double>")).collect()
+    assert [(r["vec_id"], r["score"]) for r in sorted(few)] == [(1, (64 * 10**9) ** 2 + 64 * 128 if (64 * 10**9) ** 2 + 64 * 128 < 2**63 else 2**63 - 1), (2, -2**63)]
