@@ -1,17 +1,20 @@
-"""Main text of web pages: markup gives lines, and pages next to each other by URL show which of them are shared."""
+"""Main text of web pages: lines that pages next to each other by URL share go, and markup decides about those left."""
 
 from __future__ import annotations
 
 import html
 import re
-from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stainframe.llm.common import as_text
+from stainframe.functions.ordering import rank_within
+from stainframe.llm.common import as_text, written
 from stainframe.llm.url_filter import canonical
 
 #: Markup: comments, declarations, tags with quoted attributes, tags whose quotes do not close, a tag cut off at the end.
@@ -39,6 +42,8 @@ ENDS_P = BLOCKS - {"body", "html", "tr", "tbody", "thead", "tfoot", "caption", "
 #: Where a line stands: inside an element whose words mark it (a layout may still hold the article), around the text, in the
 #: page outside of an article, in its main part, in an article.
 MARKED, AROUND, PLAIN, MAIN, ARTICLE = -1, 0, 1, 2, 3
+#: Bits of the columns that a differencing holds at one time, and pages of a group.
+TABLE, RUN = 1 << 27, 256
 
 
 def marked(attributes: str, words: frozenset[str] = MARKS) -> bool:
@@ -76,6 +81,7 @@ def lines(page: str | None) -> list[tuple[str, int]]:
     """
     out: list[tuple[str, int]] = []
     open_: list[tuple[str, int]] = []  # element and the place of its text
+    held: Counter[str] = Counter()  # how many of each element are open
     text: list[str] = []
     place, at, page = PLAIN, 0, page or ""
 
@@ -99,11 +105,12 @@ def lines(page: str | None) -> list[tuple[str, int]]:
         if not name or (m[5] and not m[0].endswith(">")):
             continue
         if m[1] or m[4]:
-            if any(n == name for n, _ in open_):
+            if held[name]:
                 if name in BLOCKS:
                     block()
-                while open_.pop()[0] != name:
-                    pass
+                while (last := open_.pop()[0]) != name:
+                    held[last] -= 1
+                held[name] -= 1
                 if name in BLOCKS or name in SILENT:
                     place = open_[-1][1] if open_ else PLAIN
             continue
@@ -118,8 +125,9 @@ def lines(page: str | None) -> list[tuple[str, int]]:
         # A paragraph or item left open ends here, with what is open inside it.
         if name in ENDS_P:
             for own in ("p", name) if name in ("li", "dt", "dd") else ("p",):
-                for k in range(len(open_) - 1, -1, -1):
+                for k in range(len(open_) - 1, -1, -1) if held[own] else ():
                     if open_[k][0] == own:
+                        held.subtract(n for n, _ in open_[k:])
                         del open_[k:]
                         break
                     if open_[k][0] in BLOCKS:
@@ -132,16 +140,48 @@ def lines(page: str | None) -> list[tuple[str, int]]:
         if now != place:
             block()
         open_.append((name, now))
+        held[name] += 1
         place = now
     block()
     return out
 
 
+def _columns(a: list[str], where: dict[str, int], width: int) -> Iterator[int]:
+    """After each line of `a`: a number whose bit j is zero where the common subsequence grows with line j of the other page."""
+    all_, v = (1 << width) - 1, (1 << width) - 1
+    for line in a:
+        u = v & where.get(line, 0)
+        v = ((v + u) | (v - u)) & all_
+        yield v
+
+
+def _where(b: list[str]) -> dict[str, int]:
+    places: dict[str, list[int]] = {}
+    for j, line in enumerate(b):
+        places.setdefault(line, []).append(j)
+    out = {}
+    for line, at in places.items():
+        bits = np.zeros(at[-1] // 8 + 1, np.uint8)
+        np.bitwise_or.at(bits, np.array(at) // 8, np.left_shift(1, np.array(at) % 8).astype(np.uint8))
+        out[line] = int.from_bytes(bits.tobytes(), "little")
+    return out
+
+
+def _lengths(a: list[str], b: list[str]) -> np.ndarray:
+    """Length of the longest common subsequence of `a` and the first j lines of `b`, for each j."""
+    v = (1 << len(b)) - 1
+    for v in _columns(a, _where(b), len(b)):
+        pass
+    bits = np.unpackbits(np.frombuffer(v.to_bytes(len(b) // 8 + 1, "little"), np.uint8), bitorder="little")[: len(b)]
+    return np.concatenate([[0], np.cumsum(1 - bits.astype(np.int64))])
+
+
 def shared(a: list[str], b: list[str]) -> set[int]:
     """Positions of `a` on a longest common subsequence with `b`.
 
-    Equal ends are taken at once. Between them, matches are met from the left and each extends the shortest ending of
-    a chain of its length; the chain is then read back.
+    Equal ends are taken at once. Between them one column of the table is one number and a line of `a` takes a few operations
+    on it, 64 lines of `b` to a machine word; pages whose columns would take over `TABLE` bits are halved first, at the place
+    where the lengths of both halves add up to the most, so memory stays bounded.
     """
     n, low = min(len(a), len(b)), 0
     while low < n and a[low] == b[low]:
@@ -150,74 +190,104 @@ def shared(a: list[str], b: list[str]) -> set[int]:
     while high < n - low and a[-1 - high] == b[-1 - high]:
         high += 1
     out = {*range(low), *range(len(a) - high, len(a))}
-    where: dict[str, list[int]] = {}
-    for j in range(len(b) - high - 1, low - 1, -1):
-        where.setdefault(b[j], []).append(j)
-    ends: list[int] = []
-    links: list[tuple] = []  # the chain that ends at each of `ends`, as (position in a, chain before)
-    for i in range(low, len(a) - high):
-        for j in where.get(a[i], ()):
-            k = bisect_left(ends, j)
-            chain = (i, links[k - 1] if k else None)
-            if k == len(ends):
-                ends.append(j)
-                links.append(chain)
-            else:
-                ends[k], links[k] = j, chain
-    chain = links[-1] if links else None
-    while chain:
-        out.add(chain[0])
-        chain = chain[1]
+    common = {*a[low:len(a) - high]} & {*b[low:len(b) - high]}
+    left = [i for i in range(low, len(a) - high) if a[i] in common]
+    own, other = [a[i] for i in left], [x for x in b[low:len(b) - high] if x in common]
+    todo = [(0, len(own), 0, len(other))]
+    while todo:
+        i, k, j, m = todo.pop()
+        if i == k or j == m:
+            continue
+        if (k - i) * (m - j) > TABLE and k - i > 1:
+            half = (i + k) // 2
+            total = _lengths(own[i:half], other[j:m]) + _lengths(own[half:k][::-1], other[j:m][::-1])[::-1]
+            at = j + int(np.argmax(total))
+            todo += [(i, half, j, at), (half, k, at, m)]
+            continue
+        table = list(_columns(own[i:k], _where(other[j:m]), m - j))
+        row, column = k - i, m - j
+        while row and column:
+            if table[row - 1] >> (column - 1) & 1:
+                column -= 1
+                continue
+            row -= 1
+            if not row or table[row - 1] >> (column - 1) & 1:
+                out.add(left[i + row])
+                column -= 1
     return out
 
 
 def main_lines(own: list[tuple[str, int]], neighbours: list[list[tuple[str, int]]]) -> list[str]:
     """The lines that stay of a page beside its neighbours.
 
-    Lines around the text go. A line on a longest common subsequence with a neighbour goes unless it stands in an
-    article, whose text two URLs may both carry whole. With an article (or else a main part) only its lines stay; without
-    one, the lines no neighbour shares, or all plain lines if neighbours share them all (a copy of the page).
+    First the differencing: a line on a longest common subsequence with a neighbour, or with two of them where there are
+    three or more (one may be a copy of the page), goes unless it stands in an article, whose text two URLs may both carry
+    whole. Of what is left, markup decides: with an article (or else a main part) its lines stay; without one, the plain lines.
+    If neighbours share all of those (a copy of the page), they all stay.
     """
-    top = max((p for _, p in own), default=AROUND)
-    if top >= MAIN:
-        return [t for t, p in own if p == top]
     texts = [t for t, _ in own]
-    gone: set[int] = set().union(*(shared(texts, [t for t, _ in other]) for other in neighbours))
-    plain = [(i, t) for i, (t, p) in enumerate(own) if p == PLAIN]
-    return [t for i, t in plain if i not in gone] or [t for _, t in plain]
+    hits = Counter(i for other in neighbours for i in shared(texts, [t for t, _ in other]))
+    least = 1 if len(neighbours) < 3 else 2
+    gone = {i for i, n in hits.items() if n >= least and own[i][1] < MAIN}
+    top = max((p for _, p in own), default=AROUND)
+    kept = [t for i, (t, p) in enumerate(own) if i not in gone and p == max(top, PLAIN)]
+    return kept or [t for t, p in own if p == max(top, PLAIN)]
+
+
+def _line_list(body: bytes) -> list[tuple[str, int]]:
+    parts = zstandard.ZstdDecompressor().decompress(body).decode("utf-8", "surrogatepass").split("\n") if body else []
+    return [(t[1:], int(t[0])) for t in parts]
 
 
-def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:
+def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", page: str = "html", near: int = 2) -> DataFrame:
     """(page_id, url, text, n_chars), one row for each row of `pages`.
 
-    Pages are put in the order of host, path, url and id by range, so that a host with a third of all pages is many
-    tasks, and each is set against the one before and the one after it if those are of its host and in its task.
+    Pages are ranked by host, path, url, id and text over the whole table, and each is set against the `near` pages before and after
+    it that are of its host. Ranks are dealt in runs of `RUN` to groups that also hold the pages bordering on them, so a host with a
+    third of all pages is many groups, and the text of a page does not depend on how the table is partitioned.
+
     Null html is empty and has no text; a null URL has an empty host; repeated rows stay; an empty table gives no
-    rows; other columns are not looked at. A task holds three pages at a time.
+    rows; other columns are not looked at. Html is reduced to its lines, stored compressed, before anything is shuffled; a very long page is
+    its lines like any other.
     """
     kinds = dict(pages.dtypes)
     rows = canonical(pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.col(page).alias("html")), "url")
-    order = ["host", "path", "url", "page_id"]
 
-    def extracted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        before = own = None  # (page_id, url, host, lines)
+    def parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        press = zstandard.ZstdCompressor(level=3)
         for batch in batches:
-            done = []
-            for k, u, h, body in zip(batch["page_id"].tolist(), batch["url"], batch["host"], batch["html"]):
-                after = (k, u, h, lines(body))
-                if own:
-                    done.append(text_of(before, own, after))
-                before, own = own, after
-            yield pd.DataFrame(done, columns=["page_id", "url", "text"])
-        if own:
-            yield pd.DataFrame([text_of(before, own, None)], columns=["page_id", "url", "text"])
-
-    def text_of(before, own, after):
-        near = [x[3] for x in (before, after) if x and x[2] == own[2]]
-        return own[0], own[1], "\n".join(main_lines(own[3], near))
-
-    return (rows.repartitionByRange(*order).sortWithinPartitions(*order).select("url", as_text("page_id").alias("page_id"), "host", "html")
-            .mapInPandas(extracted, "page_id string, url string, text string")
+            body = ["\n".join(f"{max(p, AROUND)}{t}" for t, p in lines(h)).encode("utf-8", "surrogatepass") for h in batch["html"]]
+            yield batch.drop(columns="html").assign(body=[press.compress(b) if b else b"" for b in body])
+
+    names = "page_id string, url string, host string, path string"
+    held = written(rows.select(as_text("page_id").alias("page_id"), "url", "host", "path", "html").mapInPandas(parsed, f"{names}, body binary")
+                   .withColumn("row", F.monotonically_increasing_id()), "lines")
+    # Rows alike in all that is ordered by are alike in their lines, so either may come first.
+    order = [F.col(c) for c in ("host", "path", "url", "page_id", "hash", "row")]
+    ranked = rank_within(held.select("host", "path", "url", "page_id", F.xxhash64("body").alias("hash"), "row"), [], order, rank="place", size="total")
+    ranked = held.join(ranked.select("row", "place"), "row")
+    run = F.floor(F.col("place") / RUN)
+    spread = ranked.withColumn("run", F.explode(F.array_distinct(F.array(
+        run, F.floor((F.col("place") - near) / RUN), F.floor((F.col("place") + near) / RUN)))))
+
+    def extracted(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("place", ignore_index=True)
+        inside = (group["place"] // RUN == group["run"]).tolist()
+        hosts, done, held = group["host"].tolist(), [], {}
+
+        def parts(i):
+            if i not in held:
+                held[i] = _line_list(group["body"].iloc[i])
+                held.pop(i - 2 * near - 1, None)
+            return held[i]
+
+        for i, (own, k, u) in enumerate(zip(inside, group["page_id"], group["url"])):
+            if own:
+                beside = [j for j in range(max(0, i - near), min(len(group), i + near + 1)) if j != i and hosts[j] == hosts[i]]
+                done.append((k, u, "\n".join(main_lines(parts(i), [parts(j) for j in beside]))))
+        return pd.DataFrame(done, columns=["page_id", "url", "text"])
+
+    return (spread.select("run", "place", "page_id", "url", "host", "body").groupBy("run").applyInPandas(extracted, "page_id string, url string, text string")
             .withColumn("page_id", F.col("page_id").cast(kinds[page_id])).withColumn("n_chars", F.length("text").cast("long")))
 
 

@@ -83,6 +83,39 @@ def test_extract(spark):
     assert pages.extract(spark.createDataFrame([], "page_id bigint, url string, html string")).count() == 0
 
 
+def test_text_does_not_depend_on_partitions(spark):
+    frame = "<div><p>Shop</p><p>Menu</p></div><p>{}</p><p>{}</p><p>Imprint</p>"
+    rows = [(i, f"http://h/a/{i:03}", frame.format(f"text {i}", f"more {i % 7}")) for i in range(600)]
+    rows += [(700 + i, "http://h/a/300x", frame.format("text 300", "more 6")) for i in range(2)]  # copies at the next URL
+    seen = []
+    for n in (2, 12, 40):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        df = spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(n)
+        seen.append(sorted(tuple(r) for r in pages.extract(df).collect()))
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    assert seen[0] == seen[1] == seen[2]
+    by = {r[0]: r[2] for r in seen[0]}
+    assert all(by[i] == f"text {i}\nmore {i % 7}" for i in range(600) if abs(i - 300) > 3)
+
+
+def test_long_pages():
+    same = [f"line {i % 3}" for i in range(4000)]
+    assert len(pages.shared(same, same[1:] + ["x"])) == 3999
+    r = random.Random(3)
+    a, b = ([str(r.randrange(50)) for _ in range(n)] for n in (900, 700))
+    whole = pages.shared(a, b)
+    table, pages.TABLE = pages.TABLE, 2000
+    try:
+        halved = pages.shared(a, b)
+    finally:
+        pages.TABLE = table
+    it = iter(b)
+    assert len(whole) == len(halved) and all(a[i] in it for i in sorted(halved))
+    deep = "<b>" * 20_000 + "x" + "</i>" * 20_000 + "<p>y" + "</b>" * 20_000 + "<p>z"
+    assert text(deep) == ["x", "y", "z"]
+    assert len(text("".join(f"<p>line {i % 5}</p>" for i in range(60_000)), "".join(f"<p>line {i % 4}</p>" for i in range(60_000)))) > 0
+
+
 @pytest.fixture(scope="module")
 def model():
     return pieces.load(public_tokenizers.path("piece_bpe_32k.model"))
