@@ -285,6 +285,10 @@ def masked(docs: DataFrame, text: str = "text", n_chars: str | None = "n_chars",
 
     if n_chars is None or n_chars not in docs.columns:
         return docs.withColumn(text, hidden(F.col(text)))
-    rows = docs.withColumn("_new", hidden(F.col(text)))
-    same = F.col("_new").eqNullSafe(F.col(text))
-    return rows.withColumn(n_chars, F.when(same, F.col(n_chars)).otherwise(F.length("_new")).cast(dict(docs.dtypes)[n_chars])).withColumn(text, F.col("_new")).select(*docs.columns)
+    # One struct holds the new text, so that no working column can meet one of the table's.
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+    rows = own.withColumn("new", hidden(F.col("doc").getField(text)))
+    same = F.col("new").eqNullSafe(F.col("doc").getField(text))
+    count = F.when(same, F.col("doc").getField(n_chars)).otherwise(F.length("new")).cast(dict(docs.dtypes)[n_chars])
+    fresh = {text: F.col("new"), n_chars: count}
+    return rows.select(*[fresh.get(c, F.col("doc").getField(c)).alias(c) for c in docs.columns])

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stainframe.llm.common import components, written
@@ -51,30 +51,30 @@ def with_fingerprint(docs: DataFrame, text: str = "text", name: str = "fp") -> D
     return docs.withColumn(name, fingerprints(F.col(text)))
 
 
-def segments(fp: np.ndarray) -> np.ndarray:
-    """(n, 5) segment values of unsigned fingerprints."""
+def segments(fp: np.ndarray, widths: tuple[int, ...] = WIDTHS) -> np.ndarray:
+    """(n, number of segments) segment values of unsigned fingerprints."""
     out, shift = [], 64
-    for w in WIDTHS:
+    for w in widths:
         shift -= w
         out.append((fp >> np.uint64(shift)) & np.uint64((1 << w) - 1))
     return np.stack(out, axis=1)
 
 
-def chain_keys(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def chain_keys(fp: np.ndarray, widths: tuple[int, ...] = WIDTHS) -> tuple[np.ndarray, np.ndarray]:
     """(row, key): for each start of the ring, the keys under which a fingerprint can meet one it links with.
 
     Of two linked fingerprints some chain starts with an equal segment whose follower differs in at most one bit
-    (budgets 4/5 and 8/5 of a bit). The key is the start, its segment and the follower; a row stands under its own
+    (budgets 4/5 and 8/5 of a bit, and with b + 1 segments for b bits less than 1 and 2 as well). The key is the start, its segment and the follower; a row stands under its own
     key and under those where one set bit of the follower is cleared, so that two followers one bit apart meet at
     the one with fewer bits. That is 1 + half a follower's bits on average, 37 keys a fingerprint in all.
     """
-    s, rows, keys, n = segments(fp), [], [], np.arange(len(fp))
-    for i in range(5):
-        j = (i + 1) % 5
+    s, rows, keys, n = segments(fp, widths), [], [], np.arange(len(fp))
+    for i in range(len(widths)):
+        j = (i + 1) % len(widths)
         base = (np.uint64(i) << np.uint64(26)) | (s[:, i] << np.uint64(13)) | s[:, j]
         rows.append(n)
         keys.append(base)
-        for b in range(WIDTHS[j]):
+        for b in range(widths[j]):
             bit = np.uint64(1 << b)
             has = np.flatnonzero(s[:, j] & bit)
             rows.append(has)
@@ -82,19 +82,20 @@ def chain_keys(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.concatenate(keys).astype(np.int64)
 
 
-def linked(a: np.ndarray, b: np.ndarray, start: np.ndarray, bits: int) -> np.ndarray:
+def linked(a: np.ndarray, b: np.ndarray, start: np.ndarray, bits: int, widths: tuple[int, ...] = WIDTHS) -> np.ndarray:
     """Whether pairs differ in at most `bits` bits; a pair whose chain from `start` leaves its budget is not measured further.
 
-    After l segments of the chain at most l * bits / 5 bits may differ. Every linked pair passes from some start,
-    and the last step, all five segments, is the full check.
+    After l of n segments of the chain at most l * bits / n bits may differ. Every linked pair passes from some start,
+    and the last step, all segments, is the full check.
     """
+    n = len(widths)
     alive = np.arange(len(a))
     gone = np.zeros(len(a), np.int64)
-    x = segments(a ^ b)
+    x = segments(a ^ b, widths)
     start = np.broadcast_to(start, len(a))
-    for l in range(1, 6):
-        gone += np.bitwise_count(x[np.arange(len(x)), (start + l - 1) % 5])
-        ok = 5 * gone <= l * bits
+    for l in range(1, n + 1):
+        gone += np.bitwise_count(x[np.arange(len(x)), (start + l - 1) % n])
+        ok = n * gone <= l * bits
         x, start, gone, alive = x[ok], start[ok], gone[ok], alive[ok]
     out = np.zeros(len(a), bool)
     out[alive] = True
@@ -206,3 +207,137 @@ def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     chosen = rows.join(kept, (rows["_fp"] == kept["_fp"]) & rows[doc_id].eqNullSafe(kept["_least"]), "left_semi")
     return chosen.withColumn("_t", F.xxhash64(text)).groupBy("_fp").agg(F.min_by(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]), F.struct("_t")).alias("_row")).select("_row.*")
+
+
+# ---- near copies at five words and a similarity of 0.8 ----------------------------------------------
+
+#: Words of the shingles that candidates are searched by, and of those that decide; fingerprints of each.
+FINDING, DECIDING = (2, 5), (5, 8)
+#: Bits that fingerprints of candidates may differ in, and bits of the 512 deciding ones. At a five-word similarity of 0.8 about 78
+#: of these differ, give or take 8; two words more often survive an edit than five, so candidates are nearer than that.
+NEAR_BITS, APART = 4, 86
+
+
+def _scrambled(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(29))
+
+
+def near_prints(text: str | None) -> np.ndarray:
+    """The fingerprints of a text, unsigned: five of its two-word shingles, eight of its five-word ones; zeros without words.
+
+    Words are hashed once; a shingle's hash is made of its words' and each fingerprint of the shingle's anew. Words,
+    repeats and short texts are as in `fingerprint`; a long text is read in slices.
+    """
+    import xxhash
+
+    parts = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    out = np.zeros(FINDING[1] + DECIDING[1], np.uint64)
+    if not parts:
+        return out
+    known: dict[bytes, int] = {}
+    words = np.array([known.get(w) or known.setdefault(w, xxhash.xxh64_intdigest(w, 42)) for w in parts], np.uint64)
+    at = 0
+    for size, n in (FINDING, DECIDING):
+        size, last, ones = min(size, len(words)), max(1, len(words) - size + 1), np.zeros((n, 64), np.int64)
+        for k in range(0, last, 65536):
+            m = min(65536, last - k)
+            x = np.zeros(m, np.uint64)
+            for j in range(size):
+                x = _scrambled(x * np.uint64(3) + words[k + j:k + j + m])
+            for j in range(n):
+                x = _scrambled(x + np.uint64(0x9E3779B97F4A7C15))
+                ones[j] += np.unpackbits(x.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+        out[at:at + n] = np.packbits(2 * ones > last, axis=1).view(">u8")[:, 0]
+        at += n
+    return out
+
+
+def near_widths(bits: int) -> tuple[int, ...]:
+    """One segment more than `bits`, as even as can be."""
+    n = bits + 1
+    return tuple(64 // n + (i < 64 % n) for i in range(n))
+
+
+def near(p: np.ndarray, q: np.ndarray, part: int, start: int, bits: int, apart: int) -> np.ndarray:
+    """Whether rows of fingerprints `p` are near copies of `q`, as far as the chain from `start` of candidate fingerprint `part` shows."""
+    out = linked(p[:, part], np.broadcast_to(q[part], len(p)), np.int64(start), bits, near_widths(bits))
+    at = np.flatnonzero(out)
+    out[at] = np.bitwise_count(p[at, FINDING[1]:] ^ q[FINDING[1]:]).sum(axis=1) <= apart
+    return out
+
+
+def near_representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bits: int = NEAR_BITS, apart: int = APART,
+                         tile: int = TILE) -> DataFrame:
+    """The rows of `docs` that stay, with all columns: one of each class of near copies, the one with the smallest id.
+
+    Two texts link if one of five 64-bit fingerprints of their two-word shingles differs in at most `bits` bits, found by
+    pigeonring as in `links`, and the 512 bits over their five-word shingles in at most `apart`, which estimates a five-word
+    similarity of 0.8. Classes are what links connect. Equal texts are one node, however many they are.
+
+    Null ids come after all others; of several rows with the smallest id the one whose text hashes lowest stays. Null
+    and empty texts are one class; an empty table gives no rows. Keys that only one node has are dropped before fingerprints move.
+    """
+    @F.pandas_udf("array<bigint>")
+    def prints(texts: pd.Series) -> pd.Series:
+        return pd.Series([near_prints(t).view(np.int64) for t in texts])
+
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+    body, key = F.col("doc").getField(text), F.col("doc").getField(doc_id)
+    own = own.withColumns({"id": F.coalesce(F.concat(F.lit("="), key.cast("string")), F.lit("")), "hash": F.xxhash64(body)})
+    rows = written(own.select("id", "hash", F.struct(key.isNull(), key, F.col("hash")).alias("order"), prints(body).alias("prints")), "prints")
+    nodes = written(rows.groupBy("prints").agg(F.min(F.struct("order", "id", "hash")).alias("best")).withColumn("node", F.monotonically_increasing_id()), "nodes")
+
+    def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            p = np.stack(batch["prints"].tolist()).view(np.uint64)
+            for part in range(FINDING[1]):
+                at, keys = chain_keys(p[:, part], near_widths(bits))
+                yield pd.DataFrame({"key": keys | (part << 40), "node": batch["node"].to_numpy()[at]})
+
+    keys = nodes.select("node", "prints").mapInPandas(keyed, "key bigint, node bigint")
+    several = keys.groupBy("key").count().where("count > 1").select("key", F.ceil(F.col("count") / tile).alias("t"))
+    members = keys.join(several, "key").withColumn("c", F.pmod(F.xxhash64("node"), F.col("t")))
+    # A row of chunk c stands in the t tiles (min(c, j), max(c, j)).
+    members = members.select("key", "node", F.explode(F.transform(
+        F.sequence(F.lit(0).cast("bigint"), F.col("t") - 1), lambda j: F.least("c", j) * F.col("t") + F.greatest("c", j))).alias("tile"))
+
+    def compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest = None
+        for batch in batches:
+            now = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
+            same = (now["key"] == now["key"].iloc[-1]) & (now["tile"] == now["tile"].iloc[-1])
+            rest, whole = now[same.to_numpy()], now[~same.to_numpy()]
+            if len(whole):
+                yield met(whole)
+        if rest is not None and len(rest):
+            yield met(rest)
+
+    def met(rows: pd.DataFrame) -> pd.DataFrame:
+        key, at, node = rows["key"].to_numpy(), rows["tile"].to_numpy(), rows["node"].to_numpy()
+        p = np.stack(rows["prints"].tolist()).view(np.uint64)
+        cut = np.flatnonzero((np.diff(key) != 0) | (np.diff(at) != 0)) + 1
+        u, v = [], []
+        for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(key)]):
+            part, start = int(key[a]) >> 40, int(key[a]) >> 26 & 0x3FFF
+            # One tree at a time: a row is measured against those that no tree has reached.
+            left, queue = np.arange(a + 1, b), [a]
+            while len(left):
+                if not queue:
+                    queue, left = [int(left[0])], left[1:]
+                    continue
+                k = queue.pop()
+                hit = near(p[left], p[k], part, start, bits, apart)
+                u += [node[k]] * int(hit.sum())
+                v += node[left[hit]].tolist()
+                queue += left[hit].tolist()
+                left = left[~hit]
+        return pd.DataFrame({"u": np.array(u, np.int64), "v": np.array(v, np.int64)}).drop_duplicates()
+
+    edges = (members.join(nodes.select("node", "prints"), "node").repartition("key", "tile").sortWithinPartitions("key", "tile")
+             .select("key", "tile", "node", "prints").mapInPandas(compared, "u bigint, v bigint").distinct())
+    rooted = nodes.select("node", "best").join(components(edges), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    stay = rooted.groupBy("root").agg(F.min("best").alias("best")).select("best.id", "best.hash")
+    # Of rows alike in id and text one stays; the join has brought them together.
+    same = Window.partitionBy("id", "hash").orderBy(F.xxhash64("doc"))
+    return own.join(stay, ["id", "hash"]).withColumn("nth", F.row_number().over(same)).where("nth = 1").select("doc.*")

@@ -41,3 +41,27 @@ def classes(prints, bits=4):
             a, b = find(i), find(ids[k])
             root[max(a, b)] = min(a, b)
     return {i: find(i) for i in ids}
+
+
+def near_classes(prints, bits=4, apart=86):
+    """{id: smallest id reachable} of {id: five and eight fingerprints} by measuring all pairs."""
+    ids = sorted(prints)
+    root = {i: i for i in ids}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    p = np.stack([prints[i] for i in ids])
+    for k, i in enumerate(ids):
+        d = np.bitwise_count(p ^ p[k])
+        for j in np.flatnonzero((d[:, :5].min(axis=1) <= bits) & (d[:, 5:].sum(axis=1) <= apart)):
+            a, b = find(i), find(ids[j])
+            root[max(a, b)] = min(a, b)
+    return {i: find(i) for i in ids}
+
+
+def jaccard(a, b, size=5):
+    own = [{tuple(w[i:i + size]) for i in range(max(1, len(w) - size + 1))} for w in ((t or "").lower().split() for t in (a, b))]
+    return len(own[0] & own[1]) / len(own[0] | own[1])

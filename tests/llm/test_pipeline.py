@@ -2,13 +2,14 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from stainframe.llm import packing, quality_classifier, secrets, toxicity
+from stainframe.llm import packing, quality_classifier, secrets, simhash, toxicity
 from stainframe.verify.check import _rows
 from stainframe.verify.views import GIVEN
-from tests.llm.helpers import SCHEMA, classes, simhash
+from tests.llm.helpers import SCHEMA, near_classes
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -37,7 +38,7 @@ def test_stages(spark, docs):
     kept = quality_classifier.scores(model, quality_classifier.table([r["text"] for r in want])) >= 0.7
     after, want = stages[1](spark, after, FOLDER), [r for r, k in zip(want, kept) if k]
     assert sorted(after.collect()) == sorted(want)
-    root = classes({r["doc_id"]: simhash(r["text"]) for r in want})
+    root = near_classes({r["doc_id"]: simhash.near_prints(r["text"]) for r in want})
     after, want = stages[2](spark, after, FOLDER), [r for r in want if root[r["doc_id"]] == r["doc_id"]]
     assert after.columns == docs.columns and sorted(after.collect()) == sorted(want)
     after = stages[3](spark, after, FOLDER)
@@ -65,3 +66,15 @@ def test_twins(spark, key):
     own, twin = entry.queries()[key](spark, FOLDER).toArrow(), con.sql(entry.oracle_sql()[key]).to_arrow_table()
     assert own.num_rows > 0 and sorted(own.column_names) == sorted(twin.column_names)
     assert _rows(own.column_names, zip(*own.to_pydict().values())) == _rows(twin.column_names, zip(*twin.to_pydict().values()))
+
+
+def test_columns_of_the_working_names(spark, docs):
+    """A table may have columns of any name; they come out as they went in."""
+    extra = {n: F.concat(F.lit("own "), F.col("doc_id")) for n in ("score", "_score", "doc", "new", "row", "best", "prints", "node", "fp", "_fp", "_t", "a.b")}
+    own = docs.limit(60).withColumns(extra)
+    rows = {r["doc_id"]: r for r in own.collect()}
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, own, FOLDER)
+        assert out.columns == own.columns
+        for r in out.collect():
+            assert [r[n] for n in extra] == [rows[r["doc_id"]][n] for n in extra]

@@ -7,7 +7,7 @@ import pytest
 
 from stainframe.llm import simhash
 from stainframe.llm.common import components
-from tests.llm.helpers import SCHEMA, classes, documents
+from tests.llm.helpers import SCHEMA, classes, documents, jaccard, near_classes
 from tests.llm.helpers import simhash as slow
 
 
@@ -91,3 +91,35 @@ def test_components(spark):
     got = {row["node"]: row["root"] for row in components(spark.createDataFrame(edges, "u bigint, v bigint")).collect()}
     assert got == {x: find(x) for a, b in edges if a != b for x in (a, b)}
     assert components(spark.createDataFrame([], "u bigint, v bigint")).count() == 0
+
+
+def edited(r, words, text):
+    text = list(text)
+    for _ in range(r.randrange(1, 1 + len(text) // 45)):
+        k = r.randrange(len(text))
+        text[k:k + r.randrange(2)] = [r.choice(words)] * r.randrange(1, 3)
+    return text
+
+
+@pytest.mark.parametrize("tile", [simhash.TILE, 4])
+def test_near_copies(spark, tile):
+    """Links as by all pairs; nine of ten planted copies of a five-word similarity of 0.8 or more go, others stay."""
+    r = random.Random(4)
+    words = ["".join(r.choice("abcdefghij") for _ in range(r.randrange(2, 8))) for _ in range(400)]
+    texts, of = [], {}
+    for _ in range(60):
+        base = [r.choice(words) for _ in range(r.randrange(60, 400))]
+        first = len(texts)
+        texts.append(" ".join(base))
+        for _ in range(r.randrange(4)):
+            of[len(texts)] = first
+            texts.append(" ".join(edited(r, words, base)))
+    texts += [texts[0]] * 3 + ["", None, "one", "one two three"]
+    df = documents(spark, texts, extra=True)
+    stay = {x["doc_id"] for x in simhash.near_representatives(df, tile=tile).collect()}
+    root = near_classes({i: simhash.near_prints(t) for i, t in enumerate(texts)})
+    assert stay == {i for i in root if root[i] == i}
+    planted = [i for i, k in of.items() if jaccard(texts[i], texts[k]) >= 0.8]
+    assert len(planted) > 50 and sum(i not in stay for i in planted) >= 0.9 * len(planted)
+    assert all(k in stay for k in set(of.values()))
+    assert simhash.near_representatives(spark.createDataFrame([], SCHEMA)).count() == 0
