@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stainframe.llm import packing, quality_classifier, secrets, simhash, toxicity
@@ -16,30 +18,34 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
-def _columns(rows: DataFrame, docs: DataFrame) -> DataFrame:
-    return rows.select(*[F.col(f"`{c}`") for c in docs.columns])
+def _kept(docs: DataFrame, scored: Callable[[DataFrame, str], DataFrame], keep: Callable[[Column], Column]) -> DataFrame:
+    """The rows of `docs` whose score is to keep, as they are; the score's column takes a name that none of theirs has."""
+    name = "score"
+    while name in docs.columns:
+        name = f"_{name}"
+    return scored(docs, name).where(keep(F.col(name))).drop(name)
 
 
 def toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity is 0.7 or more go."""
     model = toxicity.train(docs, _labels(spark, sf_dir))
-    return _columns(toxicity.with_score(docs, model, name="_score").where(F.col("_score") < CUT), docs)
+    return _kept(docs, lambda df, name: toxicity.with_score(df, model, name=name), lambda score: score < CUT)
 
 
 def poor_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose quality is under 0.7 go."""
     model = quality_classifier.train(docs, _labels(spark, sf_dir))
-    return _columns(quality_classifier.with_score(docs, model, name="_score").where(F.col("_score") >= CUT), docs)
+    return _kept(docs, lambda df, name: quality_classifier.with_score(df, model, name=name), lambda score: score >= CUT)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class stays: the one with the smallest id."""
-    return _columns(simhash.representatives(docs), docs)
+    """One document of each class of near copies (five words, similarity 0.8) stays: the one with the smallest id."""
+    return simhash.near_representatives(docs)
 
 
 def masked_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents stay; every secret found in a text gives way to a mark."""
-    return _columns(secrets.masked(docs), docs)
+    return secrets.masked(docs)
 
 
 def packed_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
