@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from stainframe.constants import PATIENT
 from stainframe.operators.cohorts import baseline_summary
 from stainframe.schema import BASELINE, CELLS, GEOJSON, nan_to_null
+from stainframe.sources.listing import list_files
 
 
 #: The place of a line in its files.
@@ -87,10 +88,13 @@ def parse_tile_path(path: str | Column) -> list[Column]:
 
 
 def scan_tile_index(spark: SparkSession, folder: str) -> DataFrame:
-    """Tiles under a folder from the file listing alone; no image is read."""
-    files = (spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.png")
-             .load(folder).select("path"))
-    return files.select(*parse_tile_path("path")).filter(F.col("x").isNotNull())
+    """Tiles `<slide>/<x>_<y>.png` under a folder from the file listing alone, made in tasks; no image is read."""
+    return list_files(spark, [folder], [".png"]).select(*parse_tile_path("path")).filter(F.col("x").isNotNull())
+
+
+def list_slide_files(spark: SparkSession, roots: Sequence[str], extensions: Sequence[str]) -> DataFrame:
+    """(slide_id, path, priority, ext): files named after a slide in any of `roots`, the first of which comes first."""
+    return list_files(spark, list(roots), list(extensions)).select(F.col("stem").alias("slide_id"), "path", "priority", "ext")
 
 
 def pair_tiles_with_masks(tiles: DataFrame, nuclei: DataFrame, cells: DataFrame, key: str = "tile_key") -> tuple[DataFrame, DataFrame]:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stainframe.constants import DISCLAIMER
@@ -53,8 +53,18 @@ def tile_csv_rows(cells: DataFrame) -> DataFrame:
 
 
 def write_tile_csv(rows: DataFrame, path: str) -> None:
-    (rows.repartition("slide_id", "tile_x", "tile_y").write.partitionBy("slide_id", "tile_x", "tile_y")
-     .option("header", True).option("emptyValue", "").csv(path))
+    """A CSV file for each tile, in a folder of its slide and tile; a tile's rows stand in order of their cells."""
+    (rows.repartition("slide_id", "tile_x", "tile_y").sortWithinPartitions("slide_id", "tile_x", "tile_y", "cell_id")
+     .write.partitionBy("slide_id", "tile_x", "tile_y").option("header", True).option("emptyValue", "").csv(path))
+
+
+def read_tile_csv(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of `write_tile_csv`: numbers as the text that was written, unmeasured ones empty."""
+    texts = ("centroid_x", "centroid_y", "thickness_px", "thickness_um", "completeness", "dab_intensity")
+    schema = (f"cell_id bigint, {', '.join(f'{c} string' for c in texts)}, composite_grade int, "
+              "slide_id string, tile_x bigint, tile_y bigint")
+    back = spark.read.schema(schema).option("header", True).csv(path)
+    return back.withColumns({c: F.coalesce(c, F.lit("")) for c in texts})
 
 
 def write_comparison_csv(comparison: DataFrame, path: str) -> None:

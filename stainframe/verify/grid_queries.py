@@ -53,12 +53,14 @@ def filled(source: str, value: str) -> str:
     return step(f"({step(source, 'gx', 'gy')}) fx", "gy", "gx")
 
 
-G3 = "(VALUES " + ", ".join(f"({i - 12}, CAST('{float(w)!r}' AS DOUBLE))" for i, w in enumerate(gaussian_weights(3.0))) + ")"
+def taps(sigma: float) -> str:
+    w = gaussian_weights(sigma)
+    return "(VALUES " + ", ".join(f"({i - len(w) // 2}, CAST('{float(x)!r}' AS DOUBLE))" for i, x in enumerate(w)) + ")"
 
 
-def smoothed(source: str) -> str:
+def smoothed(source: str, sigma: float = 3.0) -> str:
     mir = lambda c: f"(CASE WHEN {c} < 0 THEN -1 - ({c}) WHEN {c} > 99 THEN 199 - ({c}) ELSE {c} END)"
-    step = lambda src, axis, other: f"SELECT slide_id, {mir(axis + ' + d')} AS {axis}, {other}, sum(v * w) AS v FROM {src}, {G3} k(d, w) GROUP BY ALL"
+    step = lambda src, axis, other: f"SELECT slide_id, {mir(axis + ' + d')} AS {axis}, {other}, sum(v * w) AS v FROM {src}, {taps(sigma)} k(d, w) GROUP BY ALL"
     return step(f"({step(source, 'gx', 'gy')}) sx", "gy", "gx")
 
 
@@ -80,6 +82,20 @@ def _(t):
     return D.grid_grade(t.graded, tissue(t), SCALE, SIDE, SIDE)
 
 
+SPOTS = f"""spots AS (SELECT DISTINCT slide_id, CAST(trunc(centroid_x * CAST(0.005 AS DOUBLE)) AS BIGINT) AS gx, CAST(trunc(centroid_y * CAST(0.005 AS DOUBLE)) AS BIGINT) AS gy FROM cells),
+ones AS (SELECT DISTINCT slide_id, gx + dx AS gx, gy + dy AS gy, CAST(1 AS DOUBLE) AS v FROM spots, {rows(disc(1))} o(dx, dy)
+  WHERE gx BETWEEN 0 AND 99 AND gy BETWEEN 0 AND 99 AND gx + dx BETWEEN 0 AND 99 AND gy + dy BETWEEN 0 AND 99)"""
+
+
+@query("density_map", f"""WITH {GRID}, {TISSUE}, {SPOTS}, d1 AS ({smoothed('ones')}), d2 AS ({filled('d1', 'v')}), d3 AS ({smoothed('d2', 1.5)}),
+d4 AS (SELECT d3.* FROM d3 SEMI JOIN tissue USING (slide_id, gx, gy)),
+dq AS (SELECT slide_id, quantile_cont(v, 0.02) AS lo, quantile_cont(v, 0.98) AS hi FROM d4 WHERE v > 0.005 GROUP BY slide_id),
+d5 AS (SELECT slide_id, gx, gy, CASE WHEN hi - lo > 1e-9 THEN greatest(0, least(1.0, (v - lo) / (hi - lo))) ELSE v END AS v FROM d4 LEFT JOIN dq USING (slide_id))
+SELECT slide_id, gx, gy, round(v, 6) AS v, round(v, 9) >= 0.005 AS shown FROM d5""")
+def _(t):
+    return rounded(D.density_map(t.cells, tissue(t), SCALE, SIDE, SIDE, radius=1))
+
+
 @query("grid_last_writer", f"""SELECT slide_id, gx + dx AS gx, gy + dy AS gy, arg_max(grade, cell_id) AS v
 FROM (SELECT slide_id, cell_id, grade, CAST(floor(centroid_x * CAST(0.005 AS DOUBLE)) AS BIGINT) AS gx, CAST(floor(centroid_y * CAST(0.005 AS DOUBLE)) AS BIGINT) AS gy FROM graded) c, {rows(disc(3))} o(dx, dy)
 WHERE gx + dx BETWEEN 0 AND 99 AND gy + dy BETWEEN 0 AND 99 GROUP BY ALL""")

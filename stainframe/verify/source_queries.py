@@ -15,6 +15,7 @@ from stainframe.plans import jobs
 from stainframe.schema import CELLS
 from stainframe.sources import readers as R
 from stainframe.sources import sinks as K
+from stainframe.sources.listing import touch
 from stainframe.verify.cohort_queries import comparison
 from stainframe.verify.pixel_queries import EXTENT
 from stainframe.verify.registry import ORACLE, QUERIES, query, rounded
@@ -74,7 +75,9 @@ def _(t):
 @query("scan_tile_index", r"""SELECT regexp_extract(image, '([^/]+)/(\d+)_(\d+)\.[A-Za-z]+$', 1) AS slide_id, CAST(regexp_extract(image, '([^/]+)/(\d+)_(\d+)\.[A-Za-z]+$', 2) AS BIGINT) AS x,
 CAST(regexp_extract(image, '([^/]+)/(\d+)_(\d+)\.[A-Za-z]+$', 3) AS BIGINT) AS y, regexp_extract(image, '([^/]+/\d+_\d+)\.[A-Za-z]+$', 1) AS tile_key FROM items""")
 def _(t):
-    return t.items.select(*R.parse_tile_path("image"))
+    root = scratch(t.spark, "tiles")
+    touch(t.items.select(F.col("image").alias("path")), root)
+    return R.scan_tile_index(t.spark, root)
 
 
 def masks(t):
@@ -114,11 +117,14 @@ def _dec(c: str) -> str:
     return f"coalesce(printf('%.4f', round({c} + 1e-9, 4)), '')"
 
 
-@query("sink_tile_csv", f"""SELECT slide_id, CAST(floor(centroid_x / 704) AS BIGINT) AS tile_x, CAST(floor(centroid_y / 704) AS BIGINT) AS tile_y, cell_id, {_dec('centroid_x')} AS centroid_x, {_dec('centroid_y')} AS centroid_y,
+# Tiles of four by four, so that the smallest data too have more cells than files.
+@query("sink_tile_csv", f"""SELECT slide_id, CAST(floor(centroid_x / 2816) AS BIGINT) AS tile_x, CAST(floor(centroid_y / 2816) AS BIGINT) AS tile_y, cell_id, {_dec('centroid_x')} AS centroid_x, {_dec('centroid_y')} AS centroid_y,
 {_dec('membrane_thickness_px')} AS thickness_px, {_dec('membrane_thickness_px * 0.5')} AS thickness_um, {_dec('membrane_completeness')} AS completeness, {_dec('membrane_ring_dab')} AS dab_intensity, grade AS composite_grade FROM graded""")
 def _(t):
-    cells = T.tile_bins(t.graded).withColumn("membrane_thickness_um", F.col("membrane_thickness_px") * 0.5)
-    return K.tile_csv_rows(cells)
+    cells = T.tile_bins(t.graded, 8.0).withColumn("membrane_thickness_um", F.col("membrane_thickness_px") * 0.5)
+    path = scratch(t.spark, "tile-csv")
+    K.write_tile_csv(K.tile_csv_rows(cells), path)
+    return K.read_tile_csv(t.spark, path)
 
 
 @query("sink_comparison_csv")
@@ -182,15 +188,20 @@ def _(t):
     return R.skip_processed_slides(t.slides.select("slide_id").distinct(), t.slides.filter("width = 3500"))
 
 
-FILES = """files AS (SELECT concat('S', lpad(CAST(s_suppkey AS VARCHAR), 6, '0')) AS slide_id, concat('/dir', CAST(d AS VARCHAR), '/', s_name, ext) AS path, d AS priority, ext FROM supplier, (VALUES (0, '.svs', 3), (0, '.tif', 5), (1, '.svs', 2), (1, '.txt', 1)) v(d, ext, m) WHERE s_suppkey % m = 0)"""
+FILES = """files AS (SELECT slide_id, concat('/dir', CAST(d AS VARCHAR), '/', slide_id, ext) AS path, d AS priority, ext FROM (SELECT *, CAST(substr(slide_id, 2) AS BIGINT) AS i FROM slides) s,
+(VALUES (0, '.svs', 3), (0, '.tif', 5), (1, '.svs', 2), (1, '.txt', 1)) v(d, ext, m) WHERE i % m = 0)"""
 
 
 @query("resolve_slide_path", f"WITH {FILES} SELECT s.slide_id, b.path, b.path IS NOT NULL AS resolved FROM slides s LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY slide_id ORDER BY priority, CASE ext WHEN '.svs' THEN 0 ELSE 1 END, path) AS rn FROM files WHERE ext <> '.txt') q WHERE rn = 1) b USING (slide_id)")
 def _(t):
-    v = F.explode(F.array(*[F.struct(F.lit(d).alias("priority"), F.lit(e).alias("ext"), F.lit(m).alias("m")) for d, e, m in ((0, ".svs", 3), (0, ".tif", 5), (1, ".svs", 2), (1, ".txt", 1))]))
-    files = t.supplier.select("s_suppkey", "s_name", v.alias("v")).filter("s_suppkey % v.m = 0").selectExpr(
-        "concat('S', lpad(cast(s_suppkey as string), 6, '0')) AS slide_id", "concat('/dir', v.priority, '/', s_name, v.ext) AS path", "v.priority AS priority", "v.ext AS ext")
-    return R.resolve_slide_path(t.slides, files, [".svs", ".tif"])
+    root, i = scratch(t.spark, "slides"), F.substring("slide_id", 2, 9).cast("bigint")
+    v = F.inline(F.array(*[F.struct(F.lit(d).alias("d"), F.lit(e).alias("ext"), F.lit(m).alias("m")) for d, e, m in ((0, ".svs", 3), (0, ".tif", 5), (1, ".svs", 2), (1, ".txt", 1))]))
+    there = t.slides.select("slide_id", i.alias("i"), v).filter("i % m = 0")
+    touch(there.select(F.concat(F.lit("dir"), "d", F.lit("/"), "slide_id", "ext").alias("path")), root)
+    # A third root does not exist.
+    files = R.list_slide_files(t.spark, [f"{root}/dir{d}" for d in (0, 1, 2)], [".svs", ".tif"])
+    found = R.resolve_slide_path(t.slides, files, [".svs", ".tif"])
+    return found.withColumn("path", F.regexp_extract("path", r"(/dir\d+/[^/]+)$", 1)).withColumn("path", F.when(F.col("resolved"), F.col("path")))
 
 
 @query("scan_membrane_index", "SELECT tile_key, round(CASE WHEN tile_x % 2 = 0 THEN CAST(tile_y AS DOUBLE) / 100 ELSE 0 END, 6) AS fraction FROM tiles")

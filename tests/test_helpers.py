@@ -138,3 +138,46 @@ def test_full_join_meets_nulls(spark):
     assert {tuple(g) for g in df.collect()} == {("x", None, 1, 4), ("x", "p", 2, None), (None, None, 3, 5), ("y", None, None, 6)}
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_running_maximum():
+    r = np.random.default_rng(2)
+    for n, back, front in ((1, 0, 0), (1, 6, 5), (7, 2, 3), (40, 6, 5), (40, 0, 4), (13, 12, 12)):
+        a = r.normal(size=(n, 3))
+        a[r.random(a.shape) < 0.2] = -np.inf
+        want = np.stack([a[max(0, i - back):i + front + 1].max(axis=0) for i in range(n)])
+        assert np.array_equal(D.running_max(a, back, front), want)
+
+
+def test_grid_filters_do_not_see_blocks(spark, monkeypatch):
+    """A grid cut into small blocks gives the same as a whole one, and both the same as plain arrays."""
+    r = np.random.default_rng(5)
+    rows = [("S", int(x), int(y), float(v)) for x, y, v in zip(r.integers(0, 90, 60), r.integers(0, 70, 60), r.random(60))]
+    grid = spark.createDataFrame(list({(s, x, y): (s, x, y, v) for s, x, y, v in rows}.values()), "slide_id string, gx bigint, gy bigint, v double")
+    def own(df):
+        return {(g["gx"], g["gy"]): g["v"] for g in df.collect()}
+    whole = [own(D.fill_gaps(grid, 90, 70)), own(D.smooth(grid, 90, 70)), own(D.grid_gap_fill_smooth(grid, D.smooth(grid, 90, 70, 20.0), 90, 70))]
+    monkeypatch.setattr(D, "BLOCK", 16)
+    cut = [own(D.fill_gaps(grid, 90, 70)), own(D.smooth(grid, 90, 70)), own(D.grid_gap_fill_smooth(grid, D.smooth(grid, 90, 70, 20.0), 90, 70))]
+    for a, b in zip(whole, cut):
+        assert set(a) == set(b) and all(abs(a[k] - b[k]) < 1e-12 for k in a)
+    want = {}
+    for g in grid.collect():
+        for dx in range(-5, 7):
+            for dy in range(-5, 7):
+                k = (g["gx"] + dx, g["gy"] + dy)
+                if 0 <= k[0] < 90 and 0 <= k[1] < 70:
+                    want[k] = max(want.get(k, 0.0), g["v"])
+    assert whole[0] == want
+
+
+def test_density_map_of_few_cells(spark):
+    cells = spark.createDataFrame([("A", 10.5, 10.5), ("A", 10.9, 10.1), ("A", 30.0, 12.0), ("B", -5.0, 3.0)], "slide_id string, centroid_x double, centroid_y double")
+    tissue = spark.createDataFrame([(s, x, y) for s in "AB" for x in range(40) for y in range(25)], "slide_id string, gx bigint, gy bigint")
+    got = {(g["gx"], g["gy"]): g for g in D.density_map(cells, tissue, 1.0, 40, 25, radius=2, size=4, sigma=1.0).collect()}
+    assert max(g["v"] for g in got.values()) == 1.0 and not got[20, 24]["shown"] if (20, 24) in got else True
+    assert got[10, 10]["v"] > 0.9 and got[30, 12]["v"] > 0.9 and got[10, 10]["shown"] and {g["slide_id"] for g in got.values()} == {"A"}
+    a, b = (D.density_map(cells.filter(f"slide_id = 'A' AND centroid_x {c} 20"), tissue, 1.0, 40, 25).agg(F.sum("v")).first()[0] for c in "<>")
+    assert a > 0 and b > 0
+    plan = D.density_map(cells, tissue, 1.0, 40, 25)._jdf.queryExecution().executedPlan().toString()
+    assert "Nested" not in plan

@@ -11,6 +11,7 @@ from stainframe.functions.ordering import exact_percentiles, rank_within
 from stainframe.operators.scoring import calibrate_thresholds, score_by, slide_summary, thickness_summary
 from stainframe.sources import readers as R
 from stainframe.sources import sinks as K
+from stainframe.sources.listing import list_files, touch
 from stainframe.streaming.incremental import append_slide_scores, follow_cells, read_slide_scores
 
 
@@ -155,3 +156,35 @@ def test_giant_slide_is_written_by_several_tasks(spark, tmp_path):
     files = [len(list(d.glob("*.parquet"))) for d in (tmp_path / "cells").glob("slide_id=*")]
     assert len(list((tmp_path / "cells" / "slide_id=GIANT").glob("*.parquet"))) > 1 and len(files) == 8
     assert spark.read.parquet(str(tmp_path / "cells")).count() == 200_000
+
+
+def test_listing_of_many_folders(spark, tmp_path):
+    """10,000 empty files in 500 folders, listed by tasks that each take some folders."""
+    paths = spark.range(10_000).selectExpr("concat('S', id % 500, '/', id, '_', id * 2, if(id % 10 = 0, '.TXT', '.png')) AS path")
+    assert touch(paths, str(tmp_path / "all")) == 10_000
+    (tmp_path / "all" / "5_6.png").write_bytes(b"abc")
+    (tmp_path / "all" / "S1" / "deep").mkdir()
+    (tmp_path / "all" / "S1" / "deep" / "7_8.PNG").write_bytes(b"")
+    df = list_files(spark, [str(tmp_path / "none"), f"file://{tmp_path}/all"])
+    assert df.count() == 10_002 and df.rdd.getNumPartitions() >= 32
+    png = list_files(spark, [str(tmp_path / "all")], [".png"])
+    assert png.count() == 9_002
+    got = {r["name"]: (r["folder"], r["stem"], r["ext"], r["size"], r["priority"]) for r in png.where("name in ('5_6.png', '7_8.PNG', '11_22.png')").collect()}
+    assert got == {"5_6.png": ("", "5_6", ".png", 3, 0), "7_8.PNG": ("S1/deep", "7_8", ".png", 0, 0), "11_22.png": ("S11", "11_22", ".png", 0, 0)}
+    tiles = R.scan_tile_index(spark, str(tmp_path / "all"))
+    assert tiles.where("slide_id = 'S11'").count() == 20 and tiles.where("slide_id = 'S10'").count() == 0
+
+
+def test_tile_csv_is_a_file_for_each_tile(spark, tmp_path):
+    rows = [(s, x, y, 10 * x + k, 1.23456 + k, 2.0, None if k else 3.5, None, 0.5, 0.25, k) for s in ("A", "B") for x in range(3) for y in range(2) for k in range(2)]
+    cells = spark.createDataFrame(rows, "slide_id string, tile_x bigint, tile_y bigint, cell_id bigint, centroid_x double, centroid_y double, membrane_thickness_px double, "
+                                  "membrane_thickness_um double, membrane_completeness double, membrane_ring_dab double, grade int")
+    out = K.tile_csv_rows(cells)
+    K.write_tile_csv(out, str(tmp_path / "csv"))
+    files = list(tmp_path.glob("csv/slide_id=*/tile_x=*/tile_y=*/*.csv"))
+    assert len(files) == 12
+    text = next(tmp_path.glob("csv/slide_id=A/tile_x=1/tile_y=0/*.csv")).read_text().splitlines()
+    assert text == ["cell_id,centroid_x,centroid_y,thickness_px,thickness_um,completeness,dab_intensity,composite_grade",
+                    "10,1.2346,2.0000,3.5000,,0.5000,0.2500,0", "11,2.2346,2.0000,,,0.5000,0.2500,1"]
+    back = K.read_tile_csv(spark, str(tmp_path / "csv"))
+    assert sorted(map(tuple, back.select(*out.columns).collect())) == sorted(map(tuple, out.collect()))
