@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -217,78 +218,92 @@ def shared(a: list[str], b: list[str]) -> set[int]:
     return out
 
 
-def main_lines(own: list[tuple[str, int]], neighbours: list[list[tuple[str, int]]]) -> list[str]:
-    """The lines that stay of a page beside its neighbours.
+def deleted(own: list, neighbours: list[list], least: int | None = None) -> set[int]:
+    """Positions of `own` on a longest common subsequence with a neighbour, or with two where there are three or more: one may be a copy."""
+    hits = Counter(i for other in neighbours for i in shared(own, other))
+    return {i for i, n in hits.items() if n >= (least or (1 if len(neighbours) < 3 else 2))}
+
+
+def left_over(own: list[tuple[str, int]], gone: set[int]) -> list[str]:
+    """The lines that stay of a page of which differencing deletes `gone`.
 
-    First the differencing: a line on a longest common subsequence with a neighbour, or with two of them where there are
-    three or more (one may be a copy of the page), goes unless it stands in an article, whose text two URLs may both carry
-    whole. Of what is left, markup decides: with an article (or else a main part) its lines stay; without one, the plain lines.
-    If neighbours share all of those (a copy of the page), they all stay.
+    A deleted line stays if it stands in an article or main part, whose text two URLs may both carry whole. Of what is left, markup
+    decides: with an article (or else a main part) its lines stay; without one, the plain lines. If neighbours share
+    all of those (a copy of the page), they all stay.
     """
-    texts = [t for t, _ in own]
-    hits = Counter(i for other in neighbours for i in shared(texts, [t for t, _ in other]))
-    least = 1 if len(neighbours) < 3 else 2
-    gone = {i for i, n in hits.items() if n >= least and own[i][1] < MAIN}
-    top = max((p for _, p in own), default=AROUND)
-    kept = [t for i, (t, p) in enumerate(own) if i not in gone and p == max(top, PLAIN)]
-    return kept or [t for t, p in own if p == max(top, PLAIN)]
+    top = max(max((p for _, p in own), default=AROUND), PLAIN)
+    kept = [t for i, (t, p) in enumerate(own) if p == top and (p >= MAIN or i not in gone)]
+    return kept or [t for t, p in own if p == top]
 
 
-def _line_list(body: bytes) -> list[tuple[str, int]]:
-    parts = zstandard.ZstdDecompressor().decompress(body).decode("utf-8", "surrogatepass").split("\n") if body else []
-    return [(t[1:], int(t[0])) for t in parts]
+def main_lines(own: list[tuple[str, int]], neighbours: list[list[tuple[str, int]]]) -> list[str]:
+    """The lines that stay of a page beside its neighbours: differencing first, then markup."""
+    return left_over(own, deleted([t for t, _ in own], [[t for t, _ in other] for other in neighbours]))
 
 
 def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", page: str = "html", near: int = 2) -> DataFrame:
     """(page_id, url, text, n_chars), one row for each row of `pages`.
 
-    Pages are ranked by host, path, url, id and text over the whole table, and each is set against the `near` pages before and after
+    Pages are ranked by host, path, url, id and html over the whole table, and each is set against the `near` pages before and after
     it that are of its host. Ranks are dealt in runs of `RUN` to groups that also hold the pages bordering on them, so a host with a
     third of all pages is many groups, and the text of a page does not depend on how the table is partitioned.
 
-    Null html is empty and has no text; a null URL has an empty host; repeated rows stay; an empty table gives no
-    rows; other columns are not looked at. Html is reduced to its lines, stored compressed, before anything is shuffled; a very long page is
-    its lines like any other.
+    Only hashes of lines (64 bits each, taken as the lines) travel to the groups; what differencing deletes comes back as
+    positions to the lines of the page, which is read a second time for that. Null html is empty and has no text; a null
+    URL has an empty host; repeated rows stay; an empty table gives no rows; other columns are not looked at. A very long page is its lines
+    like any other.
     """
     kinds = dict(pages.dtypes)
-    rows = canonical(pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.col(page).alias("html")), "url")
+    key = F.xxhash64("page_id", "url", F.length("html"), F.col("html"))
+    rows = pages.select(as_text(page_id).alias("page_id"), F.col(url).alias("url"), F.col(page).alias("html")).withColumn("key", key)
 
-    def parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        press = zstandard.ZstdCompressor(level=3)
+    def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            body = ["\n".join(f"{max(p, AROUND)}{t}" for t, p in lines(h)).encode("utf-8", "surrogatepass") for h in batch["html"]]
-            yield batch.drop(columns="html").assign(body=[press.compress(b) if b else b"" for b in body])
+            own = [np.array([xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass")) for t, _ in lines(h)], "<u8").tobytes() for h in batch["html"]]
+            yield batch.drop(columns="html").assign(hashes=own)
 
-    names = "page_id string, url string, host string, path string"
-    held = written(rows.select(as_text("page_id").alias("page_id"), "url", "host", "path", "html").mapInPandas(parsed, f"{names}, body binary")
+    held = written(rows.select("page_id", "url", "key", "html").mapInPandas(hashed, "page_id string, url string, key bigint, hashes binary")
                    .withColumn("row", F.monotonically_increasing_id()), "lines")
     # Rows alike in all that is ordered by are alike in their lines, so either may come first.
-    order = [F.col(c) for c in ("host", "path", "url", "page_id", "hash", "row")]
-    ranked = rank_within(held.select("host", "path", "url", "page_id", F.xxhash64("body").alias("hash"), "row"), [], order, rank="place", size="total")
-    ranked = held.join(ranked.select("row", "place"), "row")
+    order = [F.col(c) for c in ("host", "path", "url", "page_id", "key", "row")]
+    places = rank_within(canonical(held.select("url", "page_id", "key", "row"), "url"), [], order, rank="place", size="total").select("row", "place", "host")
     run = F.floor(F.col("place") / RUN)
-    spread = ranked.withColumn("run", F.explode(F.array_distinct(F.array(
+    spread = held.select("row", "key", "hashes").join(places, "row").withColumn("run", F.explode(F.array_distinct(F.array(
         run, F.floor((F.col("place") - near) / RUN), F.floor((F.col("place") + near) / RUN)))))
 
-    def extracted(group: pd.DataFrame) -> pd.DataFrame:
+    def differenced(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("place", ignore_index=True)
-        inside = (group["place"] // RUN == group["run"]).tolist()
-        hosts, done, held = group["host"].tolist(), [], {}
-
-        def parts(i):
-            if i not in held:
-                held[i] = _line_list(group["body"].iloc[i])
-                held.pop(i - 2 * near - 1, None)
-            return held[i]
-
-        for i, (own, k, u) in enumerate(zip(inside, group["page_id"], group["url"])):
-            if own:
-                beside = [j for j in range(max(0, i - near), min(len(group), i + near + 1)) if j != i and hosts[j] == hosts[i]]
-                done.append((k, u, "\n".join(main_lines(parts(i), [parts(j) for j in beside]))))
-        return pd.DataFrame(done, columns=["page_id", "url", "text"])
-
-    return (spread.select("run", "place", "page_id", "url", "host", "body").groupBy("run").applyInPandas(extracted, "page_id string, url string, text string")
-            .withColumn("page_id", F.col("page_id").cast(kinds[page_id])).withColumn("n_chars", F.length("text").cast("long")))
+        inside, hosts, done = (group["place"] // RUN == group["run"]).tolist(), group["host"].tolist(), []
+        own = [np.frombuffer(h, "<u8").tolist() for h in group["hashes"]]
+        for i, (mine, k) in enumerate(zip(inside, group["key"].tolist())):
+            if mine:
+                beside = [own[j] for j in range(max(0, i - near), min(len(group), i + near + 1)) if j != i and hosts[j] == hosts[i]]
+                if gone := deleted(own[i], beside):
+                    done.append((k, sorted(gone)))
+        return pd.DataFrame(done, columns=["key", "gone"])
+
+    found = spread.select("run", "place", "key", "host", "hashes").groupBy("run").applyInPandas(differenced, "key bigint, gone array<int>")
+    # Equal rows may have unequal neighbours; what any of them loses all lose, so that they stay equal.
+    found = found.groupBy("key").agg(F.array_distinct(F.flatten(F.collect_set("gone"))).alias("gone"))
+
+    def parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        press = zstandard.ZstdCompressor(level=3)
+        for batch in batches:
+            body = ["\n".join(f"{max(p, AROUND)}{t}" for t, p in lines(h)).encode("utf-8", "surrogatepass") for h in batch["html"]]
+            yield batch.drop(columns="html").assign(body=[press.compress(b) for b in body])
+
+    @F.pandas_udf("string")
+    def kept(bodies: pd.Series, gone: pd.Series) -> pd.Series:
+        release, out = zstandard.ZstdDecompressor(), []
+        for body, g in zip(bodies, gone):
+            text = release.decompress(body).decode("utf-8", "surrogatepass")
+            own = [(t[1:], int(t[0])) for t in text.split("\n")] if text else []
+            out.append("\n".join(left_over(own, set() if g is None else set(g))))
+        return pd.Series(out, dtype=object)
+
+    bodies = rows.select("page_id", "url", "key", "html").mapInPandas(parsed, "page_id string, url string, key bigint, body binary")
+    return (bodies.join(found, "key", "left").select(F.col("page_id").cast(kinds[page_id]), "url", kept("body", "gone").alias("text"))
+            .withColumn("n_chars", F.length("text").cast("long")))
 
 
 #: DuckDB twin over `pages`, for the markup that the given tables have: an article of headings and paragraphs.
