@@ -320,7 +320,8 @@ def near_representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
         u, v = [], []
         for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(key)]):
             part, start = int(key[a]) >> 40, int(key[a]) >> 26 & 0x3FFF
-            # One tree at a time: a row is measured against those that no tree has reached.
+            # One tree at a time: a row is measured against those that no tree has reached. Trees start from the least
+            # node, so that the many buckets of a crowd give the same links.
             left, queue = np.arange(a + 1, b), [a]
             while len(left):
                 if not queue:
@@ -334,7 +335,7 @@ def near_representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
                 left = left[~hit]
         return pd.DataFrame({"u": np.array(u, np.int64), "v": np.array(v, np.int64)}).drop_duplicates()
 
-    edges = (members.join(nodes.select("node", "prints"), "node").repartition("key", "tile").sortWithinPartitions("key", "tile")
+    edges = (members.join(nodes.select("node", "prints"), "node").repartition("key", "tile").sortWithinPartitions("key", "tile", "node")
              .select("key", "tile", "node", "prints").mapInPandas(compared, "u bigint, v bigint").distinct())
     rooted = nodes.select("node", "best").join(components(edges), "node", "left").withColumn("root", F.coalesce("root", "node"))
     stay = rooted.groupBy("root").agg(F.min("best").alias("best")).select("best.id", "best.hash")
