@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stainframe.constants import DAB_POSITIVE
+from stainframe.functions.envelope import nearest_along_rows
 from stainframe.operators.instances import CELL
 from stainframe.operators.pixels import TILE
 
@@ -18,15 +19,15 @@ def thickness_radial_fwhm(pixels: DataFrame, min_px: int = 20, min_peak: float =
     """Width at half height of the mean DAB by signed distance to the cell boundary, in its box.
 
     Pixels of each cell's bounding box carry the distance to the nearest pixel of the other side:
-    vertical gaps by windows along columns, then the best column of the same row. A row of a box is
-    as long as the cell is wide, so the arrays are short.
+    vertical gaps by windows along columns, then a lower envelope along each row of the box. Missing pixels
+    of the box are on neither side and in no bin.
     """
     cells = pixels.filter(F.col("cell_id") > 0).groupBy(*CELL).agg(
         F.count(F.lit(1)).alias("_n"), F.min("x").alias("_x0"), F.max("x").alias("_x1"),
         F.min("y").alias("_y0"), F.max("y").alias("_y1")).filter(F.col("_n") >= min_px)
     rows = cells.withColumn("x", F.explode(F.sequence("_x0", "_x1"))).withColumn("y", F.explode(F.sequence("_y0", "_y1")))
     px = rows.select(*TILE, "cell_id", "x", "y").withColumnRenamed("cell_id", "_cell").join(
-        pixels.select(*TILE, "x", "y", "cell_id", "dab"), [*TILE, "x", "y"])
+        pixels.select(*TILE, "x", "y", "cell_id", "dab"), [*TILE, "x", "y"], "left")
     px = px.withColumn("_in", F.col("cell_id") == F.col("_cell"))
     key = [*TILE, "_cell"]
     up = Window.partitionBy(*key, "x").orderBy("y").rowsBetween(Window.unboundedPreceding, 0)
@@ -36,15 +37,9 @@ def thickness_radial_fwhm(pixels: DataFrame, min_px: int = 20, min_peak: float =
         at = F.when(test, F.col("y"))
         return F.least(F.col("y") - F.last(at, True).over(up), F.first(at, True).over(down) - F.col("y"))
 
-    px = px.withColumns({"_g_out": gap(~F.col("_in")), "_g_in": gap(F.col("_in"))})
-    line = Window.partitionBy(*key, "y")
-    px = px.withColumn("_row", F.collect_list(F.struct("x", "_g_out", "_g_in")).over(line))
-
-    def nearest(field: str) -> Column:
-        return F.sqrt(F.array_min(F.transform("_row", lambda e: F.when(
-            e[field].isNotNull(), F.pow(e["x"] - F.col("x"), F.lit(2.0)) + F.pow(e[field], F.lit(2.0))))))
-
-    signed = F.when(F.col("_in"), nearest("_g_out")).otherwise(-nearest("_g_in"))
+    px = px.select(*key, "x", "y", "dab", "_in", gap(~F.col("_in")).alias("_g_out"), gap(F.col("_in")).alias("_g_in"))
+    px = nearest_along_rows(px, TILE, ["_cell"], {"_to_out": "_g_out", "_to_in": "_g_in"}, cap=RADIUS + 1).filter(F.col("_in").isNotNull())
+    signed = F.when(F.col("_in"), F.col("_to_out")).otherwise(-F.col("_to_in"))
     width = 2.0 * RADIUS / BINS
     bins = px.select(*key, "dab", F.floor((signed + RADIUS) / width).cast("int").alias("_b")).filter(
         F.col("_b").between(0, BINS - 1))

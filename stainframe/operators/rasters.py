@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stainframe.constants import BAR_ORIENTATIONS, BAR_SIGMA_LONG, BAR_SIGMA_SHORT, BAR_SIZE
+from stainframe.functions.envelope import NONE, column_gaps, nearest_along_rows, row_envelope
 from stainframe.functions.spatial import halo_blocks
 from stainframe.operators.pixels import TILE, gray8, otsu_bin, saturation
 
@@ -312,22 +313,37 @@ def median_filter(
 
 
 def distance_to_mask(
-    pixels: DataFrame, mask: str, cap: int = 60, out: str = "distance", extent: tuple[int, int] | None = None,
+    pixels: DataFrame, mask: str, cap: int | None = 60, out: str = "distance", extent: tuple[int, int] | None = None,
     keys: Sequence[str] = TILE, carry: Sequence[str] = (),
 ) -> DataFrame:
-    """Euclidean distance to the nearest set pixel, at most `cap`; exact, by columns and then rows."""
+    """Euclidean distance to the nearest set pixel; exact, and linear in the pixels whatever the reach.
+
+    With a `cap`, blocks with that halo: further away is `cap`. Without one, columns of the whole raster by
+    windows and then its rows in strips; null in a raster without a set pixel.
+    """
+    if cap is None:
+        # Each pixel also speaks for the missing ones below it, the first of a column for those above, so that
+        # a row meets every column's gap.
+        own, column = Window.partitionBy(*keys), col_window(keys)
+        at = F.when(F.col(mask), F.col("y"))
+        seen = pixels.select(
+            *keys, "x", "y", *carry, F.min("y").over(own).alias("_top"), F.max("y").over(own).alias("_bottom"),
+            F.lag("y").over(column).alias("_before"), F.lead("y").over(column).alias("_after"),
+            F.last(at, True).over(column.rowsBetween(Window.unboundedPreceding, 0)).alias("_above"),
+            F.first(at, True).over(column.rowsBetween(0, Window.unboundedFollowing)).alias("_below"),
+            F.first(at, True).over(column.rowsBetween(1, Window.unboundedFollowing)).alias("_later"))
+        first = F.when(F.col("_before").isNull(), F.col("_top")).otherwise(F.col("y"))
+        seen = seen.withColumn("_v", F.explode(F.sequence(first, F.coalesce(F.col("_after") - 1, F.col("_bottom")))))
+        gap = F.least(F.when(F.col("_v") >= F.col("y"), F.col("_v") - F.col("_above")),
+                      F.when(F.col("_v") <= F.col("y"), F.col("_below")).otherwise(F.col("_later")) - F.col("_v"))
+        dense = seen.select(*keys, "x", F.col("_v").alias("y"), *carry, (F.col("_v") == F.col("y")).alias("_real"), gap.alias("_gap"))
+        return nearest_along_rows(dense, keys, [], {out: "_gap"}).filter("_real").drop("_real")
+
     def fn(fields):
-        on = np.nan_to_num(fields[mask]) > 0
+        gap = column_gaps(np.nan_to_num(fields[mask]) > 0)
+        least = row_envelope(np.where(gap > cap, NONE, gap))
         far = float(cap * cap)
-        gap = np.where(on, 0.0, far)
-        for d in range(1, min(cap, on.shape[0] - 1) + 1):
-            gap[d:] = np.where(on[:-d], np.minimum(gap[d:], d * d), gap[d:])
-            gap[:-d] = np.where(on[d:], np.minimum(gap[:-d], d * d), gap[:-d])
-        best = gap.copy()
-        for d in range(1, min(cap, on.shape[1] - 1) + 1):
-            best[:, d:] = np.minimum(best[:, d:], gap[:, :-d] + d * d)
-            best[:, :-d] = np.minimum(best[:, :-d], gap[:, d:] + d * d)
-        return {out: np.sqrt(np.minimum(best, far))}
+        return {out: np.sqrt(np.where(least < 0, far, np.minimum(least, far)))}
 
     return block_filter(pixels, fn, [mask], {out: "double"}, cap, 128, extent, keys, carry)
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from stainframe.constants import DAB_POSITIVE
 from stainframe.functions import grading as G
 from stainframe.operators import growth as W
 from stainframe.operators import instances as I
@@ -11,10 +12,10 @@ from stainframe.operators import matching as M
 from stainframe.operators import pixels as P
 from stainframe.operators import profiles as R
 from stainframe.operators import tile_filters as TF
-from stainframe.operators.rasters import gaussian_smooth
-from stainframe.verify.pixel_queries import COLS, EXTENT, GRAY8, SAT, TEXTURE
+from stainframe.operators.rasters import gaussian_smooth, gaussian_weights
+from stainframe.verify.pixel_queries import COLS, EXTENT, GRAY8, SAT, TEXTURE, symmetric
 from stainframe.verify.registry import query, rounded
-from stainframe.verify.sqltext import KEY, box, ellipse, near
+from stainframe.verify.sqltext import KEY, box, ellipse, gather, near
 from stainframe.verify.views import SPARK
 
 AREAS = """areas AS (SELECT slide_id, tile_id, id, count(*) FILTER (WHERE k = 'n') AS nuc_area, count(*) FILTER (WHERE k = 'c') AS cell_area FROM
@@ -249,7 +250,29 @@ def _(t):
     return rounded(I.cell_density(t.pixels, "cell_id").select("slide_id", "tile_id", "per_mm2"))
 
 
-@query("thickness_radial_fwhm")
+G2_ROWS = ", ".join(f"({i - 8}, CAST('{float(w)!r}' AS DOUBLE))" for i, w in enumerate(gaussian_weights(2.0)))
+#: Mean DAB of a cell's box by signed distance in 20 bins, gaps bridged by straight lines, width at half of the peak.
+RADIAL = f"""g1 AS ({gather('stained', f'(VALUES {G2_ROWS}) o(d, w)', symmetric('p.x + d'), 'p.y', 'sum(q.dab * w) AS v')}),
+g2 AS ({gather('g1', f'(VALUES {G2_ROWS}) o(d, w)', 'p.x', symmetric('p.y + d'), 'sum(q.v * w) AS dab')}),
+boxes AS (SELECT slide_id, tile_id, cell_id, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM stained WHERE cell_id > 0 GROUP BY ALL HAVING count(*) >= 20),
+px AS (SELECT c.slide_id, c.tile_id, c.cell_id, s.x, s.y, g2.dab, s.cell_id = c.cell_id AS inn FROM boxes c
+  JOIN stained s ON s.tile_id = c.tile_id AND s.x BETWEEN x0 AND x1 AND s.y BETWEEN y0 AND y1 JOIN g2 ON g2.tile_id = s.tile_id AND g2.x = s.x AND g2.y = s.y),
+gap AS (SELECT p.slide_id, p.tile_id, p.cell_id, p.x, p.y, p.dab, p.inn, min(abs(p.y - q.y)) FILTER (WHERE NOT q.inn) AS go, min(abs(p.y - q.y)) FILTER (WHERE q.inn) AS gi
+  FROM px p JOIN px q ON q.tile_id = p.tile_id AND q.cell_id = p.cell_id AND q.x = p.x GROUP BY ALL),
+away AS (SELECT p.slide_id, p.tile_id, p.cell_id, p.x, p.y, p.dab, CASE WHEN p.inn THEN sqrt(CAST(min((p.x - q.x) * (p.x - q.x) + q.go * q.go) AS DOUBLE))
+  ELSE -sqrt(CAST(min((p.x - q.x) * (p.x - q.x) + q.gi * q.gi) AS DOUBLE)) END AS s
+  FROM gap p JOIN gap q ON q.tile_id = p.tile_id AND q.cell_id = p.cell_id AND q.y = p.y GROUP BY p.slide_id, p.tile_id, p.cell_id, p.x, p.y, p.dab, p.inn),
+sbins AS (SELECT slide_id, tile_id, cell_id, CAST(floor((s + 15) / CAST(1.5 AS DOUBLE)) AS INT) AS b, avg(dab) AS v FROM away WHERE s >= -15 AND s < 15 GROUP BY ALL HAVING count(*) >= 2),
+known AS (SELECT slide_id, tile_id, cell_id, list({{'b': b, 'v': v}} ORDER BY b) AS k FROM sbins GROUP BY ALL HAVING count(*) >= 3),
+ends AS (SELECT slide_id, tile_id, cell_id, i, list_last(list_filter(k, lambda e: e.b <= i)) AS lo, list_filter(k, lambda e: e.b >= i)[1] AS hi FROM known, range(0, 20) r(i)),
+prof AS (SELECT slide_id, tile_id, cell_id, i, CASE WHEN lo IS NULL THEN hi.v WHEN hi IS NULL OR lo.b = hi.b THEN lo.v ELSE lo.v + (hi.v - lo.v) * (i - lo.b) / (hi.b - lo.b) END AS v FROM ends),
+up AS (SELECT *, v >= max(v) OVER w / 2 AS a, max(v) OVER w AS peak FROM prof WINDOW w AS (PARTITION BY tile_id, cell_id)),
+turn AS (SELECT *, lead(a) OVER (PARTITION BY tile_id, cell_id ORDER BY i) AS nxt FROM up),
+widths AS (SELECT slide_id, tile_id, cell_id, max(peak) AS peak, abs(coalesce(max(i) FILTER (WHERE a AND NOT nxt), 19) - coalesce(min(i) FILTER (WHERE NOT a AND nxt) + 1, 0)) * CAST(1.5 AS DOUBLE) AS wide FROM turn GROUP BY ALL)"""
+
+
+@query("thickness_radial_fwhm", f"""WITH {RADIAL} SELECT c.slide_id, c.tile_id, c.cell_id, round(CASE WHEN peak >= CAST('{DAB_POSITIVE!r}' AS DOUBLE) AND wide > 0 THEN wide END, 6) AS thickness_px
+FROM boxes c LEFT JOIN widths f ON f.tile_id = c.tile_id AND f.cell_id = c.cell_id""")
 def _(t):
     soft = gaussian_smooth(t.stained, "dab", 2.0, "dab_soft", EXTENT, carry=["cell_id"])
     return rounded(R.thickness_radial_fwhm(soft.withColumnRenamed("dab_soft", "dab")))

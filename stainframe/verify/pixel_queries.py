@@ -257,6 +257,14 @@ def _(t):
     return rounded(R.distance_to_mask(P.mask_fixed(t.stained, 1.2), "mask", 12, extent=EXTENT))
 
 
+@query("distance_to_mask_any", f"""WITH m AS (SELECT tile_id, x, y FROM stained WHERE dab > 1.2), g AS (SELECT p.slide_id, p.tile_id, p.x, p.y, min(abs(p.y - m.y)) AS gap
+  FROM stained p LEFT JOIN m ON m.tile_id = p.tile_id AND m.x = p.x GROUP BY ALL)
+SELECT {KEY}, round(sqrt(CAST(d AS DOUBLE)), 6) AS distance FROM (SELECT p.slide_id, p.tile_id, p.x, p.y, min((p.x - q.x) * (p.x - q.x) + q.gap * q.gap) AS d
+  FROM g p JOIN g q ON q.tile_id = p.tile_id AND q.y = p.y GROUP BY ALL) s""")
+def _(t):
+    return rounded(R.distance_to_mask(P.mask_fixed(t.stained, 1.2), "mask", None))
+
+
 @query("weak_signal_flag", "SELECT slide_id, tile_id, round(max(dab), 6) AS max_dab, max(dab) < 1e-4 AS weak FROM stained GROUP BY ALL")
 def _(t):
     return rounded(P.weak_signal_flag(t.stained))

@@ -13,6 +13,7 @@ from stainframe.operators import scoring as S
 from stainframe.operators import tiling as T
 from stainframe.plans import jobs
 from stainframe.schema import CELLS
+from stainframe.sources import manifest as V
 from stainframe.sources import readers as R
 from stainframe.sources import sinks as K
 from stainframe.sources.listing import touch
@@ -172,6 +173,18 @@ def _(t):
     return rounded(R.manifest_stats(R.latest_records(t.spark.read.parquet(path)), "h1").select("tile_key", "value"))
 
 
+@query("manifest_versions", "SELECT tile_key, round(CAST(CASE WHEN tile_x % 3 = 0 THEN tile_x + tile_y ELSE tile_y END AS DOUBLE), 6) AS value FROM tiles WHERE tile_x % 3 < 2")
+def _(t):
+    """Two writers, a version rewritten, a writer that never publishes: `tile_x % 3 = 0` is recorded twice, the later record counts."""
+    path = scratch(t.spark, "versions")
+    records = lambda df, value: K.manifest_records(df.withColumn("num_cells", value), "labels", "h1", ["num_cells"])
+    V.append(records(t.tiles.filter("tile_x % 3 < 2"), F.col("tile_y")), path)
+    V.append(records(t.tiles.filter("tile_x % 3 = 0"), F.col("tile_x") + F.col("tile_y")), path)
+    V.stage(records(t.tiles, F.lit(-1)), path)
+    V.compact(t.spark, path)
+    return rounded(R.manifest_stats(V.read(t.spark, path), "h1").select("tile_key", "value"))
+
+
 @query("manifest_stats", "SELECT tile_key, 'num_cells' AS name, round(num_cells, 6) AS value FROM manifest WHERE config_hash = 'h0' AND num_cells IS NOT NULL")
 def _(t):
     m = t.manifest.withColumn("stats", F.when(F.col("num_cells").isNotNull(), F.create_map(F.lit("num_cells"), F.col("num_cells"))))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from conftest import disc_tile, tile_rows, to_raster
 from stainframe.functions import stain
+from stainframe.functions.envelope import NONE, column_gaps, row_envelope
 from stainframe.operators import growth as W
 from stainframe.operators import rasters as R
 
@@ -61,6 +62,39 @@ def test_median_and_distance(tile, rasters):
         assert dist[y, x] == pytest.approx(min(9.0, np.sqrt(((ys - y) ** 2 + (xs - x) ** 2).min())))
 
 
+@pytest.mark.parametrize("share", [0.0, 0.002, 0.05, 0.6])
+def test_envelope_is_the_nearest_pixel(share):
+    on = np.random.default_rng(7).random((37, 53)) < share
+    got = row_envelope(column_gaps(on))
+    if not on.any():
+        assert (got == NONE).all()
+        return
+    y, x = np.mgrid[:37, :53]
+    ys, xs = np.nonzero(on)
+    want = ((y[..., None] - ys) ** 2 + (x[..., None] - xs) ** 2).min(axis=2)
+    assert np.array_equal(got, want)
+
+
+def test_distance_without_a_limit(spark):
+    """Rasters over several strips with missing pixels, one with a single set pixel in a corner and one with none."""
+    rng = np.random.default_rng(3)
+    rows, want = [], {}
+    for tile, share in enumerate((0.0, 0.01, 0.4)):
+        on, there = rng.random((70, 45)) < share, rng.random((70, 45)) < 0.9
+        if tile == 1:
+            on[:] = False
+            on[69, 44] = there[69, 44] = True
+        ys, xs = np.nonzero(on & there)
+        for y, x in np.argwhere(there).tolist():
+            rows.append(("S", tile, x, y, bool(on[y, x]), None if x % 2 else x))
+            want[tile, x, y] = float(np.sqrt(((ys - y) ** 2 + (xs - x) ** 2).min())) if len(ys) else None
+    df = spark.createDataFrame(rows, "slide_id string, tile_id int, x int, y int, m boolean, note bigint")
+    got = R.distance_to_mask(df, "m", None, carry=["note"]).collect()
+    assert {(r["tile_id"], r["x"], r["y"]): r["distance"] for r in got} == want
+    assert all(r["note"] == (None if r["x"] % 2 else r["x"]) for r in got)
+    assert R.distance_to_mask(df.limit(0), "m", None).collect() == []
+
+
 def test_cell_erosion_keeps_touching_cells_apart(spark):
     cell = np.zeros((12, 12), int)
     cell[1:11, 1:6], cell[1:11, 6:11] = 1, 2

@@ -1,6 +1,7 @@
 """File formats: cell files by name, dirty CSV, GeoJSON, listings, manifest resume, streams."""
 
 import json
+from concurrent.futures import ThreadPoolExecutor
 
 import pyarrow as pa
 import pyarrow.parquet as pq
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from stainframe.functions.ordering import exact_percentiles, rank_within
 from stainframe.operators.scoring import calibrate_thresholds, score_by, slide_summary, thickness_summary
+from stainframe.sources import manifest as V
 from stainframe.sources import readers as R
 from stainframe.sources import sinks as K
 from stainframe.sources.listing import list_files, touch
@@ -188,3 +190,85 @@ def test_tile_csv_is_a_file_for_each_tile(spark, tmp_path):
                     "10,1.2346,2.0000,3.5000,,0.5000,0.2500,0", "11,2.2346,2.0000,,,0.5000,0.2500,1"]
     back = K.read_tile_csv(spark, str(tmp_path / "csv"))
     assert sorted(map(tuple, back.select(*out.columns).collect())) == sorted(map(tuple, out.collect()))
+
+
+def _done(spark, *tiles):
+    return K.manifest_records(spark.createDataFrame(list(tiles), "tile_key string, num_cells int"), "labels", "h1", ["num_cells"])
+
+
+def _values(spark, path, of=None):
+    return sorted((r["tile_key"], r["value"]) for r in R.manifest_stats(V.read(spark, path, of), "h1").collect())
+
+
+def test_manifest_versions_of_two_writers(spark, tmp_path):
+    """Both start from one version: the second to publish finds the number taken, and an append goes on from there."""
+    path = str(tmp_path / "m")
+    assert V.version(spark, path) == V.Version()
+    start = V.append(_done(spark, ("A", 1)), path)
+    first, second = V.stage(_done(spark, ("B", 2)), path), V.stage(_done(spark, ("C", 3)), path)
+    V.publish(spark, path, start, start.folders + first.folders, start.schema)
+    with pytest.raises(V.Conflict):
+        V.publish(spark, path, start, start.folders + second.folders, start.schema)
+    assert _values(spark, path) == [("A", 1.0), ("B", 2.0)]
+    with pytest.raises(V.Conflict):
+        V.append(_done(spark, ("D", 4)), path, base=start)
+    assert V.append(_done(spark, ("C", 3)), path).number == 3
+    assert _values(spark, path) == [("A", 1.0), ("B", 2.0), ("C", 3.0)]
+    assert _values(spark, path, V.version(spark, path, 1)) == [("A", 1.0)]
+    with ThreadPoolExecutor(4) as pool:
+        made = list(pool.map(lambda i: V.append(_done(spark, (f"T{i}", i)), path).number, range(8)))
+    assert sorted(made) == list(range(4, 12)) and len(_values(spark, path)) == 11
+
+
+def test_manifest_writer_killed_before_publishing(spark, tmp_path):
+    path = str(tmp_path / "m")
+    V.append(_done(spark, ("A", 1)), path)
+    V.stage(_done(spark, ("A", 7), ("B", 2)), path)
+    (tmp_path / "m" / "versions" / "draft-dead").write_text('{"number": 2, "fol')
+    assert _values(spark, path) == [("A", 1.0)]
+    assert V.append(_done(spark, ("C", 3)), path).number == 2
+    assert _values(spark, path) == [("A", 1.0), ("C", 3.0)]
+
+
+def test_manifest_compaction(spark, tmp_path, monkeypatch):
+    """The last record of a tile stays; what comes in while records are rewritten stays too; two compactions do not mix."""
+    path = str(tmp_path / "m")
+    for row in (("A", 1), ("B", 2), ("A", 5)):
+        V.append(_done(spark, row), path)
+    old, staged = V.version(spark, path), V.stage
+
+    def slow(records, where):
+        got = staged(records, where)
+        monkeypatch.setattr(V, "stage", staged)
+        V.append(_done(spark, ("C", 3)), path)
+        return got
+
+    monkeypatch.setattr(V, "stage", slow)
+    made = V.compact(spark, path)
+    assert (made.number, len(made.folders)) == (5, 2)
+    assert _values(spark, path) == [("A", 5.0), ("B", 2.0), ("C", 3.0)]
+    assert _values(spark, path, old) == [("A", 1.0), ("A", 5.0), ("B", 2.0)]
+
+    def slower(records, where):
+        got = staged(records, where)
+        monkeypatch.setattr(V, "stage", staged)
+        V.compact(spark, path)
+        return got
+
+    monkeypatch.setattr(V, "stage", slower)
+    with pytest.raises(V.Conflict):
+        V.compact(spark, path)
+    assert len(_values(spark, path)) == 3
+
+
+def test_manifest_empty_and_other_columns(spark, tmp_path):
+    path = str(tmp_path / "m")
+    with pytest.raises(ValueError):
+        V.read(spark, path)
+    assert V.compact(spark, path) == V.Version()
+    V.append(_done(spark, ("A", 1)).limit(0), path)
+    assert V.read(spark, path).count() == 0
+    V.append(_done(spark, ("A", None), ("B", 2)), path)
+    assert _values(spark, path) == [("A", None), ("B", 2.0)]
+    with pytest.raises(ValueError):
+        V.append(_done(spark, ("A", 1)).drop("stats"), path)
