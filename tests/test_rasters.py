@@ -62,6 +62,16 @@ def test_median_and_distance(tile, rasters):
         assert dist[y, x] == pytest.approx(min(9.0, np.sqrt(((ys - y) ** 2 + (xs - x) ** 2).min())))
 
 
+@pytest.mark.parametrize("k", [1, 3, 7, 15])
+def test_median_of_bytes(spark, k):
+    a = np.random.default_rng(k).integers(0, 256, (30, 26))
+    a[:12, :9] = 255
+    got = to_raster(R.median_bytes(tile_rows(spark, {"v": a}), "v", k), "out", (30, 26))
+    pad = np.pad(a, k // 2, mode="edge")
+    want = [[np.median(pad[y:y + k, x:x + k]) for x in range(26)] for y in range(30)]
+    assert np.array_equal(got, want)
+
+
 @pytest.mark.parametrize("share", [0.0, 0.002, 0.05, 0.6])
 def test_envelope_is_the_nearest_pixel(share):
     on = np.random.default_rng(7).random((37, 53)) < share
