@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -65,6 +67,111 @@ def ring_bounds(ring: Column) -> dict[str, Column]:
     return {"x0": F.array_min(xs), "x1": F.array_max(xs), "y0": F.array_min(ys), "y1": F.array_max(ys)}
 
 
+#: A cell of a ring's own grid: `above`, whether the edges right of it cross a ray at its foot an odd number of times;
+#: `turns`, heights at which that changes; `edges`, four numbers for each edge that passes through its columns.
+RING_CELL = "_row bigint, _col bigint, above boolean, turns array<double>, edges array<double>"
+RING_GRID = {k: "double" for k in ("_x0", "_x1", "_y0", "_y1", "_h", "_w")}
+#: Edges a cell holds on an evenly drawn ring.
+EDGES_PER_CELL = 8
+
+
+def ring_edges(xs: np.ndarray, ys: np.ndarray) -> np.ndarray:
+    """(ax, ay, bx, by) for each edge of a closed ring, level ones left out."""
+    e = np.column_stack([xs, ys, np.roll(xs, -1), np.roll(ys, -1)]).astype(float)
+    return e[e[:, 1] != e[:, 3]]
+
+
+def ring_grid(xs: np.ndarray, ys: np.ndarray) -> tuple[float, ...]:
+    """Box of a ring, and height and width of the cells of its grid.
+
+    As fine as lets a ring of n points have at most some 8 n cells and 4 n copies of edges, whatever its shape: long
+    edges make coarse cells.
+    """
+    e, n = ring_edges(xs, ys), len(xs)
+    wide, high, parts = float(np.ptp(xs)), float(np.ptp(ys)), -(-n // EDGES_PER_CELL)
+    h = max(high / parts, np.abs(e[:, 1] - e[:, 3]).sum() / n) or 1.0
+    w = max(wide / parts, np.abs(e[:, 0] - e[:, 2]).sum() / n, wide * np.ceil(high / h) / (8 * n)) or 1.0
+    return float(xs.min()), float(xs.max()), float(ys.min()), float(ys.max()), float(h), float(w)
+
+
+def cells_of_ring(xs: np.ndarray, ys: np.ndarray) -> list[tuple]:
+    """Every cell of the ring's grid that is not wholly outside it, as RING_CELL.
+
+    An inner vertex of a chain of edges right of a cell counts twice and so not at all; what is left of a chain are
+    the heights where it starts or ends.
+    """
+    e = ring_edges(xs, ys)
+    x0, _, y0, _, h, w = ring_grid(xs, ys)
+    place = lambda v, start, step: np.floor((v - start) / step).astype("int64")
+    ya, yb = place(e[:, 1], y0, h), place(e[:, 3], y0, h)
+    xa, xb = place(e[:, 0], x0, w), place(e[:, 2], x0, w)
+    low, n_rows = np.minimum(ya, yb), np.abs(ya - yb) + 1
+    edge = np.repeat(np.arange(len(e)), n_rows)
+    row = low[edge] + np.arange(len(edge)) - np.repeat(np.cumsum(n_rows) - n_rows, n_rows)
+    order = np.argsort(row, kind="stable")
+    found = []
+    for part in np.split(order, np.flatnonzero(np.diff(row[order])) + 1) if len(e) else ():
+        r = int(row[part[0]])
+        through: dict[int, list[int]] = {}
+        begins: dict[int, list[int]] = {}
+        for k in edge[part].tolist():
+            first, last = sorted((int(xa[k]), int(xb[k])))
+            begins.setdefault(first, []).append(k)
+            for c in range(first, last + 1):
+                through.setdefault(c, []).append(k)
+        above, turns = False, set()
+        for c in range(max(through), -1, -1):
+            own = through.get(c, [])
+            if own or above or turns:
+                found.append((r, c, above, np.array(sorted(turns), dtype=float), e[own].ravel()))
+            for k in begins.get(c, []):
+                for y, at in ((e[k, 1], ya[k]), (e[k, 3], yb[k])):
+                    if at > r:
+                        above = not above
+                    elif at == r:
+                        turns ^= {float(y)}
+    return found
+
+
+def _of_rings(polygons: DataFrame, keys: Sequence[str], ring: str, fn: Callable[..., list[tuple]], schema: str) -> DataFrame:
+    """`keys` of each polygon with the rows `fn(xs, ys)` makes of its ring; rings without a point give none."""
+    keys = list(keys)
+    head = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in polygons.select(*keys).schema.fields)
+    names = [c.split()[0] for c in schema.split(", ")]
+    axis = lambda c: F.transform(ring, lambda p: p[c].cast("double")).alias(f"_{c}s")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for i in range(len(pdf)):
+                got = pd.DataFrame(fn(pdf["_xs"].iloc[i], pdf["_ys"].iloc[i]), columns=names)
+                for at, k in enumerate(keys):
+                    got.insert(at, k, pdf[k].iloc[i])
+                yield got
+
+    return polygons.filter(F.size(ring) > 0).select(*keys, axis("x"), axis("y")).mapInPandas(run, f"{head}, {schema}")
+
+
+def ring_grids(polygons: DataFrame, keys: Sequence[str], ring: str = "ring") -> DataFrame:
+    """`keys`, box (`_x0 _x1 _y0 _y1`) and cell size (`_h _w`) of each ring; coordinates are finite."""
+    return _of_rings(polygons, keys, ring, lambda xs, ys: [ring_grid(xs, ys)], ", ".join(f"{k} {t}" for k, t in RING_GRID.items()))
+
+
+def ring_cells(polygons: DataFrame, keys: Sequence[str], ring: str = "ring") -> DataFrame:
+    """`keys` and RING_CELL: the cells of each ring. A ring is a row of the table and is cut by itself."""
+    return _of_rings(polygons, keys, ring, cells_of_ring, RING_CELL)
+
+
+def in_ring_cell(x: Column, y: Column) -> Column:
+    """`in_ring` from the cell of `ring_cells` the point lies in, with the same arithmetic; no cell is outside."""
+    def crosses(i: Column) -> Column:
+        ax, ay, bx, by = (F.get("edges", i + k) for k in range(4))
+        return F.when((ay > y) != (by > y), x < ax + (y - ay) * (bx - ax) / (by - ay)).otherwise(F.lit(False))
+
+    starts = F.filter(F.transform("edges", lambda e, i: i), lambda i: i % 4 == 0)
+    n = F.size(F.filter(starts, crosses)) + F.size(F.filter("turns", lambda t: t > y)) + F.col("above").cast("int")
+    return F.coalesce(n % 2 == 1, F.lit(False))
+
+
 def halo_blocks(
     pixels: DataFrame, keys: Sequence[str], block: int, halo: int,
     extent: tuple[int, int] | None = None,

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stainframe.functions.spatial import exists_within, in_ring, ring_bounds
+from stainframe.functions.spatial import exists_within, in_ring_cell, ring_bounds, ring_cells, ring_grids
 
 REGION_GRID = 1024
 
@@ -34,21 +34,27 @@ def nearest_match_rate(
 def assign_regions(cells: DataFrame, regions: DataFrame, grid: int = REGION_GRID) -> DataFrame:
     """Region of each cell: the first polygon, in order, that holds its centroid, else `Outside`.
 
-    Polygons are listed under the grid squares their box touches; cells look up their own square, so
-    the polygon test runs only where a polygon can be, and a crowded slide is spread over squares.
+    Polygons are listed, by number and box alone, under the grid squares their box touches; cells look up their own
+    square, so a crowded slide is spread over squares. Whether a polygon holds a centroid is read from one cell of
+    the polygon's own grid with the few edges that pass there, so a point's work does not follow the number of
+    vertices and no ring travels with the points. A polygon given twice counts once.
     """
-    box = regions.withColumns({f"_{k}": v for k, v in ring_bounds(F.col("ring")).items()})
+    known = regions.select("slide_id", "ord", "name", "ring").distinct().withColumn(
+        "_ring", F.xxhash64("slide_id", "ord", "name", "ring"))
+    box = ring_grids(known, ["slide_id", "_ring", "ord", "name"])
     span = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / grid), F.floor(F.col(b) / grid)))
     listed = box.withColumn("_gx", span("_x0", "_x1")).withColumn("_gy", span("_y0", "_y1")).select(
-        F.col("slide_id").alias("_slide"), "_gx", "_gy", "ord", "name", "ring", "_x0", "_x1", "_y0", "_y1")
-    points = cells.select("slide_id", "cell_id", "centroid_x", "centroid_y")
-    x, y = F.col("centroid_x"), F.col("centroid_y")
+        F.col("slide_id").alias("_slide"), "_ring", "_gx", "_gy", "ord", "name", "_x0", "_x1", "_y0", "_y1", "_h", "_w")
+    points = cells.select("slide_id", "cell_id", F.col("centroid_x").alias("_x"), F.col("centroid_y").alias("_y"))
+    x, y = F.col("_x"), F.col("_y")
     near = ((F.col("slide_id") == F.col("_slide")) & (F.floor(x / grid) == F.col("_gx"))
             & (F.floor(y / grid) == F.col("_gy")) & x.between(F.col("_x0"), F.col("_x1"))
             & y.between(F.col("_y0"), F.col("_y1")))
-    hits = points.join(listed, near, "left").select(
-        "slide_id", "cell_id",
-        F.when(F.coalesce(in_ring(x, y, F.col("ring")), F.lit(False)), F.struct("ord", "name")).alias("_hit"))
+    boxed = points.join(listed, near, "left").select(
+        "slide_id", "cell_id", "_x", "_y", "ord", "name", "_ring",
+        F.floor((y - F.col("_y0")) / F.col("_h")).alias("_row"), F.floor((x - F.col("_x0")) / F.col("_w")).alias("_col"))
+    tested = boxed.join(ring_cells(known, ["slide_id", "_ring"]), ["slide_id", "_ring", "_row", "_col"], "left")
+    hits = tested.select("slide_id", "cell_id", F.when(in_ring_cell(x, y), F.struct("ord", "name")).alias("_hit"))
     return hits.groupBy("slide_id", "cell_id").agg(
         F.coalesce(F.min("_hit")["name"], F.lit("Outside")).alias("region_assigned"))
 

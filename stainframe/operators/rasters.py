@@ -8,6 +8,7 @@ Wide kernels, medians and distances run as numpy on halo blocks of bounded size.
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -247,24 +248,32 @@ def bar_kernels(
     return bars / (np.abs(bars).sum(axis=(1, 2), keepdims=True) + 1e-10)
 
 
+@lru_cache(maxsize=4)
+def bar_spectra(shape: tuple[int, int]) -> np.ndarray:
+    """Conjugate spectra of the bars on a field of `shape`, at least as large as a bar; blocks share few shapes."""
+    return np.conj(np.fft.rfft2(bar_kernels(), shape))
+
+
 def bar_filter_max(
     pixels: DataFrame, value: str = "dab", out: str = "bar", border: str = "zero",
     extent: tuple[int, int] | None = None, keys: Sequence[str] = TILE, carry: Sequence[str] = (),
 ) -> DataFrame:
-    """Largest response of the bar bank at each pixel; `border` is zero or reflect (edge not repeated)."""
+    """Largest response of the bar bank at each pixel; `border` is zero or reflect (edge not repeated).
+
+    A block and its halo are multiplied with the bars as spectra, so a pixel costs the same however large the bars
+    are. The border around a block is as wide as half a bar, which keeps what wraps around out of the result.
+    """
     half = BAR_SIZE // 2
-    bank = bar_kernels().reshape(BAR_ORIENTATIONS, -1).T
 
     def fn(fields):
         a = np.nan_to_num(fields[value])
         mode = {"mode": "constant"} if border == "zero" else {"mode": "reflect"}
         padded = np.pad(a, half, **mode)
-        result = np.empty_like(a)
-        patches = np.lib.stride_tricks.sliding_window_view(padded, (BAR_SIZE, BAR_SIZE))
-        # A few rows at a time: the patch matrix of a whole block would be 625 times the block.
-        for top in range(0, a.shape[0], 16):
-            part = patches[top:top + 16].reshape(-1, BAR_SIZE * BAR_SIZE) @ bank
-            result[top:top + 16] = part.max(axis=1).reshape(-1, a.shape[1])
+        spectrum = np.fft.rfft2(padded)
+        result = np.full_like(a, -np.inf)
+        for bar in bar_spectra(padded.shape):
+            response = np.fft.irfft2(spectrum * bar, padded.shape)
+            np.maximum(result, response[:a.shape[0], :a.shape[1]], out=result)
         return {out: result}
 
     return block_filter(pixels, fn, [value], {out: "double"}, half, 128, extent, keys, carry)

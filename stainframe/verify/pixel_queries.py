@@ -191,7 +191,18 @@ def _(t):
     return rounded(R.convolve_kernel(t.stained, "dab", KERNEL, "response").select(*COLS, "response"))
 
 
-@query("bar_filter_max")
+# The bars from their formula, a column for each orientation, then all products of a pixel's window.
+BARS = f"""WITH g AS (SELECT o, dx, dy, exp(-0.5 * (pow((dx * cos(o * pi() / {R.BAR_ORIENTATIONS}) + dy * sin(o * pi() / {R.BAR_ORIENTATIONS})) / {R.BAR_SIGMA_LONG}, 2)
+  + pow((dy * cos(o * pi() / {R.BAR_ORIENTATIONS}) - dx * sin(o * pi() / {R.BAR_ORIENTATIONS})) / {R.BAR_SIGMA_SHORT}, 2))) AS w
+  FROM range({R.BAR_ORIENTATIONS}) a(o), range(-{R.BAR_SIZE // 2}, {R.BAR_SIZE // 2 + 1}) b(dx), range(-{R.BAR_SIZE // 2}, {R.BAR_SIZE // 2 + 1}) c(dy)),
+z AS (SELECT o, dx, dy, w - avg(w) OVER (PARTITION BY o) AS w FROM g),
+k AS (SELECT o, dx, dy, w / (sum(abs(w)) OVER (PARTITION BY o) + 1e-10) AS w FROM z),
+bars AS (SELECT dx, dy, {", ".join(f"max(w) FILTER (o = {i}) AS w{i}" for i in range(R.BAR_ORIENTATIONS))} FROM k GROUP BY dx, dy)
+"""
+LARGEST = "greatest(" + ", ".join(f"sum(q.dab * p.w{i})" for i in range(R.BAR_ORIENTATIONS)) + ")"
+
+
+@query("bar_filter_max", BARS + gather("stained", "bars o", "p.x + dx", "p.y + dy", f"round({LARGEST}, 6) AS response"))
 def _(t):
     return rounded(R.bar_filter_max(t.stained, "dab", "response", extent=EXTENT))
 
